@@ -161,7 +161,7 @@ class Tables:
         """Hourly means in long form: the usual input of windows, features and detectors."""
         return self.base.groupBy(
             "host", "measurement", F.expr(f"clock div {HOUR}L * {HOUR}L").alias("clock")
-        ).agg(F.round(F.avg("value"), 6).alias("value"))
+        ).agg(F.round(F.avg("value"), 8).alias("value"))
 
     @cached_property
     def wide(self) -> DataFrame:
@@ -295,7 +295,7 @@ alert_times AS (
   JOIN triggers t ON t.triggerid = p.objectid JOIN items i ON i.itemid = t.triggerid - 1000
   JOIN hosts h ON h.hostid = i.hostid),
 hourly AS (
-  SELECT host, measurement, clock - clock % 3600 AS clock, round(avg(value), 6) AS value FROM base
+  SELECT host, measurement, clock - clock % 3600 AS clock, round(avg(value), 8) AS value FROM base
   GROUP BY host, measurement, clock - clock % 3600),
 wide AS (
   SELECT host, clock,
