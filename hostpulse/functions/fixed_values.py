@@ -160,6 +160,8 @@ FAMILY_PARAMETERS = {
         "outlier_factor": 2.0,
         "smooth": True,
         "fill": "interpolate",
+        "target_mape": 15.0,
+        "target_mae": 5.0,
     },
     "load_average": {
         "data_type": "load_average",
@@ -172,6 +174,7 @@ FAMILY_PARAMETERS = {
         "outlier_factor": 0.95,
         "smooth": True,
         "fill": "interpolate",
+        "target_mape": 25.0,
     },
     "memory_percentage": {
         "data_type": "percentage",
@@ -187,6 +190,8 @@ FAMILY_PARAMETERS = {
         "outlier_factor": 1.5,
         "smooth": False,
         "fill": "forward_fill",
+        "target_mape": 12.0,
+        "target_mae": 3.0,
     },
     "network_traffic": {
         "data_type": "network_traffic",
@@ -200,6 +205,7 @@ FAMILY_PARAMETERS = {
         "outlier_factor": 0.98,
         "smooth": True,
         "fill": "interpolate",
+        "target_mape": 30.0,
     },
     "generic": {
         "data_type": "generic",
@@ -213,8 +219,27 @@ FAMILY_PARAMETERS = {
         "outlier_factor": 2.0,
         "smooth": True,
         "fill": "interpolate",
+        "target_mape": 25.0,
     },
 }
 
+# Load averages count as low below these mean and maximum values; their growth,
+# changepoint scale and cap follow, and the maximum decides the divisor of large loads.
+LOW_LOAD_MEAN, LOW_LOAD_MAX = 2.0, 5.0
+LOW_LOAD = {"growth": "linear", "changepoint_scale": 0.05}
+HIGH_LOAD = {"growth": "logistic", "changepoint_scale": 0.01}
+LOAD_CAP_MINIMUM, LOAD_CAP_FACTOR = 16.0, 1.5
+LOAD_DIVISORS = [(1000.0, 1000.0), (100.0, 100.0)]
+LOAD_MAE_SHARE = 0.3
+
+# Domain feature limits.
+CPU_SEVERITY_LIMITS = [(90, 3), (80, 2), (70, 1)]
+MEMORY_PRESSURE_LIMIT = 95
+DISK_CRITICAL_LIMIT = 90
+
+# Series quality weights (completeness, consistency, range) and outlier band.
+QUALITY_WEIGHTS = (0.4, 0.3, 0.3)
+QUALITY_IQR_FACTOR = 3.0
+
 # Forecast minimum rows (additive, autoregressive) per forecaster generation.
 MIN_FORECAST_ROWS = {"profiled": (20, 30), "plain": (10, 50)}

@@ -34,13 +34,6 @@ def without_halo(df: DataFrame) -> DataFrame:
     return df.where(F.col(CHUNK) == F.col(_OWN)).drop(CHUNK, _OWN)
 
 
-def time_halo(df: DataFrame, clock: str, look_back: int, seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """Copy each row into the later chunks whose windows reach back to it."""
-    last = F.expr(f"(`{clock}` + {int(look_back)}L) div {int(seconds)}L")
-    own = chunk_of(clock, seconds)
-    return df.withColumn(_OWN, own).withColumn(CHUNK, F.explode(F.sequence(own, last)))
-
-
 def _neighbour_rows(
     owned: DataFrame, by: Sequence[str], clock: str, rows: int, descending: bool
 ) -> DataFrame:
@@ -74,14 +67,29 @@ def _neighbour_rows(
     )
 
 
-def row_halo(
-    df: DataFrame, by: Sequence[str], clock: str, before: int, after: int = 0, seconds: int = CHUNK_SECONDS
+def halo(
+    df: DataFrame,
+    by: Sequence[str],
+    clock: str,
+    before: int = 0,
+    after: int = 0,
+    look_back: int = 0,
+    seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
-    """Copy into each chunk the rows just before and after it, counted in rows."""
+    """Give each chunk the rows its windows reach: ``before`` and ``after`` rows, ``look_back`` seconds.
+
+    A row needed in time goes to the later chunks directly; rows needed by count come from
+    the nearest chunks that have any, less those already there.
+    """
     owned = df.withColumn(_OWN, chunk_of(clock, seconds))
-    out = owned.withColumn(CHUNK, F.col(_OWN))
+    reached = F.expr(f"(`{clock}` + {int(look_back)}L) div {int(seconds)}L")
+    if look_back:
+        out = owned.withColumn(CHUNK, F.explode(F.sequence(F.col(_OWN), reached)))
+    else:
+        out = owned.withColumn(CHUNK, F.col(_OWN))
     if before:
-        out = out.unionByName(_neighbour_rows(owned, by, clock, before, descending=False))
+        earlier = _neighbour_rows(owned, by, clock, before, descending=False)
+        out = out.unionByName(earlier.where(reached < F.col(CHUNK)))
     if after:
         out = out.unionByName(_neighbour_rows(owned, by, clock, after, descending=True))
     return out

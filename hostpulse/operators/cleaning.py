@@ -109,6 +109,21 @@ def clean(df: DataFrame, by: Sequence[str] = SERIES, clock: str = "clock") -> Da
     return iqr_capped(filled(df, by=by, clock=clock, rest=None), fixed.IQR_FACTOR, by)
 
 
+def clean_wide(
+    wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("host",), clock: str = "clock"
+) -> DataFrame:
+    """The same on a wide frame: bounds are fitted per metric and joined as one row per key."""
+    full = filled(wide, columns, by, clock, rest=None)
+    bounds = iqr_bounds(_long(full, columns, by), fixed.IQR_FACTOR, [*by, "measurement"])
+    limits = _one_row(bounds, columns, by, ("lower", "upper"))
+    return full.join(limits, list(by), "left").select(
+        *[
+            clip(F.col(c), F.col(f"{c}__lower"), F.col(f"{c}__upper")).alias(c) if c in columns else F.col(c)
+            for c in wide.columns
+        ]
+    )
+
+
 def prepare_training(
     df: DataFrame, by: Sequence[str] = SERIES, clock: str = "clock", minimum: int = fixed.MIN_DETECTOR_ROWS
 ) -> DataFrame:
@@ -148,48 +163,61 @@ def _one_row(params: DataFrame, columns: Sequence[str], by: Sequence[str], names
 def fit_scaling(
     wide: DataFrame, columns: Sequence[str], method: str = "standard", by: Sequence[str] = ("host",)
 ) -> DataFrame:
-    """Centre and scale per key and column, one row per key.
+    """Centre and scale per key: one row per key with arrays in the order of ``columns``.
 
     standard: mean and population std; minmax: minimum and range; robust: median and
     quartile distance. A scale of 0 becomes 1.
     """
     if method == "robust":
-        params = exact_quantiles(_long(wide, columns, by), [*by, "measurement"], "value", [0.25, 0.5, 0.75]).select(
-            *by, "measurement", F.col("quantiles")[1].alias("center"),
-            (F.col("quantiles")[2] - F.col("quantiles")[0]).alias("scale"),
+        q = F.col("quantiles")
+        params = exact_quantiles(_long(wide, columns, by), [*by, "measurement"], "value", [0.25, 0.5, 0.75])
+        by_name = params.groupBy(*by).agg(
+            F.map_from_entries(
+                F.collect_list(F.struct("measurement", F.struct(q[1].alias("center"), (q[2] - q[0]).alias("scale"))))
+            ).alias("_by_name")
+        )
+        names = F.array(*[F.lit(c) for c in columns])
+        fitted = by_name.select(
+            *by,
+            F.transform(names, lambda n: F.try_element_at("_by_name", n)["center"]).alias("centers"),
+            F.transform(names, lambda n: F.try_element_at("_by_name", n)["scale"]).alias("scales"),
         )
-        fitted = _one_row(params, columns, by, ("center", "scale"))
     elif method in ("standard", "minmax"):
         center, scale = {
             "standard": (F.avg, F.stddev_pop),
             "minmax": (F.min, lambda c: F.max(c) - F.min(c)),
         }[method]
         fitted = wide.groupBy(*by).agg(
-            *[center(c).alias(f"{c}__center") for c in columns], *[scale(c).alias(f"{c}__scale") for c in columns]
+            F.array(*[center(c).cast("double") for c in columns]).alias("centers"),
+            F.array(*[scale(c).cast("double") for c in columns]).alias("scales"),
         )
     else:
         raise ValueError("method must be standard, minmax or robust")
-    return fitted.withColumns(
-        {f"{c}__scale": F.when(F.col(f"{c}__scale") == 0, 1.0).otherwise(F.col(f"{c}__scale")) for c in columns}
-    )
+    return fitted.withColumn("scales", F.transform("scales", lambda s: F.when(s == 0, 1.0).otherwise(s)))
 
 
 def scaled(wide: DataFrame, columns: Sequence[str], params: DataFrame, by: Sequence[str] = ("host",)) -> DataFrame:
     """Apply fitted scaling."""
+    place = {c: i for i, c in enumerate(columns)}
     out = wide.join(params, list(by))
     return out.select(
         *[
-            ((F.col(c) - F.col(f"{c}__center")) / F.col(f"{c}__scale")).alias(c) if c in columns else F.col(c)
+            ((F.col(c) - F.get("centers", F.lit(place[c]))) / F.get("scales", F.lit(place[c]))).alias(c)
+            if c in place
+            else F.col(c)
             for c in wide.columns
         ]
     )
 
 
-def median_imputed(wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("host",)) -> DataFrame:
+def median_parameters(wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("host",)) -> DataFrame:
     medians = exact_quantiles(_long(wide, columns, by), [*by, "measurement"], "value", [0.5]).select(
         *by, "measurement", F.col("quantiles")[0].alias("median")
     )
-    params = _one_row(medians, columns, by, ("median",))
-    return wide.join(params, list(by), "left").select(
+    return _one_row(medians, columns, by, ("median",))
+
+
+def median_imputed(wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("host",)) -> DataFrame:
+    return wide.join(median_parameters(wide, columns, by), list(by), "left").select(
         *[F.coalesce(F.col(c), F.col(f"{c}__median")).alias(c) if c in columns else F.col(c) for c in wide.columns]
     )

@@ -70,7 +70,7 @@ def exact_quantiles(
         )
         .where(F.col("_f") > 0)
     )
-    exact = collapsed.groupBy(*by).agg(F.percentile("_x", list(probabilities), "_f").alias(output))
+    exact = collapsed.groupBy(*by).agg(F.percentile("_x", list(probabilities), F.col("_f")).alias(output))
     if not extra:
         return exact
     return _join_by(sketched.drop("_bounds"), exact, by, how="left")

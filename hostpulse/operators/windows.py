@@ -64,7 +64,7 @@ def rolling_by_time(
     seconds = max(chunks.CHUNK_SECONDS, max(minutes) * 60)
     w = chunks.chunk_window(by, clock)
     out = _with(
-        chunks.time_halo(df, clock, max(minutes) * 60 - 1, seconds),
+        chunks.halo(df, by, clock, look_back=max(minutes) * 60 - 1, seconds=seconds),
         [x for c in columns for x in time_rolling_columns(w, c, minutes)],
     )
     return chunks.without_halo(out)
@@ -76,7 +76,7 @@ def rolling_by_rows(
 ) -> DataFrame:
     w = chunks.chunk_window(by, clock)
     out = _with(
-        chunks.row_halo(df, by, clock, before=max(rows) - 1),
+        chunks.halo(df, by, clock, before=max(rows) - 1),
         [x for c in columns for x in row_rolling_columns(w, c, rows)],
     )
     return chunks.without_halo(out)
@@ -88,7 +88,7 @@ def lagged(
 ) -> DataFrame:
     w = chunks.chunk_window(by, clock)
     out = _with(
-        chunks.row_halo(df, by, clock, before=max(periods)), [x for c in columns for x in lag_columns(w, c, periods)]
+        chunks.halo(df, by, clock, before=max(periods)), [x for c in columns for x in lag_columns(w, c, periods)]
     )
     return chunks.without_halo(out)
 
@@ -100,7 +100,7 @@ def lagged_filled(
     first = df.groupBy(*by).agg(*[F.min_by(c, clock).alias(f"_first_{c}") for c in columns])
     w = chunks.chunk_window(by, clock)
     out = _with(
-        chunks.row_halo(df, by, clock, before=max(periods)).join(first, list(by)),
+        chunks.halo(df, by, clock, before=max(periods)).join(first, list(by)),
         [x for c in columns for x in filled_lag_columns(w, c, periods, F.col(f"_first_{c}"))],
     )
     return chunks.without_halo(out).drop(*[f"_first_{c}" for c in columns])
@@ -112,7 +112,7 @@ def changed(
 ) -> DataFrame:
     w = chunks.chunk_window(by, clock)
     out = _with(
-        chunks.row_halo(df, by, clock, before=1), [x for c in columns for x in change_columns(w, c, ratio_name, fill)]
+        chunks.halo(df, by, clock, before=1), [x for c in columns for x in change_columns(w, c, ratio_name, fill)]
     )
     return chunks.without_halo(out)
 
@@ -121,7 +121,7 @@ def smoothed(df: DataFrame, value: str = "value", by: Sequence[str] = SERIES, cl
     """Replace each value by the median of itself and its two neighbours; NULLs do not count."""
     w = chunks.chunk_window(by, clock)
     near = F.sort_array(F.array_compact(F.array(F.lag(value, 1).over(w), F.col(value), F.lead(value, 1).over(w))))
-    marked = chunks.row_halo(df, by, clock, before=1, after=1).withColumn("_near", near)
+    marked = chunks.halo(df, by, clock, before=1, after=1).withColumn("_near", near)
     n = F.size("_near")
     middle = (F.get("_near", F.floor((n - 1) / 2).cast("int")) + F.get("_near", F.floor(n / 2).cast("int"))) / 2
     return chunks.without_halo(marked.withColumn(value, middle).drop("_near"))

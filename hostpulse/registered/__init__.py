@@ -62,9 +62,16 @@ def oracle(q: Query) -> str | None:
     return f"WITH {ORACLE_VIEWS.strip()}\n{body}"
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Round result columns for comparison across engines; order of columns is kept."""
-    return df.select(*[F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
+def rounded(df: DataFrame, *columns: str, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Round result columns for comparison across engines; order of columns is kept.
+
+    Means of short decimals can end exactly half way between two rounded values, where
+    engines differ. ``nudge`` (the check SQL adds the same) moves such ties one way.
+    """
+    def one(c: str) -> Column:
+        return F.round(F.col(c) + nudge if nudge else F.col(c), digits).alias(c)
+
+    return df.select(*[one(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def r(c: Column | str, digits: int = 6) -> Column:

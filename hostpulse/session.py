@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "hostpulse", master: str | None = None, **conf: object) -> SparkSession:
@@ -43,3 +43,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     root = tempfile.mkdtemp(prefix="hostpulse-")
     atexit.register(shutil.rmtree, root, ignore_errors=True)
     return os.path.join(root, purpose)
+
+
+def materialised(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame that several later passes read, and read it back.
+
+    The table lies in the shared folder, so lost executors cost no recomputation of what
+    led to it, and each later pass reads only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
