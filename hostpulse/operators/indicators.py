@@ -72,7 +72,8 @@ def alert_state(
     clock: str = "clock",
     value: str = "value",
 ) -> DataFrame:
-    """State of a threshold rule per evaluation: ok, pending, or firing once it held for ``hold`` seconds.
+    """State of a threshold rule per evaluation: ok, pending, or firing once it held for ``hold`` seconds,
+    and ``since``, the start of the run of true evaluations.
 
     It fires when the condition held at every evaluation of the preceding ``hold`` seconds
     and the run of true evaluations is at least that long. A run's start is the first
@@ -91,4 +92,5 @@ def alert_state(
         "left",
     ).select(*[F.col(f"r.{c}") for c in evaluations.columns], F.col("r._high"), F.col("s._start"))
     state = F.when(~F.col("_high"), "ok").when(F.col(clock) - F.col("_start") >= hold, "firing").otherwise("pending")
-    return joined.select(*evaluations.columns, state.alias("state"))
+    since = F.when(F.col("_high"), F.col("_start"))
+    return joined.select(*evaluations.columns, state.alias("state"), since.alias("since"))

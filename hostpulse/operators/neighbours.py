@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostpulse.session import materialised
+
 BLOCK_ROWS = 4096
 GRID_COLUMNS = 3
 GRID_SLICES = 8
@@ -129,10 +131,12 @@ def nearest_points(
     placed = queries.select(*keys, "point").join(grid, keys).withColumn("_cell", cell)
     stored = reference.join(grid, keys).select(*keys, "point", "weight", cell.alias("_cell"))
 
-    own = (
+    # Written once: it bounds the second pass and is merged with its result.
+    own = materialised(
         _block_search(placed.select(*keys, "point", "_cell"), stored, keys, k, key_types)
         .groupBy(*keys, "point")
-        .agg(_best(F.col("_found"), k).alias("_found"))
+        .agg(_best(F.col("_found"), k).alias("_found")),
+        "nearest-in-cell",
     )
     known = placed.join(own, [*keys, "point"], "left")
     reach = F.when(F.size("_found") == k, F.get("_found", F.lit(k - 1))["distance"]).otherwise(float("inf"))
@@ -222,8 +226,6 @@ def _factor(edges: DataFrame, own: DataFrame, model: DataFrame, by: Sequence[str
 
 def fit_lof(df: DataFrame, columns: Sequence[str], k: int = 20, by: Sequence[str] = HOST) -> DataFrame:
     """Model per distinct training point: weight, k-distance, density and its own outlier factor."""
-    from hostpulse.session import materialised
-
     points = materialised(distinct_points(as_points(df, columns), by), "points")
     near = materialised(nearest_points(points, points, k + 1, len(columns), by), "nearest")
     edges = _edges(near, k, True, by)
@@ -237,8 +239,6 @@ def lof_scores(
     df: DataFrame, model: DataFrame, columns: Sequence[str], k: int = 20, by: Sequence[str] = HOST
 ) -> DataFrame:
     """Score rows against a fitted model: ``lof_score`` is the negated factor, low is anomalous."""
-    from hostpulse.session import materialised
-
     rows = as_points(df, columns)
     queries = rows.select(*by, "point").distinct()
     near = materialised(

@@ -70,4 +70,4 @@ FROM runs
 def alert_rule_states(t: Tables) -> DataFrame:
     """Five-minute evaluations above 20 that must hold for an hour."""
     evaluations = t.samples.groupBy("host", F.expr("clock div 300L * 300L").alias("clock")).agg(F.max("value").alias("value"))
-    return indicators.alert_state(evaluations, limit=20, hold=3600)
+    return indicators.alert_state(evaluations, limit=20, hold=3600).drop("since")
