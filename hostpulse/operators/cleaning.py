@@ -15,6 +15,7 @@ from hostpulse.functions import fixed_values as fixed
 from hostpulse.functions.numeric import clip, finite
 from hostpulse.operators import chunks
 from hostpulse.operators.quantiles import exact_quantiles
+from hostpulse.session import materialised
 
 SERIES = ("host", "measurement")
 
@@ -105,15 +106,18 @@ def iqr_capped(
 
 
 def clean(df: DataFrame, by: Sequence[str] = SERIES, clock: str = "clock") -> DataFrame:
-    """Fill gaps, then cap outliers at 1.5 times the quartile distance."""
-    return iqr_capped(filled(df, by=by, clock=clock, rest=None), fixed.IQR_FACTOR, by)
+    """Fill gaps, then cap outliers at 1.5 times the quartile distance.
+
+    The filled rows are written once: the bounds take two passes over them, capping one more.
+    """
+    return iqr_capped(materialised(filled(df, by=by, clock=clock, rest=None), "filled"), fixed.IQR_FACTOR, by)
 
 
 def clean_wide(
     wide: DataFrame, columns: Sequence[str], by: Sequence[str] = ("host",), clock: str = "clock"
 ) -> DataFrame:
     """The same on a wide frame: bounds are fitted per metric and joined as one row per key."""
-    full = filled(wide, columns, by, clock, rest=None)
+    full = materialised(filled(wide, columns, by, clock, rest=None), "filled")
     bounds = iqr_bounds(_long(full, columns, by), fixed.IQR_FACTOR, [*by, "measurement"])
     limits = _one_row(bounds, columns, by, ("lower", "upper"))
     return full.join(limits, list(by), "left").select(
@@ -129,7 +133,7 @@ def prepare_training(
 ) -> DataFrame:
     """Detector training input: drop sparse series, fill, drop constant ones, cap widely, need enough rows."""
     dense = dense_series(null_if_not_finite(df), by)
-    varying = varying_series(filled(dense, by=by, clock=clock), by)
+    varying = materialised(varying_series(filled(dense, by=by, clock=clock), by), "varying")
     return long_enough(iqr_capped(varying, fixed.TRAINING_IQR_FACTOR, by, only_spread=True), minimum, by)
 
 

@@ -32,7 +32,7 @@ votes AS (SELECT host, clock, max(z_score) AS z_score, max(modified_z_score) AS
 
 def fitted(t: Tables) -> DataFrame:
     """Seven numbers per series, written once because every detector reads them."""
-    return materialised(baseline.fit_baseline(t.hourly), "baseline")
+    return materialised(baseline.fit_baseline(t.written("hourly")), "baseline")
 
 
 @query("D7", f"""
@@ -41,38 +41,38 @@ SELECT host, measurement, round(COLUMNS(* EXCLUDE (host, measurement)) + 1e-9, 6
 """)
 def baseline_statistics(t: Tables) -> DataFrame:
     return rounded(
-        baseline.fit_baseline(t.hourly), "mean", "std", "median", "mad", "q1", "q3", "iqr", nudge=1e-9
+        baseline.fit_baseline(t.written("hourly")), "mean", "std", "median", "mad", "q1", "q3", "iqr", nudge=1e-9
     )
 
 
 @query("C7", f"WITH {BASELINE} SELECT host, measurement, clock, value, z_score, modified_z_score, iqr_score FROM compared")
 def samples_with_baseline(t: Tables) -> DataFrame:
-    return baseline.compared(t.hourly, fitted(t))
+    return baseline.compared(t.written("hourly"), fitted(t))
 
 
 @query("I1", f"WITH {BASELINE} SELECT host, clock, z_score FROM votes")
 def z_score_flags(t: Tables) -> DataFrame:
-    return baseline.moment_flag(t.hourly, fitted(t), "z_score")
+    return baseline.moment_flag(t.written("hourly"), fitted(t), "z_score")
 
 
 @query("I2", f"WITH {BASELINE} SELECT host, clock, modified_z_score FROM votes")
 def modified_z_score_flags(t: Tables) -> DataFrame:
-    return baseline.moment_flag(t.hourly, fitted(t), "modified_z_score")
+    return baseline.moment_flag(t.written("hourly"), fitted(t), "modified_z_score")
 
 
 @query("I3", f"WITH {BASELINE} SELECT host, clock, iqr_score FROM votes")
 def quartile_band_flags(t: Tables) -> DataFrame:
-    return baseline.moment_flag(t.hourly, fitted(t), "iqr_score")
+    return baseline.moment_flag(t.written("hourly"), fitted(t), "iqr_score")
 
 
 @query("I4", f"WITH {BASELINE} SELECT * FROM votes")
 def statistical_vote(t: Tables) -> DataFrame:
-    return baseline.statistical_vote(t.hourly, fitted(t))
+    return baseline.statistical_vote(t.written("hourly"), fitted(t))
 
 
 @query("I9", f"WITH {BASELINE} SELECT host, clock, measurement, round(contribution, 6) AS contribution FROM compared")
 def anomaly_contributions(t: Tables) -> DataFrame:
-    exploded = baseline.explained(t.hourly, fitted(t)).select(
+    exploded = baseline.explained(t.written("hourly"), fitted(t)).select(
         "host", "clock", F.explode("affected_metrics").alias("measurement", "contribution")
     )
     return rounded(exploded, "contribution")
@@ -88,8 +88,8 @@ FROM votes v JOIN compared c ON v.host = c.host AND v.clock = c.clock WHERE stat
 def statistical_anomalies(t: Tables) -> DataFrame:
     """Anomaly records of the statistical detector alone; the largest contribution is the confidence."""
     fit = fitted(t)
-    votes = baseline.statistical_vote(t.hourly, fit).withColumnRenamed("stat_flag", "is_anomaly")
-    causes = baseline.explained(t.hourly, fit)
+    votes = baseline.statistical_vote(t.written("hourly"), fit).withColumnRenamed("stat_flag", "is_anomaly")
+    causes = baseline.explained(t.written("hourly"), fit)
     scored = votes.join(causes, ["host", "clock"]).withColumn(
         "confidence_score", F.array_max(F.map_values("affected_metrics"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hostpulse.functions import numeric
 from hostpulse.operators import aggregates, cleaning, profiles, quality, windows
 from hostpulse.registered import query, r, rounded
+from hostpulse.session import materialised
 from hostpulse.sources.tables import AS_OF, METRICS, Tables
 
 LONG = f"""
@@ -17,7 +18,7 @@ long AS (SELECT host, clock, measurement, value FROM wide
 
 def long(t: Tables) -> DataFrame:
     """The sparse wide frame as rows, gaps included."""
-    return aggregates.to_long(t.wide, METRICS)
+    return aggregates.to_long(t.written("wide"), METRICS)
 
 
 @query("B9", """
@@ -88,7 +89,7 @@ CLEAN_WIDE = FILLED_WIDE + ",\nband AS (SELECT host, " + ", ".join(
 
 @query("H1, S9", f"WITH {CLEAN_WIDE} SELECT host, clock, {', '.join(f'round({c}, 6) AS {c}' for c in METRICS)} FROM cleaned")
 def cleaned_metrics(t: Tables) -> DataFrame:
-    return rounded(cleaning.clean_wide(t.wide, METRICS), *METRICS)
+    return rounded(cleaning.clean_wide(t.written("wide"), METRICS), *METRICS)
 
 
 @query("H1", f"""
@@ -109,7 +110,7 @@ SELECT h.host, h.measurement, h.clock, round(CASE WHEN q3 > q1
 FROM hourly h JOIN b ON h.host = b.host AND h.measurement = b.measurement
 """)
 def widely_capped(t: Tables) -> DataFrame:
-    return rounded(cleaning.iqr_capped(t.hourly, 3.0, only_spread=True), "value").select(
+    return rounded(cleaning.iqr_capped(t.written("hourly"), 3.0, only_spread=True), "value").select(
         "host", "measurement", "clock", "value"
     )
 
@@ -146,7 +147,7 @@ SELECT f.host, f.clock, {out} FROM filled f JOIN p ON f.host = p.host"""
 
 
 def _scaled(t: Tables, method: str) -> DataFrame:
-    full = cleaning.filled(t.wide, METRICS, by=("host",), rest=None)
+    full = materialised(cleaning.filled(t.written("wide"), METRICS, by=("host",), rest=None), "filled")
     return rounded(cleaning.scaled(full, METRICS, cleaning.fit_scaling(full, METRICS, method)), *METRICS)
 
 
@@ -169,7 +170,7 @@ def robust_scaled(t: Tables) -> DataFrame:
 FROM wide w JOIN (SELECT host, """ + ", ".join(f"median({c}) AS {c}_m" for c in METRICS) + """
 FROM wide GROUP BY host) m ON w.host = m.host""")
 def median_imputed(t: Tables) -> DataFrame:
-    return rounded(cleaning.median_imputed(t.wide, METRICS), *METRICS)
+    return rounded(cleaning.median_imputed(t.written("wide"), METRICS), *METRICS)
 
 
 _KNOWN = " + ".join(f"count({c})" for c in METRICS)
@@ -273,7 +274,7 @@ def metric_profiles(t: Tables) -> DataFrame:
 
 @query("H13", f"WITH {PROFILES}, {KEPT} SELECT host, measurement, clock, value FROM kept")
 def without_profile_outliers(t: Tables) -> DataFrame:
-    return profiles.without_outliers(t.hourly, profiles.metric_profiles(t.hourly)).select(
+    return profiles.without_outliers(t.written("hourly"), profiles.metric_profiles(t.written("hourly"))).select(
         "host", "measurement", "clock", "value"
     )
 
@@ -286,7 +287,7 @@ prepared AS (SELECT host, measurement, clock, CASE WHEN smooth THEN median(value
 
 @query("H14", f"WITH {PROFILES}, {KEPT}, {PREPARED} SELECT host, measurement, clock, round(value, 6) AS value FROM prepared")
 def prepared_series(t: Tables) -> DataFrame:
-    return rounded(profiles.prepared_series(t.hourly, profiles.metric_profiles(t.hourly)), "value").select(
+    return rounded(profiles.prepared_series(t.written("hourly"), profiles.metric_profiles(t.written("hourly"))), "value").select(
         "host", "measurement", "clock", "value"
     )
 

@@ -45,7 +45,7 @@ def failure_recommendations(t: Tables) -> DataFrame:
 
 
 def _labelled(t: Tables) -> DataFrame:
-    full = cleaning.filled(t.wide, METRICS, by=("host",))
+    full = cleaning.filled(t.written("wide"), METRICS, by=("host",))
     return materialised(intervals.label_failures(full, t.alert_times), "labelled")
 
 
@@ -63,13 +63,13 @@ def balanced_classes(t: Tables) -> DataFrame:
 @query("K1, K5, F5")
 def failure_model_importances(t: Tables) -> DataFrame:
     """Forest trained on the feature pipeline's output; features by importance."""
-    model = failure_prediction.train(materialised(t.wide, "wide"), METRICS, t.alert_times)
+    model = failure_prediction.train(t.written("wide"), METRICS, t.alert_times)
     return rounded(model.importances, "importance")
 
 
 @query("K1, K3, K5, D14")
 def failure_predictions(t: Tables) -> DataFrame:
     """Forest with class weights, scored over the whole history."""
-    wide = materialised(t.wide, "wide")
+    wide = t.written("wide")
     model = failure_prediction.train(wide, METRICS, t.alert_times, balance="weights")
     return rounded(failure_prediction.predict(wide, model), "failure_probability", "time_to_failure_hours")

@@ -10,6 +10,7 @@ from hostpulse.operators import cleaning, features, intervals
 from hostpulse.plans import datasets
 from hostpulse.registered import query, rounded
 from hostpulse.registered.cleaning import CLEAN_WIDE, FILLED_WIDE
+from hostpulse.session import materialised
 from hostpulse.sources.tables import AS_OF, METRICS, Tables
 
 MINUTES = [180, 360, 720]  # the windows of 5, 15 and 60 minutes hold one hourly row each
@@ -23,7 +24,7 @@ CYCLIC_SQL = f"""sin(2 * pi() * {HOUR} / 24) AS hour_sin, cos(2 * pi() * {HOUR}
 
 
 def _filled(t: Tables) -> DataFrame:
-    return cleaning.filled(t.wide, METRICS, by=("host",), rest=None)
+    return materialised(cleaning.filled(t.written("wide"), METRICS, by=("host",), rest=None), "filled")
 
 
 def _round_doubles(df: DataFrame, nudge: float = 0.0) -> DataFrame:
@@ -63,12 +64,13 @@ ROLLING_LAG_SQL = _rolling_lag_sql()
 @query("H4, E2, E4, E6, S5, S8", f"""
 WITH {ROLLING_LAG_SQL}
 SELECT host, clock, hour_of_day, day_of_week, is_weekend, is_business_hours,
-       round(COLUMNS(* EXCLUDE (host, clock, hour_of_day, day_of_week, is_weekend, is_business_hours)), 6)
+       round(COLUMNS(* EXCLUDE (host, clock, hour_of_day, day_of_week, is_weekend, is_business_hours)) + 1e-9, 6)
 FROM whole
 """)
 def rolling_lag_features(t: Tables) -> DataFrame:
-    made = features.rolling_lag_set(cleaning.clean_wide(t.wide, METRICS), METRICS, MINUTES)
-    return _round_doubles(made)
+    steady = materialised(cleaning.clean_wide(t.written("wide"), METRICS), "cleaned")
+    made = features.rolling_lag_set(steady, METRICS, MINUTES)
+    return _round_doubles(made, nudge=1e-9)
 
 
 def _statistical_columns() -> tuple[list[str], str]:
@@ -171,7 +173,7 @@ FROM even e JOIN s ON e.host = s.host
 @query("H10", _PIPELINE_SQL)
 def feature_pipeline(t: Tables) -> DataFrame:
     """Fit on the frame and transform it."""
-    _, made = datasets.fit_features(t.wide, METRICS)
+    _, made = datasets.fit_features(t.written("wide"), METRICS)
     return rounded(made, *_PIPELINE, digits=4)
 
 
@@ -212,7 +214,7 @@ FROM rows_of r JOIN stats ON r.host = stats.host AND r.name = stats.name
 @query("H11", _labelled_sql())
 def labelled_dataset(t: Tables) -> DataFrame:
     """The training set, one row per feature for comparison."""
-    made = datasets.labelled_dataset(t.wide, METRICS, t.alert_times, MINUTES)
+    made = datasets.labelled_dataset(t.written("wide"), METRICS, t.alert_times, MINUTES)
     names = [c for c in made.columns if c not in ("host", "clock", "is_anomaly")]
     return rounded(made.unpivot(["host", "clock", "is_anomaly"], names, "name", "value"), "value", digits=4)
 

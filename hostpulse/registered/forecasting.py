@@ -26,14 +26,14 @@ KEY = ["host", "metric", "model"]
 
 
 def _actual(t: Tables) -> DataFrame:
-    return t.forecast.select(*KEY, F.col("ds").alias("clock"), (F.col("yhat") * 1.1 + 1).alias("y"))
+    return t.written("forecast").select(*KEY, F.col("ds").alias("clock"), (F.col("yhat") * 1.1 + 1).alias("y"))
 
 
 @query("C8", f"WITH {_PAIRS} SELECT host, metric, model, step, round(y, 6) AS y, yhat FROM pairs")
 def forecast_with_actual(t: Tables) -> DataFrame:
     from hostpulse.operators.windows import paired_by_position
 
-    pairs = paired_by_position(_actual(t), t.forecast.select(*KEY, "ds", "yhat"), KEY, "clock", "ds")
+    pairs = paired_by_position(_actual(t), t.written("forecast").select(*KEY, "ds", "yhat"), KEY, "clock", "ds")
     return rounded(pairs.select(*KEY, "step", "y", "yhat"), "y")
 
 
@@ -43,7 +43,7 @@ SELECT host, metric, model, round(avg(abs(y - yhat)), 6) AS mae, round(sqrt(avg(
   round(avg(abs((y - yhat) / (y + 1e-8))) * 100, 6) AS mape FROM pairs GROUP BY ALL
 """)
 def forecast_errors(t: Tables) -> DataFrame:
-    given = t.forecast.select(*KEY, "ds", "yhat")
+    given = t.written("forecast").select(*KEY, "ds", "yhat")
     return rounded(evaluation.forecast_accuracy(_actual(t), given, KEY, "clock", "ds"), "mae", "rmse", "mape")
 
 
@@ -61,7 +61,7 @@ SELECT c.host, c.metric, c.model, round(confidence_score, 6) AS confidence_score
 FROM confidence c JOIN slopes s ON c.host = s.host AND c.metric = s.metric AND c.model = s.model
 """)
 def forecast_summary(t: Tables) -> DataFrame:
-    return rounded(evaluation.forecast_summary(t.forecast), "confidence_score", "slope")
+    return rounded(evaluation.forecast_summary(t.written("forecast")), "confidence_score", "slope")
 
 
 @query("J7", """
@@ -78,7 +78,7 @@ SELECT *, CASE type WHEN 'unusually_low' THEN 'info'
 FROM alerted WHERE type IS NOT NULL
 """)
 def forecast_alerts(t: Tables) -> DataFrame:
-    return evaluation.forecast_alerts(chunks.with_position(t.forecast, KEY, "ds", position="step"))
+    return evaluation.forecast_alerts(chunks.with_position(t.written("forecast"), KEY, "ds", position="step"))
 
 
 @query("J8", """
@@ -86,7 +86,7 @@ WITH best AS (SELECT host, metric, min(model) AS model FROM forecast GROUP BY AL
 SELECT f.* FROM forecast f JOIN best b ON f.host = b.host AND f.metric = b.metric AND f.model = b.model
 """)
 def preferred_forecast(t: Tables) -> DataFrame:
-    return evaluation.preferred_model(t.forecast)
+    return evaluation.preferred_model(t.written("forecast"))
 
 
 @query("D20", f"""
@@ -96,8 +96,8 @@ SELECT (SELECT count(*) FROM (SELECT DISTINCT host, measurement FROM hourly)) AS
   round(avg(confidence_score), 6) AS average_confidence FROM confidence
 """)
 def fleet_forecast_summary(t: Tables) -> DataFrame:
-    attempted = t.hourly.select("host", F.col("measurement").alias("metric"))
-    return rounded(evaluation.fleet_summary(evaluation.forecast_confidence(t.forecast), attempted), "average_confidence")
+    attempted = t.written("hourly").select("host", F.col("measurement").alias("metric"))
+    return rounded(evaluation.fleet_summary(evaluation.forecast_confidence(t.written("forecast")), attempted), "average_confidence")
 
 
 @query("D21", f"""
@@ -121,18 +121,18 @@ def model_coverage(t: Tables) -> DataFrame:
 @query("J2, J3, J4, H13, H14, H15")
 def model_forecasts(t: Tables) -> DataFrame:
     """A day ahead from both models for every series."""
-    return forecasting.forecast(forecasting.train(t.hourly), periods=24)
+    return forecasting.forecast(forecasting.train(t.written("hourly")), periods=24)
 
 
 @query("J5")
 def trained_forecasters(t: Tables) -> DataFrame:
     """Every series trained on its first four fifths and judged on the rest."""
-    return forecasting.evaluated(t.hourly, AS_OF)
+    return forecasting.evaluated(t.written("hourly"), AS_OF)
 
 
 @query("J6, J7")
 def forecast_reports(t: Tables) -> DataFrame:
-    return forecasting.forecast_report(forecasting.train(t.hourly))
+    return forecasting.forecast_report(forecasting.train(t.written("hourly")))
 
 
 @query("A9, A10, J8")
@@ -141,7 +141,7 @@ def stored_forecasters(t: Tables) -> DataFrame:
     from hostpulse.operators import additive
 
     root = shared_dir(t.spark, "forecasters")
-    models = forecasting.train(t.hourly).models.withColumn("metric", F.col("measurement"))
+    models = forecasting.train(t.written("hourly")).models.withColumn("metric", F.col("measurement"))
     registry.save_version(models, root, "additive", "1.0_20240131_000000")
     loaded = registry.load_version(t.spark, root, "additive", metrics=METRICS[:2])
     rows = additive.forecast(loaded.select(*models.drop("metric").columns), 24)

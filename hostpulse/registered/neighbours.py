@@ -15,7 +15,7 @@ from hostpulse.sources.tables import AS_OF, METRICS, Tables
 
 
 def _full(t: Tables) -> DataFrame:
-    return materialised(cleaning.filled(t.wide, METRICS, by=("host",)), "filled")
+    return materialised(cleaning.filled(t.written("wide"), METRICS, by=("host",)), "filled")
 
 
 _DISTANCE = "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in METRICS) + ")"
@@ -75,25 +75,25 @@ FROM wide w JOIN means ON w.host = means.host
 {' '.join(f'LEFT JOIN fill_{i} ON w.host = fill_{i}.host AND w.clock = fill_{i}.clock' for i, _ in enumerate(METRICS))}
 """)
 def neighbour_imputed(t: Tables) -> DataFrame:
-    return rounded(neighbours.knn_imputed(materialised(t.wide, "wide"), METRICS), *METRICS, nudge=1e-9)
+    return rounded(neighbours.knn_imputed(t.written("wide"), METRICS), *METRICS, nudge=1e-9)
 
 
 @query("I5")
 def isolation_forest(t: Tables) -> DataFrame:
     """Forest score and flag per host and hour."""
-    flags = detection.accuracy_flags(t.wide, METRICS)
+    flags = detection.accuracy_flags(t.written("wide"), METRICS)
     return rounded(flags.select("host", "clock", "if_score", "outlier"), "if_score")
 
 
 @query("D8")
 def data_quality_accuracy(t: Tables) -> DataFrame:
     """Quality with accuracy from the forest: the share of rows it takes for normal."""
-    flags = detection.accuracy_flags(t.wide, METRICS).select("host", "clock", "outlier")
-    return quality.frame_quality(t.wide.join(flags, ["host", "clock"]), [*METRICS, "host"], outlier="outlier")
+    flags = detection.accuracy_flags(t.written("wide"), METRICS).select("host", "clock", "outlier")
+    return quality.frame_quality(t.written("wide").join(flags, ["host", "clock"]), [*METRICS, "host"], outlier="outlier")
 
 
 def _detector(t: Tables) -> tuple[DataFrame, detection.Detector]:
-    training = materialised(detection.training_frame(t.wide, METRICS), "training")
+    training = materialised(detection.training_frame(t.written("wide"), METRICS), "training")
     return training, detection.fit_detector(training, METRICS)
 
 
@@ -108,7 +108,7 @@ def trained_detector_report(t: Tables) -> DataFrame:
 def detected_anomalies(t: Tables) -> DataFrame:
     """All three detectors trained on the whole history and run over it."""
     _, model = _detector(t)
-    records = detection.detect(cleaning.filled(t.wide, METRICS, by=("host",)), model)
+    records = detection.detect(cleaning.filled(t.written("wide"), METRICS, by=("host",)), model)
     return records.select(
         "host", "clock", "confidence_score", "severity", F.to_json(clean_map(F.col("affected_metrics"))).alias("affected_metrics")
     )
@@ -117,13 +117,13 @@ def detected_anomalies(t: Tables) -> DataFrame:
 @query("D13")
 def detection_silhouette(t: Tables) -> DataFrame:
     """Separation of the forest's normal and outlying rows."""
-    flags = detection.accuracy_flags(t.wide, METRICS).withColumnRenamed("outlier", "is_anomaly")
+    flags = detection.accuracy_flags(t.written("wide"), METRICS).withColumnRenamed("outlier", "is_anomaly")
     return rounded(ensemble.silhouette(flags, METRICS), "silhouette_score")
 
 
 @query("I11, E12")
 def contamination_search(t: Tables) -> DataFrame:
-    training = materialised(detection.training_frame(t.wide, METRICS), "training")
+    training = materialised(detection.training_frame(t.written("wide"), METRICS), "training")
     scores = materialised(detection.contamination_scores(training, METRICS), "contamination")
     best = detection.best_contamination(scores).withColumnRenamed("contamination", "best")
     return rounded(scores.join(best, "host"), "mean_decision")

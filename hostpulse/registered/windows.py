@@ -31,14 +31,14 @@ def _round_rolling(df: DataFrame) -> DataFrame:
     f"{m}m": f"RANGE BETWEEN {m * 60 - 1} PRECEDING AND CURRENT ROW" for m in (5, 15, 60)
 }))
 def rolling_by_time(t: Tables) -> DataFrame:
-    return _round_rolling(windows.rolling_by_time(t.samples))
+    return _round_rolling(windows.rolling_by_time(t.written("samples")))
 
 
 @query("E3", _frames_sql("hourly", {
     str(n): f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW" for n in (3, 5, 10)
 }, std="coalesce(stddev_samp(value) OVER {w}, 0)"))
 def rolling_by_rows(t: Tables) -> DataFrame:
-    return _round_rolling(windows.rolling_by_rows(t.hourly))
+    return _round_rolling(windows.rolling_by_rows(t.written("hourly")))
 
 
 @query("E4", """
@@ -47,7 +47,7 @@ SELECT host, measurement, clock, value, lag(value, 1) OVER w AS value_lag_1, lag
 FROM hourly WINDOW w AS (PARTITION BY host, measurement ORDER BY clock)
 """)
 def lagged_values(t: Tables) -> DataFrame:
-    return windows.lagged(t.hourly)
+    return windows.lagged(t.written("hourly"))
 
 
 @query("E5", """
@@ -58,7 +58,7 @@ SELECT host, measurement, clock, value,
 FROM hourly WINDOW w AS (PARTITION BY host, measurement ORDER BY clock)
 """)
 def lagged_values_filled(t: Tables) -> DataFrame:
-    return windows.lagged_filled(t.hourly)
+    return windows.lagged_filled(t.written("hourly"))
 
 
 @query("E6", """
@@ -67,7 +67,7 @@ SELECT host, measurement, clock, value, round(value / nullif(lag(value) OVER w,
 FROM hourly WINDOW w AS (PARTITION BY host, measurement ORDER BY clock)
 """)
 def changes(t: Tables) -> DataFrame:
-    return rounded(windows.changed(t.hourly), "value_rate_change", "value_diff")
+    return rounded(windows.changed(t.written("hourly")), "value_rate_change", "value_diff")
 
 
 @query("E6", """
@@ -77,7 +77,7 @@ SELECT host, measurement, clock, value,
 FROM hourly WINDOW w AS (PARTITION BY host, measurement ORDER BY clock)
 """)
 def changes_filled(t: Tables) -> DataFrame:
-    return rounded(windows.changed(t.hourly, ratio_name="pct_change", fill=0.0), "value_pct_change", "value_diff")
+    return rounded(windows.changed(t.written("hourly"), ratio_name="pct_change", fill=0.0), "value_pct_change", "value_diff")
 
 
 _FILL = """coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY host ORDER BY clock ROWS UNBOUNDED PRECEDING),
@@ -90,7 +90,7 @@ _FILL_SQL = f"SELECT host, clock, {', '.join(_FILL.format(c=c) for c in METRICS)
 
 @query("E7", _FILL_SQL)
 def filled_gaps(t: Tables) -> DataFrame:
-    return cleaning.filled(t.wide, METRICS, by=("host",))
+    return cleaning.filled(t.written("wide"), METRICS, by=("host",))
 
 
 _NEAR = """last_value({c} IGNORE NULLS) OVER p AS {c}_pv, first_value({c} IGNORE NULLS) OVER f AS {c}_nv,
@@ -107,7 +107,7 @@ SELECT host, clock, {', '.join(_BETWEEN.format(c=c) for c in METRICS)} FROM (
          f AS (PARTITION BY host ORDER BY clock ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 """)
 def interpolated_gaps(t: Tables) -> DataFrame:
-    return rounded(cleaning.interpolated(t.wide, METRICS, by=("host",)), *METRICS)
+    return rounded(cleaning.interpolated(t.written("wide"), METRICS, by=("host",)), *METRICS)
 
 
 @query("E9", """
@@ -115,7 +115,7 @@ SELECT host, measurement, clock, round(median(value) OVER (PARTITION BY host, me
   ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS value FROM hourly
 """)
 def smoothed_spikes(t: Tables) -> DataFrame:
-    return rounded(windows.smoothed(t.hourly), "value")
+    return rounded(windows.smoothed(t.written("hourly")), "value")
 
 
 @query("E10", """
@@ -124,7 +124,7 @@ FROM hourly h JOIN (SELECT host, measurement, avg(value) AS m, stddev_samp(value
 ON h.host = b.host AND h.measurement = b.measurement
 """)
 def standardised_values(t: Tables) -> DataFrame:
-    return rounded(windows.standardised(t.hourly), "value_zscore")
+    return rounded(windows.standardised(t.written("hourly")), "value_zscore")
 
 
 @query("E11", """
@@ -133,7 +133,7 @@ SELECT host, measurement, clock, value, CASE WHEN
   count(*) OVER (PARTITION BY host, measurement) * 8 // 10 THEN 'train' ELSE 'test' END AS part FROM hourly
 """)
 def chronological_split(t: Tables) -> DataFrame:
-    return windows.split_by_time(t.hourly)
+    return windows.split_by_time(t.written("hourly"))
 
 
 @query("E12", """
@@ -142,7 +142,7 @@ SELECT host, clock, CAST(least((rn - 1) // (n // 3), 2) AS INTEGER) AS fold FROM
          count(*) OVER (PARTITION BY host) AS n FROM wide)
 """)
 def validation_blocks(t: Tables) -> DataFrame:
-    return windows.fold_by_time(t.wide.select("host", "clock"))
+    return windows.fold_by_time(t.written("wide").select("host", "clock"))
 
 
 @query("E13", """
@@ -152,7 +152,7 @@ FROM (SELECT host, metric, model, count(*) AS points, regr_slope(yhat, rn) AS sl
   SELECT *, row_number() OVER (PARTITION BY host, metric, model ORDER BY ds) AS rn FROM forecast) GROUP BY ALL)
 """)
 def forecast_trend(t: Tables) -> DataFrame:
-    return rounded(windows.trend(t.forecast, ["host", "metric", "model"], "yhat", "ds"), "slope")
+    return rounded(windows.trend(t.written("forecast"), ["host", "metric", "model"], "yhat", "ds"), "slope")
 
 
 @query("F6", """

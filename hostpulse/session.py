@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 
+import hostpulse
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,7 +23,11 @@ def build_session(app: str = "hostpulse", master: str | None = None, **conf: obj
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings results depend on. Cluster sizing is left to the cluster."""
+    """Pin the runtime settings results depend on. Cluster sizing is left to the cluster.
+
+    Functions that run in tasks travel with the job, so executors need no copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(hostpulse)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

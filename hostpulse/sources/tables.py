@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.session import prepare
+from hostpulse.session import materialised, prepare
 
 AS_OF = 1706659200  # 2024-01-31 00:00:00 UTC, the fixed "now" of the derived data
 HOUR = 3600
@@ -45,6 +45,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
         self.folder = folder
+        self._written: dict[str, DataFrame] = {}
+
+    def written(self, view: str) -> DataFrame:
+        """A view written once and read back, for operators that pass over their input several times."""
+        if view not in self._written:
+            self._written[view] = materialised(getattr(self, view), view)
+        return self._written[view]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
