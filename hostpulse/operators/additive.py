@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostpulse.operators import chunks
+from hostpulse.session import spread
 
 CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
@@ -141,11 +142,11 @@ def fit(frame: DataFrame, profiles: DataFrame, minimum: int = 20, by: Sequence[s
     )
     key_types = ", ".join(f"{k} string" for k in keys)
     sums = (
-        rows.withColumn(chunks.CHUNK, chunks.chunk_of("ds"))
+        spread(rows.withColumn(chunks.CHUNK, chunks.chunk_of("ds")), *keys, chunks.CHUNK)
         .groupBy(*keys, chunks.CHUNK)
         .applyInPandas(_chunk_sums, f"{key_types}, gram array<double>, moment array<double>, square double, n bigint")
     )
-    return sums.join(setup, keys).groupBy(*keys).applyInPandas(_solve, f"{key_types}, {MODEL_COLUMNS}")
+    return spread(sums.join(setup, keys), *keys).groupBy(*keys).applyInPandas(_solve, f"{key_types}, {MODEL_COLUMNS}")
 
 
 def _forecast_rows(model: pd.Series, steps: np.ndarray) -> pd.DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostpulse.session import spread
+
 SERIES = ("host", "measurement")
 FORECAST_COLUMNS = (
     "step bigint, ds bigint, yhat double, yhat_lower double, yhat_upper double, model_order string, aic double"
@@ -132,6 +134,6 @@ def forecast(
     enough = series.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= minimum).select(*keys)
     known = series.where(F.col("value").isNotNull()).join(enough, keys, "left_semi")
     key_types = ", ".join(f"{k} string" for k in keys)
-    return known.select(*keys, clock, "value", "data_type").groupBy(*keys).applyInPandas(
+    return spread(known.select(*keys, clock, "value", "data_type"), *keys).groupBy(*keys).applyInPandas(
         one, f"{key_types}, {FORECAST_COLUMNS}"
     )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hostpulse.operators import chunks
 from hostpulse.operators.quantiles import exact_quantiles
+from hostpulse.session import spread
 
 TREES, SAMPLE = 100, 256
 BATCH = 10  # trees grown per task input
@@ -45,10 +46,11 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
         if parent is not None:
             tree[side][parent] = node
         part = x[rows]
-        spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) > 1 else np.empty(0, dtype=int)
-        leaf = depth >= limit or not len(spread)
-        feature = -1 if leaf else int(rng.choice(spread))
-        cut = 0.0 if leaf else float(rng.uniform(part[:, feature].min(), part[:, feature].max()))
+        low, high = (part.min(axis=0), part.max(axis=0)) if len(rows) > 1 else (np.zeros(1), np.zeros(1))
+        varied = np.flatnonzero(high > low)
+        leaf = depth >= limit or not len(varied)
+        feature = -1 if leaf else int(varied[rng.integers(len(varied))])
+        cut = 0.0 if leaf else float(low[feature] + (high[feature] - low[feature]) * rng.random())
         for name, value in (("feature", feature), ("threshold", cut), ("left", -1), ("right", -1)):
             tree[name].append(value)
         tree["length"].append(float(depth + expected_length(len(rows))) if leaf else 0.0)
@@ -87,9 +89,8 @@ def tree_samples(
         return F.pmod(F.xxhash64(*by, clock, F.lit(seed), *extra), F.lit(_UNIT)).cast("double") / _UNIT
 
     pool_rows = 4.0 * trees * sample
-    pool = rows.where(draw(F.lit(-1)) < F.lit(pool_rows) / F.col("_n")).withColumn(
-        "_pool", F.least(F.lit(pool_rows), F.col("_n").cast("double"))
-    )
+    drawn = rows.where(draw(F.lit(-1)) < F.lit(pool_rows) / F.col("_n"))
+    pool = spread(drawn, *by, clock).withColumn("_pool", F.least(F.lit(pool_rows), F.col("_n").cast("double")))
     enough = F.lit(2.0 * sample) / F.col("_pool")
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < enough)
     taken = pool.withColumn("tree", F.explode(chosen)).withColumn("_u", draw(F.col("tree")))
@@ -122,8 +123,8 @@ def fit_forest(
         return pd.DataFrame(out)
 
     samples = tree_samples(df, columns, keys, clock, trees, sample, seed)
-    batch = F.expr(f"tree div {BATCH}").alias("_batch")
-    return samples.groupBy(*keys, batch).applyInPandas(grow_batch, f"{key_types}, {TREE_COLUMNS}")
+    batched = spread(samples.withColumn("_batch", F.expr(f"tree div {BATCH}")), *keys, "_batch")
+    return batched.groupBy(*keys, "_batch").applyInPandas(grow_batch, f"{key_types}, {TREE_COLUMNS}")
 
 
 def forest_scores(
@@ -147,10 +148,10 @@ def forest_scores(
         normal = float(expected_length(model["sample"].iloc[0])) or 1.0
         return out.assign(if_score=-np.exp2(-total / len(model) / normal))
 
-    spread = forest.join(places, keys)
+    models = forest.join(places, keys)
     # New column identities: both sides of the cogroup come from the scored rows.
-    spread = spread.toDF(*spread.columns)
-    scored = rows.groupBy(*group).cogroup(spread.groupBy(*group)).applyInPandas(
+    models = spread(models.toDF(*models.columns), *group)
+    scored = spread(rows, *group).groupBy(*group).cogroup(models.groupBy(*group)).applyInPandas(
         score, f"{key_types}, {clock} bigint, if_score double"
     )
     return df.join(scored, [*keys, clock])

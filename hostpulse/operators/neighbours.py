@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.session import materialised
+from hostpulse.session import materialised, spread
 
 BLOCK_ROWS = 4096
 GRID_COLUMNS = 3
@@ -109,8 +109,8 @@ def _block_search(queries: DataFrame, reference: DataFrame, by: Sequence[str], k
         out["_found"] = found
         return out
 
-    left = cut(queries, "q", "r").groupBy(*group)
-    right = _renewed(cut(reference, "r", "q")).groupBy(*group)
+    left = spread(cut(queries, "q", "r"), *group).groupBy(*group)
+    right = spread(_renewed(cut(reference, "r", "q")), *group).groupBy(*group)
     return left.cogroup(right).applyInPandas(search, f"{key_types}, point array<double>, {_FOUND}")
 
 
@@ -293,7 +293,8 @@ def knn_imputed(
 
     key_types = ", ".join(f"{c} {types[c]}" for c in keys)
     group = [*keys, "_qb", "_rb"]
-    found = left.groupBy(*group).cogroup(_renewed(right).groupBy(*group)).applyInPandas(
+    left, right = spread(left, *group), spread(_renewed(right), *group)
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
         search,
         f"{key_types}, {clock} bigint, column string, "
         "_found array<struct<distance:double,clock:bigint,value:double>>",

@@ -1,10 +1,10 @@
 """Exact quantiles per key when one key may hold a third of all rows.
 
 The built-in exact ``percentile`` keeps every distinct value of a key in one buffer. Here
-a mergeable sketch first brackets each wanted rank; rows outside the brackets collapse,
-by partial aggregation, to the smallest and largest value of their gap with a count. The
-exact ``percentile`` then runs over the few values that are left, with those counts as
-frequencies, and interpolates exactly as it would over all rows.
+a mergeable sketch first brackets each wanted rank of a large key. Values outside the
+brackets are then replaced by one stand-in per gap between them, which changes no wanted
+rank, and the exact ``percentile`` runs over what is left: the values inside the brackets
+and a few stand-ins, counted by partial aggregation before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 100_000
+# The sketch errs by at most 1 / SKETCH_ACCURACY of the ranks; brackets reach four times as far.
 _MARGIN = 4.0 / SKETCH_ACCURACY
+# Keys up to this size keep all values; for larger ones the margin is four ranks or more.
+_SMALL = SKETCH_ACCURACY
 
 
 def exact_quantiles(
@@ -29,51 +32,40 @@ def exact_quantiles(
     """One row per key: array ``output`` of linearly interpolated quantiles (NULLs ignored).
 
     ``also`` are further aggregates over ``df``'s columns, taken in the same first pass.
+    Keys without any value have a row only if ``also`` is given.
     """
     by = list(by)
     v = F.col(value) if isinstance(value, str) else value
-    wanted = sorted(probabilities)
-    bounds = [max(0.0, p - _MARGIN) for p in wanted] + [min(1.0, p + _MARGIN) for p in wanted]
-    k = len(wanted)
+    wanted = sorted(set(probabilities))
+    bounds = [x for p in wanted for x in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
 
     sketched = df.groupBy(*by).agg(
         F.percentile_approx(v, bounds, SKETCH_ACCURACY).alias("_bounds"),
+        F.count(v).alias("_n"),
         *also,
     )
-    extra = [c for c in sketched.columns if c not in by and c != "_bounds"]
+    extra = [c for c in sketched.columns if c not in by and c not in ("_bounds", "_n")]
 
-    def low(i: int) -> Column:
-        return F.col("_bounds")[i]
+    # Walk the brackets upwards: the first one whose upper end reaches the value either holds it or has it below.
+    kept: Column = F.when(F.col("_n") <= _SMALL, F.col("_v"))
+    for i in range(len(wanted)):
+        low, high = F.get("_bounds", F.lit(2 * i)), F.get("_bounds", F.lit(2 * i + 1))
+        before = F.get("_bounds", F.lit(2 * i - 1)) if i else low - F.abs(low) - 1.0
+        kept = kept.when((F.col("_v") >= low) & (F.col("_v") <= high), F.col("_v"))
+        kept = kept.when(F.col("_v") < low, before + (low - before) / 2)
+    top = F.get("_bounds", F.lit(2 * len(wanted) - 1))
+    kept = kept.otherwise(top + F.abs(top) + 1.0)
 
-    def high(i: int) -> Column:
-        return F.col("_bounds")[k + i]
-
-    inside = F.lit(False)
-    gap = F.lit(0)
-    for i in range(k):
-        inside = inside | F.col("_v").between(low(i), high(i))
-        gap = gap + (F.col("_v") > high(i)).cast("int")
-    rows = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-    collapsed = (
-        _join_by(rows, sketched.select(*by, "_bounds"), by)
-        .select(*by, "_v", gap.alias("_gap"), F.when(inside, F.col("_v")).alias("_kept"))
-        .groupBy(*by, "_gap", "_kept")
-        .agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("*").alias("_n"))
-        .select(
-            *by,
-            F.inline(
-                F.array(
-                    F.struct(F.col("_min").alias("_x"), F.lit(1).cast("bigint").alias("_f")),
-                    F.struct(F.col("_max").alias("_x"), (F.col("_n") - 1).alias("_f")),
-                )
-            ),
-        )
-        .where(F.col("_f") > 0)
+    rows = df.select(*by, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    exact = (
+        _join_by(rows, sketched.select(*by, "_bounds", "_n"), by)
+        .select(*by, kept.alias("_x"))
+        .groupBy(*by)
+        .agg(F.percentile("_x", list(probabilities)).alias(output))
     )
-    exact = collapsed.groupBy(*by).agg(F.percentile("_x", list(probabilities), F.col("_f")).alias(output))
     if not extra:
-        return exact
-    return _join_by(sketched.drop("_bounds"), exact, by, how="left")
+        return exact if by else exact.where(F.col(output).isNotNull())
+    return _join_by(sketched.drop("_bounds", "_n"), exact, by, how="left")
 
 
 def _join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:

@@ -51,6 +51,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, purpose)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by the keys into the session's full number of partitions.
+
+    For work in Python tasks that is heavy in time but light in bytes: left alone, adaptive
+    execution would merge such partitions into a few. A grouping by the same keys follows
+    without another shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialised(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame that several later passes read, and read it back.
 

@@ -73,3 +73,14 @@ def test_interval_labels_equal_brute_force(spark):
     assert len(got) == len(samples)
     for host, clock, near in got:
         assert near == int(any(h == host and a - 700 <= clock <= a + 300 for h, a in alerts))
+
+
+def test_brackets_of_large_keys_do_not_overlap_wrongly(spark):
+    """Close probabilities and heavy ties make brackets meet; negative values need stand-ins below them."""
+    rows = spark.range(400_000).select(
+        F.lit("k").alias("key"),
+        F.when(F.col("id") % 3 == 0, F.lit(-7.5)).otherwise((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) - 900_000) / 10.0).alias("v"),
+    )
+    shares = [0.5, 0.50001, 0.25, 0.9999, 0.00001]
+    got = exact_quantiles(rows, ["key"], "v", shares).first()["quantiles"]
+    np.testing.assert_allclose(got, np.quantile(rows.toPandas()["v"], shares), rtol=1e-12)
