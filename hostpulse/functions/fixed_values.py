@@ -50,6 +50,7 @@ IQR_FACTOR = 1.5
 TRAINING_IQR_FACTOR = 3.0
 SPREAD_FLOOR = 1e-8
 RATIO_FLOOR = 1e-8
+SCALE_FLOOR = 1e-9
 SPARSE_LIMIT = 0.8
 MIN_DETECTOR_ROWS = 10
 CONTAMINATION_GRID = [0.05, 0.10, 0.15, 0.20]

@@ -170,7 +170,8 @@ def fit_scaling(
     """Centre and scale per key: one row per key with arrays in the order of ``columns``.
 
     standard: mean and population std; minmax: minimum and range; robust: median and
-    quartile distance. A scale of 0 becomes 1.
+    quartile distance. A scale of 0 becomes 1, and so does one below 1e-9: rolling
+    statistics of equal values differ from 0 by rounding, which must not be blown up.
     """
     if method == "robust":
         q = F.col("quantiles")
@@ -197,7 +198,7 @@ def fit_scaling(
         )
     else:
         raise ValueError("method must be standard, minmax or robust")
-    return fitted.withColumn("scales", F.transform("scales", lambda s: F.when(s == 0, 1.0).otherwise(s)))
+    return fitted.withColumn("scales", F.transform("scales", lambda s: F.when(s < fixed.SCALE_FLOOR, 1.0).otherwise(s)))
 
 
 def scaled(wide: DataFrame, columns: Sequence[str], params: DataFrame, by: Sequence[str] = ("host",)) -> DataFrame:

@@ -93,18 +93,18 @@ def _block_search(queries: DataFrame, reference: DataFrame, by: Sequence[str], k
         if left.empty or right.empty:
             return pd.DataFrame(columns=[*by, "point", "_found"])
         a, b = np.array(left["point"].tolist()), np.array(right["point"].tolist())
-        weight = right["weight"].to_numpy()
+        by_point = np.lexsort(b.T[::-1])  # equal distances prefer the smaller point
+        b, weight = b[by_point], right["weight"].to_numpy()[by_point]
         found = []
         for start in range(0, len(a), 512):
             part = a[start : start + 512]
             square = np.zeros((len(part), len(b)))
             for d in range(a.shape[1]):
                 square += (part[:, d, None] - b[None, :, d]) ** 2
-            near = np.argsort(square, axis=1, kind="stable")[:, :k]
+            distance = np.sqrt(square)
+            near = np.argsort(distance, axis=1, kind="stable")[:, :k]
             for row, order in enumerate(near):
-                found.append(
-                    [(float(np.sqrt(square[row, j])), b[j].tolist(), int(weight[j])) for j in order]
-                )
+                found.append([(float(distance[row, j]), b[j].tolist(), int(weight[j])) for j in order])
         out = left[[*by, "point"]].copy()
         out["_found"] = found
         return out

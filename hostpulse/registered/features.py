@@ -164,7 +164,7 @@ even AS (SELECT host, clock, {', '.join(f'coalesce({c}, 0)::DOUBLE AS {c}' for c
 s AS (SELECT host, {', '.join(f'quantile_cont({c}, [0.25, 0.5, 0.75]) AS {c}_q' for c in _PIPELINE)}
       FROM even GROUP BY host)
 SELECT e.host, e.clock, {', '.join(
-    f'round((e.{c} - {c}_q[2]) / CASE WHEN {c}_q[3] = {c}_q[1] THEN 1 ELSE {c}_q[3] - {c}_q[1] END, 4) AS {c}'
+    f'round((e.{c} - {c}_q[2]) / CASE WHEN {c}_q[3] - {c}_q[1] < 1e-9 THEN 1 ELSE {c}_q[3] - {c}_q[1] END, 4) AS {c}'
     for c in _PIPELINE)}
 FROM even e JOIN s ON e.host = s.host
 """
@@ -204,7 +204,7 @@ WITH {ROLLING_LAG_SQL},
 rows_of AS (SELECT host, clock, name, value FROM (SELECT host, clock, COLUMNS(* EXCLUDE (host, clock))::DOUBLE FROM whole)
   UNPIVOT (value FOR name IN (COLUMNS(* EXCLUDE (host, clock))))),
 stats AS (SELECT host, name, avg(value) AS m, stddev_pop(value) AS s FROM rows_of GROUP BY ALL)
-SELECT r.host, r.clock, r.name, round((r.value - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 4) AS value,
+SELECT r.host, r.clock, r.name, round((r.value - m) / CASE WHEN s < 1e-9 THEN 1 ELSE s END, 4) AS value,
   CASE WHEN EXISTS (SELECT 1 FROM alert_times a WHERE a.host = r.host
     AND r.clock BETWEEN a.alert_clock - 1800 AND a.alert_clock + 1800) THEN 1 ELSE 0 END AS is_anomaly
 FROM rows_of r JOIN stats ON r.host = stats.host AND r.name = stats.name

@@ -37,9 +37,9 @@ def nearest_neighbours(t: Tables) -> DataFrame:
 @query("I6", f"""
 WITH {FILLED_WIDE},
 full_rows AS (SELECT host, clock, {', '.join(f'coalesce({c}, 0) AS {c}' for c in METRICS)} FROM filled),
-pairs AS (SELECT a.host, a.clock, b.clock AS other, {_DISTANCE} AS distance FROM full_rows a JOIN full_rows b
-  ON a.host = b.host AND a.clock <> b.clock),
-edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host, clock ORDER BY distance, other) AS rn FROM pairs)
+pairs AS (SELECT a.host, a.clock, b.clock AS other, [{', '.join(f'b.{c}' for c in METRICS)}] AS point,
+  {_DISTANCE} AS distance FROM full_rows a JOIN full_rows b ON a.host = b.host AND a.clock <> b.clock),
+edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host, clock ORDER BY distance, point) AS rn FROM pairs)
   WHERE rn <= 20),
 reach AS (SELECT host, clock, max(distance) AS k_distance FROM edges GROUP BY ALL),
 density AS (SELECT e.host, e.clock, 1 / (avg(greatest(distance, k_distance)) + 1e-10) AS density

@@ -97,7 +97,7 @@ _NEAR = """last_value({c} IGNORE NULLS) OVER p AS {c}_pv, first_value({c} IGNORE
   last_value(CASE WHEN {c} IS NOT NULL THEN clock END IGNORE NULLS) OVER p AS {c}_pt,
   first_value(CASE WHEN {c} IS NOT NULL THEN clock END IGNORE NULLS) OVER f AS {c}_nt"""
 _BETWEEN = """round(coalesce({c}, CASE WHEN {c}_pt IS NULL THEN NULL WHEN {c}_nt IS NULL THEN {c}_pv
-  ELSE {c}_pv + ({c}_nv - {c}_pv) * (CAST(clock - {c}_pt AS DOUBLE) / ({c}_nt - {c}_pt)) END), 6) AS {c}"""
+  ELSE {c}_pv + ({c}_nv - {c}_pv) * (CAST(clock - {c}_pt AS DOUBLE) / ({c}_nt - {c}_pt)) END) + 1e-9, 6) AS {c}"""
 
 
 @query("E8", f"""
@@ -107,7 +107,7 @@ SELECT host, clock, {', '.join(_BETWEEN.format(c=c) for c in METRICS)} FROM (
          f AS (PARTITION BY host ORDER BY clock ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 """)
 def interpolated_gaps(t: Tables) -> DataFrame:
-    return rounded(cleaning.interpolated(t.written("wide"), METRICS, by=("host",)), *METRICS)
+    return rounded(cleaning.interpolated(t.written("wide"), METRICS, by=("host",)), *METRICS, nudge=1e-9)
 
 
 @query("E9", """
