@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,14 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")
 
 
-def texts_of(batch, column: str = "text") -> list[str]:
-    """The texts of a pandas batch, null as empty."""
-    return [t if isinstance(t, str) else "" for t in batch[column]]
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    """The texts of an Arrow batch, null as empty."""
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def extended(batch: pa.RecordBatch, names: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The columns ``names`` of a batch as they are, and new ones."""
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *new.values()], names=[*names, *new])
 
 
 def slices(lengths: list[int], budget: int) -> Iterator[tuple[int, int]]:

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import fresh_name, texts_of
+from hostpulse.llm.common import extended, fresh_name, texts_of
 from hostpulse.session import materialised
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -191,7 +191,8 @@ def fit_classifier(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int =
     return w
 
 
-_CANDIDATE = "kind string, start long, end long, base boolean, votes array<int>, features array<double>"
+_KEYS = ["kind", "start", "end", "base", "votes", "features"]
+_CANDIDATE = "kind: string, start: long, end: long, base: boolean, votes: array<int>, features: array<double>"
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -212,26 +213,27 @@ def find_personal_data(docs: DataFrame, text: str = "text", sample: int = 20_000
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias(body))
     plain = rows.drop(body).schema
     names = plain.names
-    fields = ", ".join(f"n_{k} long" for k in KINDS) + f", base_sha256 string, spans string, {found} array<struct<" + ", ".join(
-        f"{c.strip().split(' ')[0]}: {c.strip().split(' ')[1]}" for c in _CANDIDATE.split(", ")
-    ) + ">>"
-    schema = rows.sparkSession.createDataFrame([], fields).schema
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    added = rows.sparkSession.createDataFrame(
+        [], ", ".join(f"n_{k} long" for k in KINDS) + f", base_sha256 string, spans string, {found} array<struct<{_CANDIDATE}>>"
+    ).schema
+    arrow = pa.list_(pa.struct([
+        ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()),
+        ("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.float64())),
+    ]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = b[names].copy()
-            base = [base_spans(t) for t in texts_of(b, body)]
-            for k in KINDS:
-                out[f"n_{k}"] = np.array([sum(s[0] == k for s in x) for x in base], dtype="int64")
+            texts = texts_of(b, body)
+            base = [base_spans(t) for t in texts]
             lists = [joined(x) for x in base]
-            out["base_sha256"] = [hashlib.sha256(s.encode()).hexdigest() for s in lists]
-            out["spans"] = lists
-            keys = ("kind", "start", "end", "base", "votes", "features")
-            out[found] = [[dict(zip(keys, c)) for c in candidates(t, x)] for t, x in zip(texts_of(b, body), base)]
-            yield out
-
-    whole = type(plain)(plain.fields + schema.fields)
-    scanned = materialised(rows.mapInPandas(scan, whole), "pii")
+            new = {f"n_{k}": pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in KINDS}
+            new["base_sha256"] = pa.array([hashlib.sha256(s.encode()).hexdigest() for s in lists], pa.string())
+            new["spans"] = pa.array(lists, pa.string())
+            new[found] = pa.array([[dict(zip(_KEYS, c)) for c in candidates(t, x)] for t, x in zip(texts, base)], arrow)
+            yield extended(b, names, new)
+
+    whole = type(plain)(plain.fields + added.fields)
+    scanned = materialised(rows.mapInArrow(scan, whole), "pii")
     each = scanned.select(F.explode(found).alias("c")).select("c.*")
     patterns = each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^8 per kind
     if not patterns:
@@ -244,20 +246,20 @@ def find_personal_data(docs: DataFrame, text: str = "text", sample: int = 20_000
         np.array([r.features for r in taught]), np.array([belief[r.kind, tuple(r.votes)] for r in taught])
     )
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    left = scanned.drop(found, "spans").columns
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = b.drop(columns=[found])
             spans = []
-            for text_spans, cs in zip(b["spans"], b[found]):
+            for text_spans, cs in zip(b.column("spans").to_pylist(), b.column(found).to_pylist()):
                 extra = [c for c in cs if not c["base"]]
                 if extra:
-                    z = np.array([list(c["features"]) for c in extra]) @ weights[:-1] + weights[-1]
+                    z = np.array([c["features"] for c in extra]) @ weights[:-1] + weights[-1]
                     own = [(c["kind"], c["start"], c["end"]) for c in cs if c["base"]]
                     own += [(c["kind"], c["start"], c["end"]) for c, s in zip(extra, z) if 1 / (1 + np.exp(-s)) >= accept]
                     own = [k for k, _ in groupby(sorted(own, key=lambda s: (s[1], RANK[s[0]], s[2])))]
                     text_spans = joined(own)
                 spans.append(text_spans)
-            out["spans"] = spans
-            yield out
+            yield extended(b, left, {"spans": pa.array(spans, pa.string())})
 
-    return scanned.mapInPandas(decide, scanned.drop(found).schema)
+    return scanned.mapInArrow(decide, scanned.select(*left, "spans").schema)

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import WORD, mixed, slices, texts_of
+from hostpulse.llm.common import WORD, extended, mixed, slices, texts_of
 
 #: Buckets of a family, as a power of two.
 BITS = 16
@@ -249,23 +250,21 @@ def apply_rules(docs: DataFrame, model: Model | None, text: str = "text", keep:
         "kept boolean, p_good double, band string"
     ).schema
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
             texts = texts_of(b, text)
-            out = b[names].copy()
             measures = np.array([base_measures(t) for t in texts], dtype="int64").reshape(-1, 5)
-            for k, c in enumerate(new[:5]):
-                out[c] = measures[:, k]
             failed = (measures[:, 0] < MIN_WORDS) | (100 * measures[:, 4] > 50 * measures[:, 0])
             p = np.full(len(texts), np.nan)
             if m is not None:
                 for i, j in slices([len(t) for t in texts], 1 << 20):
                     p[i:j] = m.probabilities(texts[i:j])
-            out["base_failed"] = failed
-            out["kept"] = ~failed & ((p >= keep) if m is not None else True)
-            out["p_good"] = pd.array([None if np.isnan(x) else x for x in p], dtype="Float64")
-            out["band"] = np.where(failed | (p < keep), "low", np.where(p >= high, "high", "fair"))
-            yield out
-
-    return rows.mapInPandas(judge, type(added)(rows.schema.fields + added.fields))
+            cols = {c: pa.array(measures[:, k]) for k, c in enumerate(new[:5])}
+            cols["base_failed"] = pa.array(failed)
+            cols["kept"] = pa.array(~failed & ((p >= keep) if m is not None else True))
+            cols["p_good"] = pa.array(p, from_pandas=True)
+            cols["band"] = pa.array(np.where(failed | (p < keep), "low", np.where(p >= high, "high", "fair")).tolist(), pa.string())
+            yield extended(b, names, cols)
+
+    return rows.mapInArrow(judge, type(added)(rows.schema.fields + added.fields))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm import chat, pii, quality, sharding, tokens
+from hostpulse.llm import chat, decontamination, mixing, pii, quality, sharding, tokens, warc
 from hostpulse.llm.common import table, text_bytes
+from hostpulse.session import shared_dir
 
 #: Shards of the sharding query.
 SHARDS = 40
@@ -20,6 +21,49 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.apply_rules(docs, model).drop("text")
 
 
+#: Target weights of the mix, as fixed by its design: per domain, and per language within each domain.
+DOMAINS = {"web": (0, 10), "reference": (10, 15), "forum": (15, 20)}
+DOMAIN_WEIGHTS = {"web": 0.5, "reference": 0.3, "forum": 0.15, "other": 0.05}
+LANGUAGE_WEIGHTS = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}
+OTHER_LANGUAGE = 0.02
+
+
+def domain() -> Column:
+    """The domain of a source by its number; sources without one are ``other``."""
+    n = F.regexp_extract(F.coalesce("source", F.lit("")), r"^src(\d{1,9})$", 1).try_cast("int")
+    out = F.lit("other")
+    for name, (low, high) in DOMAINS.items():
+        out = F.when((n >= low) & (n < high), name).otherwise(out)
+    return out
+
+
+def weight(node: tuple) -> float:
+    if len(node) == 1:
+        return DOMAIN_WEIGHTS.get(node[0], 0.0)
+    return LANGUAGE_WEIGHTS.get(node[1], OTHER_LANGUAGE) if len(node) == 2 else 1.0
+
+
+def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id", domain().alias("domain"), "lang", "source", mixing.word_tokens().alias("n_tokens")
+    )
+    return mixing.mix(docs, ["domain", "lang", "source"], "n_tokens", weight)
+
+
+def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    archives = shared_dir(spark, "warc")
+    warc.write_archives(pages, archives)
+    return warc.read_archives(spark, archives, payloads=False).filter("gap_reason IS NULL").select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"),
+        F.col("refers_to_page_id").cast("long").alias("refers_to"),
+    )
+
+
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rendered(table(spark, folder, "conversations"))
 
@@ -42,7 +86,10 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op6_chat_format, op7_token_counts, op9_personal_data, op10_shards)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op3_mix_sources, op4_decontaminate, op6_chat_format, op7_token_counts, op8_warc, op9_personal_data, op10_shards,
+    )
 }
 
 _OP6_SQL = """

@@ -12,11 +12,11 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import fresh_name, slices, text_bytes, texts_of
+from hostpulse.llm.common import extended, fresh_name, slices, text_bytes, texts_of
 
 #: Characters a chunk and its overlap start with.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -105,10 +105,10 @@ def with_token_counts(
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias(body), text_bytes(f"`{text}`").alias(size))
     kept = rows.drop(body).schema.names
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
         for b in batches:
-            yield b[kept].assign(**{many: pd.array(counts(t, texts_of(b, body), chunk, overlap, margin), dtype="int64")})
+            yield extended(b, kept, {many: pa.array(counts(t, texts_of(b, body), chunk, overlap, margin), pa.int64())})
 
     schema = rows.drop(body).withColumn(many, F.lit(0).cast("long")).schema
-    return rows.mapInPandas(count, schema).withColumn("over_limit", F.col(many) > limit)
+    return rows.mapInArrow(count, schema).withColumn("over_limit", F.col(many) > limit)
