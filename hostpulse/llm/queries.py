@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm import chat, decontamination, mixing, pii, quality, sharding, tokens, warc
+from hostpulse.llm import chat, decontamination, jaccard, mixing, pii, quality, sharding, tokens, warc
 from hostpulse.llm.common import table, text_bytes
-from hostpulse.session import shared_dir
+from hostpulse.session import materialised, shared_dir
 
 #: Shards of the sharding query.
 SHARDS = 40
@@ -21,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.apply_rules(docs, model).drop("text")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_similar(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 #: Target weights of the mix, as fixed by its design: per domain, and per language within each domain.
 DOMAINS = {"web": (0, 10), "reference": (10, 15), "forum": (15, 20)}
 DOMAIN_WEIGHTS = {"web": 0.5, "reference": 0.3, "forum": 0.15, "other": 0.05}
@@ -44,9 +48,9 @@ def weight(node: tuple) -> float:
 
 
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(
+    docs = materialised(table(spark, folder, "documents").select(
         "doc_id", domain().alias("domain"), "lang", "source", mixing.word_tokens().alias("n_tokens")
-    )
+    ), "mixing")  # counted once, used in several passes
     return mixing.mix(docs, ["domain", "lang", "source"], "n_tokens", weight)
 
 
@@ -88,7 +92,7 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op3_mix_sources, op4_decontaminate, op6_chat_format, op7_token_counts, op8_warc, op9_personal_data, op10_shards,
+        op1_quality_rules, op2_ngram_jaccard_join, op3_mix_sources, op4_decontaminate, op6_chat_format, op7_token_counts, op8_warc, op9_personal_data, op10_shards,
     )
 }
 
