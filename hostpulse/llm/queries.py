@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm import chat, decontamination, jaccard, mixing, pii, quality, sharding, tokens, warc
+from hostpulse.llm import chat, decontamination, jaccard, mixing, pii, quality, sharding, suffixes, tokens, warc
 from hostpulse.llm.common import table, text_bytes
 from hostpulse.session import materialised, shared_dir
 
@@ -68,6 +68,10 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents")).drop("cuts")
+
+
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rendered(table(spark, folder, "conversations"))
 
@@ -92,7 +96,7 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_ngram_jaccard_join, op3_mix_sources, op4_decontaminate, op6_chat_format, op7_token_counts, op8_warc, op9_personal_data, op10_shards,
+        op1_quality_rules, op2_ngram_jaccard_join, op3_mix_sources, op4_decontaminate, op5_suffix_dedup, op6_chat_format, op7_token_counts, op8_warc, op9_personal_data, op10_shards,
     )
 }
 
