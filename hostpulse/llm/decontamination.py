@@ -204,6 +204,19 @@ def leaks_in(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, in
         yield o, item, start, end, len(windows), most
 
 
+def indexes(docs: DataFrame, benchmark: DataFrame, window: int, step: int, q: int, rate: float, block_chars: int) -> Iterator:
+    """The index of each block of benchmark items, sent to the tasks."""
+    spark = docs.sparkSession
+    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(chars) // max(1, block_chars // 2)))
+    for k in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about half of block_chars
+        index = build_index([(r.item_id, r.text) for r in part], window, step, q, rate)
+        if index is not None:
+            yield spark.sparkContext.broadcast(index)
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, step: int = STEP, q: int = Q, rate: float = RATE,
     block_chars: int = BLOCK_CHARS,
@@ -217,19 +230,11 @@ def find_leaks(
     characters are looked for block by block, so an index of bounded size goes to the tasks whatever the benchmark's size.
     """
     spark = docs.sparkSession
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(chars) // max(1, block_chars // 2)))
     result = "doc_id long, item_id long, start long, end long, windows int, edits int"
     found = spark.createDataFrame([], result)
     names = found.columns
     kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about half of block_chars
-        index = build_index([(r.item_id, r.text) for r in part], window, step, q, rate)
-        if index is None:
-            continue
-        sent = spark.sparkContext.broadcast(index)
+    for sent in indexes(docs, benchmark, window, step, q, rate, block_chars):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -244,3 +249,19 @@ def find_leaks(
 
         found = found.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, result))
     return found.distinct()
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, step: int = STEP, q: int = Q, rate: float = RATE,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows of ``docs`` in which ``find_leaks`` finds nothing, all columns as they are."""
+    for sent in indexes(docs, benchmark, window, step, q, rate, block_chars):
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                leaked = {o for o, *_ in leaks_in(sent.value, [normalised(t) for t in texts_of(b)])}
+                yield b.filter(pa.array([i not in leaked for i in range(b.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -103,7 +103,7 @@ def boundary(histogram: list[tuple[int, int]], percent: int = PERCENT) -> int:
     return int(best)
 
 
-_SETS = "doc_id long, n_shingles long, class long, prefix binary"
+_SETS = "doc_id long, text_key long, n_shingles long, class long, prefix binary"
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -119,11 +119,12 @@ def document_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 ids.append(set_id(s))
                 heads.append(s[: max(int(x) for x in prefix_sizes(len(s), percent))].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(heads, pa.binary())],
-                names=["doc_id", "n_shingles", "class", "prefix"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(heads, pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "class", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, _SETS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(build, _SETS)
 
 
 def postings(sets: DataFrame, light: int, percent: int = PERCENT) -> DataFrame:
@@ -228,7 +229,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, per_task
 
 
 def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class, component_id for every row of ``docs`` (doc_id, text).
+    """doc_id, text_key (xxhash64 of the text), n_shingles, class, component_id for every row of ``docs`` (doc_id, text).
 
     Two documents link when 100 * intersection >= ``percent`` * union of their shingle sets; ``component_id`` is the smallest doc_id
     that links lead to, its own included. A-Z count as a-z; words are runs without white space; fewer words than a shingle
@@ -271,10 +272,31 @@ def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     named = named.select(F.col("class").alias("named"), "component_id")
     return sets.join(named, F.col("class") == F.col("named"), "left").select(
-        "doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "text_key", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, and of rows that share it that of the smallest text_key.
+
+    Rows whose texts have no words link with nothing and all stay, but repeated rows (equal id and text) leave one. Rows without doc_id
+    stay only where their component has no row with one; of them too one of each component stays.
+    """
+    found = join_similar(docs, percent)
+    group = [F.coalesce("component_id", "class"), F.when(F.col("class").isNull(), F.col("text_key"))]
+    kept = found.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)], F.col("component_id").isNull().alias("g2")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    ).select(F.col("first.doc_id").alias("k_id"), F.col("first.text_key").alias("k_key"))
+    rows = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("k_rows"))
+    kept = materialised(kept.distinct().join(rows, F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_key").eqNullSafe(F.col("text_key"))).select(
+        "k_id", "k_key", "k_rows"), "jaccard-kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & F.xxhash64("text").eqNullSafe(F.col("k_key"))
+    left = docs.join(kept, same)
+    once = left.filter("k_rows = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = left.filter("k_rows > 1").dropDuplicates(["k_id", "k_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(again)
+
+
 def across(shared: DataFrame, able: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of classes in different components that may link.
 

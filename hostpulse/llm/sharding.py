@@ -84,24 +84,26 @@ def assign_shards(
     An empty table gives an empty result.
     """
     rows = rows.drop(*[c for c in rows.columns if c.lower() in ("shard", "slot")])
-    tick, part, rank = (fresh_name(rows, c) for c in ("tick", "part", "rank"))
-    # Ranks count within (tick, read partition), so that no task holds all rows of a tick.
-    cut = rows.withColumn(tick, F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(ticks)).cast("int")).withColumn(
-        part, F.spark_partition_id()
+    tick, part, number = (fresh_name(rows, c) for c in ("tick", "part", "number"))
+    hashed = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(ticks)).cast("int")
+    # Written first, so that a row keeps its number whatever is computed again. Only the small columns are ranked.
+    cut = materialised(
+        rows.withColumn(tick, hashed).withColumn(part, F.spark_partition_id()).withColumn(number, F.monotonically_increasing_id()), "sharding"
     )
-    order = Window.partitionBy(tick, part).orderBy(F.col(f"`{key}`").asc_nulls_first())
-    ranked = materialised(cut.withColumn(rank, F.row_number().over(order) - 1), "sharding")
-    sizes = ranked.groupBy(tick, part).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(tick).orderBy(part)) - F.col("n"))
-    totals = {t: n for t, n in ranked.groupBy(tick).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``ticks`` rows
-    spark = rows.sparkSession
-    ranges = spark.createDataFrame(
+    # Ranks count within (tick, read partition), so that no task holds all rows of a tick.
+    order = Window.partitionBy("tick", "part").orderBy("key", "number")
+    small = cut.select(F.col(tick).alias("tick"), F.col(part).alias("part"), F.col(number).alias("number"), F.col(f"`{key}`").cast("string").alias("key"))
+    ranked = small.withColumn("rank", F.row_number().over(order) - 1).drop("key")
+    sizes = small.groupBy("tick", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("tick").orderBy("part")) - F.col("n"))
+    totals = {t: n for t, n in sizes.groupBy("tick").agg(F.sum("n")).collect()}  # at most ``ticks`` rows
+    ranges = rows.sparkSession.createDataFrame(
         place(totals, shards, slack, nodes, ticks), "r_tick int, r_from long, r_to long, shard int, r_slot long"
     )  # at most ticks + shards rows
-    b = before.select(F.col(tick).alias("b_tick"), F.col(part).alias("b_part"), "before")
-    spot = F.col("before") + F.col(rank)
-    return (
-        ranked.join(b, (F.col(tick) == F.col("b_tick")) & (F.col(part) == F.col("b_part")))
-        .join(F.broadcast(ranges), (F.col(tick) == F.col("r_tick")) & (spot >= F.col("r_from")) & (spot < F.col("r_to")))
-        .select(*[F.col(f"`{c}`") for c in rows.columns], "shard", (F.col("r_slot") + spot - F.col("r_from")).alias("slot"))
+    spot = F.col("before") + F.col("rank")
+    placed = (
+        ranked.join(before.drop("n"), ["tick", "part"])
+        .join(F.broadcast(ranges), (F.col("tick") == F.col("r_tick")) & (spot >= F.col("r_from")) & (spot < F.col("r_to")))
+        .select(F.col("number").alias("p_number"), "shard", (F.col("r_slot") + spot - F.col("r_from")).alias("slot"))
     )
+    return cut.join(placed, F.col(number) == F.col("p_number")).select(*[F.col(f"`{c}`") for c in rows.columns], "shard", "slot")
