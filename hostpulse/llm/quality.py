@@ -63,6 +63,10 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
+def base_failed(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat_words: int) -> bool:
+    return n_words < MIN_WORDS or 100 * n_repeat_words > 50 * n_words
+
+
 def _powers(n: int) -> np.ndarray:
     out = np.full(n, _BASE, dtype=np.uint64)
     out[:1] = 1
@@ -134,7 +138,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.scores(texts) + self.offset, -30, 30)))
 
 
-def fit(texts: list[str], good: np.ndarray, weight: np.ndarray, rounds: int = 120, rate: float = 0.5, l2: float = 1e-6) -> Model:
+def fit(texts: list[str], good: np.ndarray, weight: np.ndarray, rounds: int = 120, rate: float = 2.0, l2: float = 1e-6) -> Model:
     """Logistic regression by Adam on four fifths of the rows, calibrated by Platt's method on the last fifth.
 
     ``weight`` makes up for classes that were sampled at different rates.
@@ -190,7 +194,7 @@ def platt(z: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` labelled documents per class; None unless both classes occur.
+    """Fit on at most ``sample`` labelled documents per class that pass the base rules; None unless both classes occur.
 
     A document labelled more than once is good only if all its labels are; null ids and qualities are ignored. The
     chosen ids are few, so they are sent to the documents instead of the other way round. Of documents that share an id
@@ -220,9 +224,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             return
         all_rows = pd.concat(parts).sort_values("doc_id", key=lambda s: mixed(s.to_numpy().astype(np.uint64)))
         good = all_rows["good"].to_numpy().astype(float)
+        rate = np.where(good > 0, sizes[1] / max(1.0, good.sum()), sizes[0] / max(1.0, (1 - good).sum()))
+        # The model judges what passes the base rules only, so it learns from that.
+        passed = np.array([not base_failed(*base_measures(t)) for t in all_rows["text"]], bool)
+        all_rows, good, rate = all_rows[passed], good[passed], rate[passed]
         if not 0 < good.sum() < len(good):
             return
-        rate = np.where(good > 0, sizes[1] / max(1.0, good.sum()), sizes[0] / max(1.0, (1 - good).sum()))
         m = fit(list(all_rows["text"]), good, rate * len(good) / rate.sum())
         yield pd.DataFrame({"weights": [m.weights.tobytes()], "slope": [m.slope], "offset": [m.offset]})
 
@@ -255,7 +262,7 @@ def apply_rules(docs: DataFrame, model: Model | None, text: str = "text", keep:
         for b in batches:
             texts = texts_of(b, text)
             measures = np.array([base_measures(t) for t in texts], dtype="int64").reshape(-1, 5)
-            failed = (measures[:, 0] < MIN_WORDS) | (100 * measures[:, 4] > 50 * measures[:, 0])
+            failed = np.array([base_failed(*x) for x in measures.tolist()], bool)
             p = np.full(len(texts), np.nan)
             if m is not None:
                 for i, j in slices([len(t) for t in texts], 1 << 20):

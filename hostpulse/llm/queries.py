@@ -120,4 +120,40 @@ SELECT conv_id, CAST(floor(place / 512) AS BIGINT) AS part, CAST(any_value(n) AS
 FROM told JOIN kept USING (conv_id) GROUP BY conv_id, CAST(floor(place / 512) AS BIGINT)
 """
 
-SQL: dict[str, str] = {"op6_chat_format": _OP6_SQL}
+_OP2_SQL = """
+WITH RECURSIVE told AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS s
+    FROM told
+),
+parts AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM parts a JOIN parts b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id)) AS component_id
+FROM sets s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+_OP8_SQL = """
+WITH told AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
+        CAST(unhex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS bits
+    FROM pages
+)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum([
+        CASE WHEN substr(bits, 5 * i + k, 1) = '1' THEN 1 << (5 - k) ELSE 0 END for k in range(1, 6)]) AS INTEGER), 1) for i in range(0, 32)], '')
+        AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM told
+"""
+
+SQL: dict[str, str] = {"op2_ngram_jaccard_join": _OP2_SQL, "op6_chat_format": _OP6_SQL, "op8_warc": _OP8_SQL}

@@ -128,7 +128,10 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(":")
         if not colon:
             raise Broken("a header without a name")
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        if name in headers and name != "warc-concurrent-to":  # the only one that may repeat: two records ran into one
+            raise Broken("a header twice")
+        headers[name] = value.strip()
     length = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", length):
         raise Broken("no content length")
