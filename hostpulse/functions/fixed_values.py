@@ -12,6 +12,7 @@ INVALID_MEASUREMENT = "invalid_data"
 PARSE_ERROR_MEASUREMENT = "json_parse_error"
 PARSE_ERROR_TYPE = "json_parsing_failed"
 MISSING_FIELDS_TAG = "missing_required_fields"
+UNPARSABLE_FIELDS_TAG = "unparsable_fields"
 NO_UNIT = "none"
 
 # Metrics scanned when the caller names none.
@@ -50,7 +51,6 @@ IQR_FACTOR = 1.5
 TRAINING_IQR_FACTOR = 3.0
 SPREAD_FLOOR = 1e-8
 RATIO_FLOOR = 1e-8
-SCALE_FLOOR = 1e-9
 SPARSE_LIMIT = 0.8
 MIN_DETECTOR_ROWS = 10
 CONTAMINATION_GRID = [0.05, 0.10, 0.15, 0.20]

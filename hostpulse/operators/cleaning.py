@@ -164,21 +164,31 @@ def _one_row(params: DataFrame, columns: Sequence[str], by: Sequence[str], names
     )
 
 
+#: Rounding of sums of doubles, relative to the largest value.
+ROUNDING = 2.0**-49
+
+
+def _scale(scale: Column, low: Column, high: Column) -> Column:
+    """A scale, or 1 where it is 0 up to the rounding of values from ``low`` to ``high``."""
+    size = F.greatest(F.abs(low.cast("double")), F.abs(high.cast("double")))
+    return F.when((low == high) | (scale <= size * ROUNDING), 1.0).otherwise(scale)
+
+
 def fit_scaling(
     wide: DataFrame, columns: Sequence[str], method: str = "standard", by: Sequence[str] = ("host",)
 ) -> DataFrame:
     """Centre and scale per key: one row per key with arrays in the order of ``columns``.
 
     standard: mean and population std; minmax: minimum and range; robust: median and
-    quartile distance. A scale of 0 becomes 1, and so does one below 1e-9: rolling
-    statistics of equal values differ from 0 by rounding, which must not be blown up.
+    quartile distance. A scale that is 0, or within rounding of 0 for values as large as
+    the column's, becomes 1; however small, any other scale is used.
     """
     if method == "robust":
         q = F.col("quantiles")
         params = exact_quantiles(_long(wide, columns, by), [*by, "measurement"], "value", [0.25, 0.5, 0.75])
         by_name = params.groupBy(*by).agg(
             F.map_from_entries(
-                F.collect_list(F.struct("measurement", F.struct(q[1].alias("center"), (q[2] - q[0]).alias("scale"))))
+                F.collect_list(F.struct("measurement", F.struct(q[1].alias("center"), _scale(q[2] - q[0], q[0], q[2]).alias("scale"))))
             ).alias("_by_name")
         )
         names = F.array(*[F.lit(c) for c in columns])
@@ -194,11 +204,11 @@ def fit_scaling(
         }[method]
         fitted = wide.groupBy(*by).agg(
             F.array(*[center(c).cast("double") for c in columns]).alias("centers"),
-            F.array(*[scale(c).cast("double") for c in columns]).alias("scales"),
+            F.array(*[_scale(scale(c).cast("double"), F.min(c), F.max(c)) for c in columns]).alias("scales"),
         )
     else:
         raise ValueError("method must be standard, minmax or robust")
-    return fitted.withColumn("scales", F.transform("scales", lambda s: F.when(s < fixed.SCALE_FLOOR, 1.0).otherwise(s)))
+    return fitted
 
 
 def scaled(wide: DataFrame, columns: Sequence[str], params: DataFrame, by: Sequence[str] = ("host",)) -> DataFrame:

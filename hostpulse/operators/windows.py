@@ -14,7 +14,9 @@ SERIES = ("host", "measurement")
 
 
 def _four(c: str, frame: WindowSpec, suffix: str, std_fill: float | None = None) -> list[Column]:
+    # Equal values have a deviation of exactly 0; the running formula may leave rounding noise.
     std = F.stddev_samp(c).over(frame)
+    std = F.when(std.isNotNull() & (F.min(c).over(frame) == F.max(c).over(frame)), 0.0).otherwise(std)
     if std_fill is not None:
         std = F.coalesce(std, F.lit(std_fill))
     return [

@@ -138,9 +138,9 @@ def prepared_training_rows(t: Tables) -> DataFrame:
 
 
 def _scaling_sql(center: str, scale: str) -> str:
-    params = ", ".join(f"{center.format(c=c)} AS {c}_m, {scale.format(c=c)} AS {c}_s" for c in METRICS)
+    params = ", ".join(f"{center.format(c=c)} AS {c}_m, {scale.format(c=c)} AS {c}_s, min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in METRICS)
     out = ", ".join(
-        f"round((f.{c} - {c}_m) / CASE WHEN {c}_s = 0 THEN 1 ELSE {c}_s END, 6) AS {c}" for c in METRICS
+        f"round((f.{c} - {c}_m) / CASE WHEN {c}_lo = {c}_hi OR {c}_s <= greatest(abs({c}_lo), abs({c}_hi)) * power(2, -49) THEN 1 ELSE {c}_s END, 6) AS {c}" for c in METRICS
     )
     return f"""WITH {FILLED_WIDE}, p AS (SELECT host, {params} FROM filled GROUP BY host)
 SELECT f.host, f.clock, {out} FROM filled f JOIN p ON f.host = p.host"""

@@ -38,13 +38,17 @@ def _four(c: str, w: str, suffix: str, std: str) -> list[str]:
     ]
 
 
+#: The deviation of equal values is exactly 0.
+STD = "CASE WHEN count({c}) OVER {w} > 1 AND min({c}) OVER {w} = max({c}) OVER {w} THEN 0 ELSE stddev_samp({c}) OVER {w} END"
+
+
 def _rolling_lag_sql() -> str:
     cols, frames = [], ["o AS (PARTITION BY host ORDER BY clock)"]
     for m in MINUTES:
         frames.append(f"w{m} AS (PARTITION BY host ORDER BY clock RANGE BETWEEN {m * 60 - 1} PRECEDING AND CURRENT ROW)")
     for c in METRICS:
         for m in MINUTES:
-            cols += _four(c, f"w{m}", f"{m}m", "stddev_samp({c}) OVER {w}")
+            cols += _four(c, f"w{m}", f"{m}m", STD)
         cols += [f"{c} / nullif(lag({c}) OVER o, 0) - 1 AS {c}_rate_change", f"{c} - lag({c}) OVER o AS {c}_diff"]
         cols += [f"lag({c}, {n}) OVER o AS {c}_lag_{n}" for n in (1, 2, 3, 6, 12)]
     for i, a in enumerate(METRICS):
@@ -80,7 +84,7 @@ def _statistical_columns() -> tuple[list[str], str]:
     for c in METRICS:
         made = []
         for n in (3, 5, 10):
-            made += _four(c, f"w{n}", str(n), "coalesce(stddev_samp({c}) OVER {w}, 0)")
+            made += _four(c, f"w{n}", str(n), f"coalesce({STD}, 0)")
         made += [f"coalesce(lag({c}, {n}) OVER o, first_value({c}) OVER o) AS {c}_lag_{n}" for n in (1, 2, 3)]
         made += [
             f"coalesce({c} / nullif(lag({c}) OVER o, 0) - 1, 0) AS {c}_pct_change",
@@ -164,7 +168,7 @@ even AS (SELECT host, clock, {', '.join(f'coalesce({c}, 0)::DOUBLE AS {c}' for c
 s AS (SELECT host, {', '.join(f'quantile_cont({c}, [0.25, 0.5, 0.75]) AS {c}_q' for c in _PIPELINE)}
       FROM even GROUP BY host)
 SELECT e.host, e.clock, {', '.join(
-    f'round((e.{c} - {c}_q[2]) / CASE WHEN {c}_q[3] - {c}_q[1] < 1e-9 THEN 1 ELSE {c}_q[3] - {c}_q[1] END, 4) AS {c}'
+    f'round((e.{c} - {c}_q[2]) / CASE WHEN {c}_q[3] - {c}_q[1] <= greatest(abs({c}_q[1]), abs({c}_q[3])) * power(2, -49) THEN 1 ELSE {c}_q[3] - {c}_q[1] END, 4) AS {c}'
     for c in _PIPELINE)}
 FROM even e JOIN s ON e.host = s.host
 """
@@ -203,8 +207,8 @@ def _labelled_sql() -> str:
 WITH {ROLLING_LAG_SQL},
 rows_of AS (SELECT host, clock, name, value FROM (SELECT host, clock, COLUMNS(* EXCLUDE (host, clock))::DOUBLE FROM whole)
   UNPIVOT (value FOR name IN (COLUMNS(* EXCLUDE (host, clock))))),
-stats AS (SELECT host, name, avg(value) AS m, stddev_pop(value) AS s FROM rows_of GROUP BY ALL)
-SELECT r.host, r.clock, r.name, round((r.value - m) / CASE WHEN s < 1e-9 THEN 1 ELSE s END, 4) AS value,
+stats AS (SELECT host, name, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi FROM rows_of GROUP BY ALL)
+SELECT r.host, r.clock, r.name, round((r.value - m) / CASE WHEN lo = hi OR s <= greatest(abs(lo), abs(hi)) * power(2, -49) THEN 1 ELSE s END, 4) AS value,
   CASE WHEN EXISTS (SELECT 1 FROM alert_times a WHERE a.host = r.host
     AND r.clock BETWEEN a.alert_clock - 1800 AND a.alert_clock + 1800) THEN 1 ELSE 0 END AS is_anomaly
 FROM rows_of r JOIN stats ON r.host = stats.host AND r.name = stats.name

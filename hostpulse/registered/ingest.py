@@ -9,7 +9,7 @@ from hostpulse.functions import text
 from hostpulse.registered import query
 from hostpulse.session import shared_dir
 from hostpulse.sources import export, ingest, samples
-from hostpulse.sources.tables import AS_OF, SAMPLE_TYPE, Tables
+from hostpulse.sources.tables import AS_OF, METRICS, SAMPLE_TYPE, Tables
 
 WEEK = 7 * 86400
 
@@ -102,24 +102,25 @@ WITH parsed AS (
   SELECT event_id, try_cast(raw AS JSON) IS NULL AS broken,
          CASE WHEN try_cast(raw AS JSON) IS NOT NULL THEN raw END AS j FROM raw),
 fields AS (
-  SELECT event_id, broken, j ->> '$.itemid' AS itemid, try_cast(j ->> '$.clock' AS BIGINT) AS clock,
-         try_cast(j ->> '$.value' AS DOUBLE) AS value, j ->> '$.item_key' AS item_key, j ->> '$.units' AS units,
+  SELECT event_id, broken, j ->> '$.itemid' AS itemid, j ->> '$.clock' AS told_clock, j ->> '$.value' AS told_value,
+         try_cast(j ->> '$.clock' AS BIGINT) AS clock, try_cast(j ->> '$.value' AS DOUBLE) AS value, j ->> '$.item_key' AS item_key, j ->> '$.units' AS units,
          j ->> '$.hostname' AS hostname, j ->> '$.table_type' AS table_type FROM parsed),
 named AS (
-  SELECT *, (itemid IS NULL OR clock IS NULL OR value IS NULL) AS missing,
+  SELECT *, (itemid IS NULL OR told_clock IS NULL OR told_value IS NULL) AS missing,
+         (clock IS NULL OR coalesce(table_type IN ('history', 'history_uint'), false) AND NOT coalesce(isfinite(value), false)) AS unparsable,
          regexp_replace(regexp_replace(regexp_replace(regexp_replace(item_key, '[^a-zA-Z0-9_]', '_', 'g'),
            '__+', '_', 'g'), '^_+', '', 'g'), '_+$', '', 'g') AS name FROM fields),
 routed AS (
-  SELECT *, CASE WHEN broken THEN 'broken' WHEN missing THEN 'invalid'
+  SELECT *, CASE WHEN broken THEN 'broken' WHEN missing OR unparsable THEN 'invalid'
                  WHEN table_type IN ('history', 'history_uint') THEN 'stored' ELSE 'dropped' END AS route,
-         CASE WHEN broken THEN 'json_parse_error' WHEN missing THEN 'invalid_data' ELSE name END AS measurement
+         CASE WHEN broken THEN 'json_parse_error' WHEN missing OR unparsable THEN 'invalid_data' ELSE name END AS measurement
   FROM named)
 """
 
 
 @query("A4, B1", _PARSED_SQL + """
 SELECT event_id, route, measurement, CASE WHEN broken THEN 'json_parsing_failed' END AS error_type,
-       CASE WHEN NOT broken AND missing THEN 'missing_required_fields' END AS tag
+       CASE WHEN broken THEN NULL WHEN missing THEN 'missing_required_fields' WHEN unparsable THEN 'unparsable_fields' END AS tag
 FROM routed
 """)
 def json_event_ingest(t: Tables) -> DataFrame:
@@ -173,7 +174,7 @@ FROM routed WHERE route = 'stored' AND clock >= 1706659200 - 168 * 3600 GROUP BY
 def partitioned_store_sink(t: Tables) -> DataFrame:
     """Points written to the dated store, then scanned for one week with folder pruning."""
     path = shared_dir(t.spark, "store")
-    ingest.write_store(ingest.stored_points(ingest.route_events(ingest.parse_events(t.raw))), path, files_per_day=1)
+    ingest.write_store(ingest.stored_points(ingest.route_events(ingest.parse_events(t.raw))), path)
     week = samples.scan_history(samples.read_relation(t.spark, path), AS_OF, hours=168)
     return week.groupBy("measurement", F.col("date").cast("string").alias("date")).agg(
         F.count("*").alias("points"), F.round(F.sum("value"), 6).alias("total")
@@ -258,15 +259,13 @@ def tidy_trigger_events(t: Tables) -> DataFrame:
 
 
 @query("G1", """
-SELECT host, clock, value AS system_cpu_util_user, NULL::DOUBLE AS vm_memory_utilization
-FROM hourly WHERE measurement = 'system_cpu_util_user'
-UNION ALL
-SELECT host, clock, NULL, value FROM hourly WHERE measurement = 'vm_memory_utilization'
+SELECT host, clock, """ + ", ".join(f"CASE WHEN measurement = '{m}' THEN value END AS {m}" for m in METRICS) + """
+FROM hourly
 """)
 def union_of_frames(t: Tables) -> DataFrame:
     frames = [
         t.hourly.where(F.col("measurement") == m).select("host", "clock", F.col("value").alias(m))
-        for m in ("system_cpu_util_user", "vm_memory_utilization")
+        for m in METRICS
     ]
     return samples.union_frames(frames)
 

@@ -62,8 +62,7 @@ def streamed_routes(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("part", "measurement").agg(F.count("*").alias("events"))
 
 
-@query("M2", "SELECT host, itemid, clock, count(*) AS copies FROM base GROUP BY ALL HAVING count(*) >= 1".replace(
-    "count(*) AS copies", "1 AS copies"))
+@query("M2", "SELECT DISTINCT host, itemid, clock, 1 AS copies FROM base")
 def streamed_dedupe(t: Tables) -> DataFrame:
     """Every sample delivered twice; one row per item and second remains."""
     once = _points(t).select("host", "itemid", "clock")

@@ -10,14 +10,17 @@ from hostpulse.registered import query, r, rounded
 from hostpulse.sources.tables import METRICS, Tables
 
 
-def _frames_sql(source: str, frames: dict[str, str], std: str = "stddev_samp(value) OVER {w}") -> str:
+_STD = "CASE WHEN count(value) OVER {w} > 1 AND min(value) OVER {w} = max(value) OVER {w} THEN 0 ELSE stddev_samp(value) OVER {w} END"
+
+
+def _frames_sql(source: str, frames: dict[str, str], std: str = "{s}") -> str:
     parts, named = [], []
     for suffix, frame in frames.items():
         w = f"w{suffix}"
         named.append(f"{w} AS (PARTITION BY host, measurement ORDER BY clock {frame})")
         parts.append(
             f"round(avg(value) OVER {w}, 6) AS value_rolling_mean_{suffix}, "
-            f"round({std.format(w=w)}, 6) AS value_rolling_std_{suffix}, "
+            f"round({std.format(s=_STD.format(w=w))}, 6) AS value_rolling_std_{suffix}, "
             f"max(value) OVER {w} AS value_rolling_max_{suffix}, min(value) OVER {w} AS value_rolling_min_{suffix}"
         )
     return f"SELECT host, measurement, clock, value, {', '.join(parts)} FROM {source} WINDOW {', '.join(named)}"
@@ -36,7 +39,7 @@ def rolling_by_time(t: Tables) -> DataFrame:
 
 @query("E3", _frames_sql("hourly", {
     str(n): f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW" for n in (3, 5, 10)
-}, std="coalesce(stddev_samp(value) OVER {w}, 0)"))
+}, std="coalesce({s}, 0)"))
 def rolling_by_rows(t: Tables) -> DataFrame:
     return _round_rolling(windows.rolling_by_rows(t.written("hourly")))
 
@@ -83,9 +86,7 @@ def changes_filled(t: Tables) -> DataFrame:
 _FILL = """coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY host ORDER BY clock ROWS UNBOUNDED PRECEDING),
   first_value({c} IGNORE NULLS) OVER (PARTITION BY host ORDER BY clock ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
   (SELECT median({c}) FROM wide m WHERE m.host = wide.host), 0) AS {c}"""
-_FILL_SQL = f"SELECT host, clock, {', '.join(_FILL.format(c=c) for c in METRICS)} FROM wide".replace(
-    "(SELECT median({c})", "(SELECT median({c})"
-)
+_FILL_SQL = f"SELECT host, clock, {', '.join(_FILL.format(c=c) for c in METRICS)} FROM wide"
 
 
 @query("E7", _FILL_SQL)

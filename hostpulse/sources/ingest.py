@@ -32,11 +32,20 @@ def _typed_value() -> Column:
 
 
 def route_events(parsed: DataFrame) -> DataFrame:
-    """Add type, name and tag columns and the ``route`` each event takes."""
+    """Add type, name and tag columns and the ``route`` each event takes.
+
+    An event without item, time or value is invalid, and so is one whose time is no integer or
+    whose value, in a numeric table, is no finite number; the tag tells the two apart.
+    """
     broken = F.col("_broken").isNotNull()
     missing = F.col("itemid").isNull() | F.col("clock").isNull() | F.col("value").isNull()
     numeric = F.col("table_type").isin("history", "history_uint")
-    usable = ~broken & ~missing
+    number = F.expr("try_cast(value AS DOUBLE)")
+    unparsable = F.expr("try_cast(clock AS BIGINT)").isNull() | (
+        numeric & (number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")))
+    )
+    invalid = missing | unparsable
+    usable = ~broken & ~invalid
     return parsed.select(
         *[c for c in parsed.columns if c not in ("value", "clock", "ns", "itemid")],
         F.col("itemid").alias("item_id"),
@@ -44,18 +53,20 @@ def route_events(parsed: DataFrame) -> DataFrame:
         F.expr("try_cast(ns AS BIGINT)").alias("ns"),
         F.when(usable, _typed_value()).alias("value"),
         F.when(broken, fixed.PARSE_ERROR_MEASUREMENT)
-        .when(missing, fixed.INVALID_MEASUREMENT)
+        .when(invalid, fixed.INVALID_MEASUREMENT)
         .otherwise(text.measurement_name(F.col("item_key")))
         .alias("measurement"),
         F.when(broken, fixed.PARSE_ERROR_TYPE).alias("error_type"),
-        F.when(~broken & missing, fixed.MISSING_FIELDS_TAG).alias("tag"),
+        F.when(~broken & missing, fixed.MISSING_FIELDS_TAG)
+        .when(~broken & unparsable, fixed.UNPARSABLE_FIELDS_TAG)
+        .alias("tag"),
         F.when(usable & numeric, "numeric").alias("data_type"),
         F.when(usable & (F.col("table_type") == "history"), "float")
         .when(usable & (F.col("table_type") == "history_uint"), "integer")
         .alias("value_category"),
         text.host_tag(F.col("hostname")).alias("host"),
         text.unit_tag(F.col("units")).alias("unit"),
-        F.when(broken, BROKEN).when(missing, INVALID).when(numeric, STORED).otherwise(OTHER).alias("route"),
+        F.when(broken, BROKEN).when(invalid, INVALID).when(numeric, STORED).otherwise(OTHER).alias("route"),
     )
 
 
@@ -84,16 +95,18 @@ def line_protocol(points: DataFrame) -> DataFrame:
     return points.select(F.concat_ws(" ", tags, field, F.col("clock").cast("string")).alias("line"))
 
 
-def write_lines(points: DataFrame, path: str) -> None:
-    line_protocol(points).withColumnRenamed("line", "value").write.mode("append").text(path)
+def write_lines(points: DataFrame, path: str, batch: str = "0") -> None:
+    """Write lines to the folder of their batch. A batch that is written again replaces itself."""
+    line_protocol(points).withColumnRenamed("line", "value").write.mode("overwrite").text(f"{path}/batch={batch}")
 
 
-def write_store(points: DataFrame, path: str, files_per_day: int = 64) -> None:
-    """Append points to the columnar store, one folder per day.
+def write_store(points: DataFrame, path: str, batch: str = "0") -> None:
+    """Add points to the columnar store, one folder per day and batch.
 
-    Rows spread over ``files_per_day`` tasks per day by series and hour, so neither a busy
-    day nor a busy host lands in one task, and each task writes few files.
+    Tasks are cut by size, days kept together, so neither a busy day lands in one task nor a
+    quiet one in many. A batch that is written again replaces itself and nothing else.
     """
-    dated = points.withColumn("date", F.to_date(F.timestamp_seconds("clock")))
-    spread = F.pmod(F.xxhash64("host", "measurement", F.expr("clock div 3600")), F.lit(files_per_day))
-    dated.repartition("date", spread).write.mode("append").partitionBy("date").parquet(path)
+    dated = points.withColumn("date", F.to_date(F.timestamp_seconds("clock"))).withColumn("batch", F.lit(batch))
+    dated.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "date", "batch"
+    ).parquet(path)

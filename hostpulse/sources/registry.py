@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostpulse.functions import fixed_values as fixed
@@ -12,12 +12,19 @@ from hostpulse.functions.labels import version_age_hours, version_epoch
 
 
 def save_version(table: DataFrame, root: str, name: str, version: str) -> str:
-    """Append one version of a model table. Older versions stay beside it as backups."""
+    """Write one version of a model table, in place of that version if it is there. Others stay beside it as backups."""
     path = f"{root.rstrip('/')}/{name}"
-    table.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+    table.withColumn("version", F.lit(version)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("version").parquet(path)
     return path
 
 
+def version_order(version: Column) -> Column:
+    """What versions are ordered by: the time at their end, then the text. Versions without a time come first."""
+    return F.struct(F.coalesce(version_epoch(version), F.lit(-1)).alias("time"), version.alias("version"))
+
+
 def load_version(
     spark: SparkSession, root: str, name: str, version: str | None = None, metrics: Iterable[str] | None = None
 ) -> DataFrame:
@@ -27,14 +34,15 @@ def load_version(
     """
     table = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root.rstrip('/')}/{name}")
     if version is None:
-        version = table.select("version").distinct().agg(F.max("version")).first()[0]
+        version = table.select("version").distinct().agg(F.max(version_order(F.col("version")))).first()[0].version
     out = table.where(F.col("version") == version)
     return out if metrics is None else out.where(F.col("metric").isin(*metrics))
 
 
 def latest_versions(registry: DataFrame, by: Sequence[str] = ("model_name",)) -> DataFrame:
     return registry.groupBy(*by).agg(
-        F.max("version").alias("version"), F.max_by("training_samples", "version").alias("training_samples")
+        F.max(version_order(F.col("version")))["version"].alias("version"),
+        F.max_by("training_samples", version_order(F.col("version"))).alias("training_samples"),
     )
 
 

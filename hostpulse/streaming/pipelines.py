@@ -31,12 +31,15 @@ def json_lines(spark: SparkSession, path: str, max_files: int | None = None) ->
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
-    """Stream of a parquet table's files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Stream of a parquet table's files: of the table's folder, or of a table that is one file."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def with_event_time(points: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -50,7 +53,11 @@ def routed(lines: DataFrame) -> DataFrame:
 
 
 def deduplicated(points: DataFrame, delay: str = "10 minutes", keys: Sequence[str] = ("host", "item_id", "clock")) -> DataFrame:
-    """Drop samples that overlapping exports delivered again. State is kept for ``delay`` only."""
+    """Drop samples that overlapping exports delivered again. State is kept for ``delay`` only.
+
+    The first delivery stays, while the store's own rule keeps the last: replays are taken to be
+    identical. Where they are not, write through ``operators.dedupe`` instead.
+    """
     return with_event_time(points, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
