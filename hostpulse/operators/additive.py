@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.operators import chunks
 from hostpulse.session import spread
 
 CHANGEPOINTS = 25
@@ -33,6 +32,10 @@ MODEL_COLUMNS = (
 )
 
 
+#: Rows of a series whose sums are taken together.
+BLOCK_ROWS = 50_000
+
+
 def _fourier(clock: np.ndarray, period: float, order: int) -> list[np.ndarray]:
     angle = 2 * np.pi * np.asarray(clock, dtype=float)[:, None] / period * np.arange(1, order + 1)
     return [np.sin(angle), np.cos(angle)]
@@ -131,7 +134,7 @@ def fit(frame: DataFrame, profiles: DataFrame, minimum: int = 20, by: Sequence[s
         F.max("ds").alias("last_clock"),
         F.greatest(F.max(F.abs("y")), F.lit(1e-8)).alias("level"),
         F.count("*").alias("_rows"),
-    ).where(F.col("_rows") >= minimum).drop("_rows")
+    ).where(F.col("_rows") >= minimum)
     config = profiles.select(
         *keys, "growth", "cap", "floor", "business_hours", "interval_width", "data_type",
         "changepoint_scale", "seasonality_scale",
@@ -140,13 +143,15 @@ def fit(frame: DataFrame, profiles: DataFrame, minimum: int = 20, by: Sequence[s
     rows = frame.select(*keys, "ds", "y").join(
         setup.drop("changepoint_scale", "seasonality_scale", "interval_width", "data_type"), keys
     )
+    # Sums may be taken over any parts of a series; only one of very many rows is cut at all.
+    block = F.pmod(F.xxhash64("ds"), F.ceil(F.col("_rows") / BLOCK_ROWS)).alias("_block")
     key_types = ", ".join(f"{k} string" for k in keys)
     sums = (
-        spread(rows.withColumn(chunks.CHUNK, chunks.chunk_of("ds")), *keys, chunks.CHUNK)
-        .groupBy(*keys, chunks.CHUNK)
+        spread(rows.withColumn("_block", block).drop("_rows"), *keys, "_block")
+        .groupBy(*keys, "_block")
         .applyInPandas(_chunk_sums, f"{key_types}, gram array<double>, moment array<double>, square double, n bigint")
     )
-    return spread(sums.join(setup, keys), *keys).groupBy(*keys).applyInPandas(_solve, f"{key_types}, {MODEL_COLUMNS}")
+    return spread(sums.join(setup.drop("_rows"), keys), *keys).groupBy(*keys).applyInPandas(_solve, f"{key_types}, {MODEL_COLUMNS}")
 
 
 def _forecast_rows(model: pd.Series, steps: np.ndarray) -> pd.DataFrame:
@@ -162,14 +167,17 @@ def _forecast_rows(model: pd.Series, steps: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({**{k: model[k] for k in SERIES}, "step": steps, "ds": clock, **out})
 
 
-def forecast(models: DataFrame, periods: int = 24, by: Sequence[str] = SERIES) -> DataFrame:
-    """Hourly forecast after each series' last sample: step, ds, yhat, yhat_lower, yhat_upper."""
-    steps = np.arange(1, periods + 1, dtype="int64")
+def forecast(models: DataFrame, periods: int | str = 24, by: Sequence[str] = SERIES) -> DataFrame:
+    """Hourly forecast after each series' last sample: step, ds, yhat, yhat_lower, yhat_upper.
+
+    ``periods`` is a number of hours, or the column that holds each series' own.
+    """
+    models = models.withColumn("_periods", F.col(periods) if isinstance(periods, str) else F.lit(periods))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, model in batch.iterrows():
-                yield _forecast_rows(model, steps)
+                yield _forecast_rows(model, np.arange(1, int(model["_periods"]) + 1, dtype="int64"))
 
     key_types = ", ".join(f"{k} string" for k in by)
     return models.mapInPandas(

@@ -33,25 +33,41 @@ def _residuals(w: np.ndarray, const: float, ar: np.ndarray, ma: np.ndarray) -> n
     base = w[p:] - const - (_lags(w, p, p) @ ar if p else 0.0)
     if not q:
         return base
-    e = np.zeros(len(base) + q)
-    for i, b in enumerate(base):
-        e[i + q] = b - ma @ e[i : i + q][::-1]
-    return e[q:]
+    first, second = (*ma.tolist(), 0.0)[:2]
+    out, e1, e2 = [], 0.0, 0.0
+    for b in base.tolist():  # each shock needs the ones before it; plain floats are quickest
+        e1, e2 = b - first * e1 - second * e2, e1
+        out.append(e1)
+    return np.array(out)
 
 
-def estimate(y: np.ndarray, order: tuple[int, int, int]) -> dict | None:
-    """Two-stage least squares: a long autoregression supplies the shocks that the MA terms regress on."""
+LONG = 8
+
+
+def _long_shocks(w: np.ndarray) -> np.ndarray:
+    """Shocks of a long autoregression, 0 where it has too few rows behind it."""
+    long = min(LONG, len(w) // 4)
+    x = np.column_stack([np.ones(len(w) - long), _lags(w, long, long)])
+    fit = np.linalg.lstsq(x, w[long:], rcond=None)[0]
+    return np.concatenate([np.zeros(long), w[long:] - x @ fit])
+
+
+def estimate(y: np.ndarray, order: tuple[int, int, int], shocks_of: dict[int, np.ndarray] | None = None) -> dict | None:
+    """Two-stage least squares: a long autoregression supplies the shocks that the MA terms regress on.
+
+    ``shocks_of`` keeps them by d, so that all orders share them.
+    """
+    shocks_of = {} if shocks_of is None else shocks_of
     p, d, q = order
     w = np.diff(y, n=d) if d else y
     if len(w) < 3 * (p + q + 2):
         return None
     start, shocks = p, np.empty(0)
     if q:
-        long = min(max(p + q, 8), len(w) // 4)
-        x = np.column_stack([np.ones(len(w) - long), _lags(w, long, long)])
-        fit = np.linalg.lstsq(x, w[long:], rcond=None)[0]
-        shocks = np.concatenate([np.zeros(long), w[long:] - x @ fit])
-        start = max(p, long + q)
+        if d not in shocks_of:
+            shocks_of[d] = _long_shocks(w)
+        shocks = shocks_of[d]
+        start = max(p, min(LONG, len(w) // 4) + q)
     columns = [_lags(w, p, start)]
     if q:
         columns.append(_lags(shocks, q, start))
@@ -75,7 +91,8 @@ def estimate(y: np.ndarray, order: tuple[int, int, int]) -> dict | None:
 
 def best_model(y: np.ndarray, max_ar: int = 2) -> dict | None:
     """Lowest AIC over p up to ``max_ar``, d up to 1 and q up to 2."""
-    tried = [estimate(y, o) for o in product(range(max_ar + 1), range(2), range(3))]
+    shocks_of: dict[int, np.ndarray] = {}
+    tried = [estimate(y, o, shocks_of) for o in product(range(max_ar + 1), range(2), range(3))]
     found = [m for m in tried if m is not None]
     return min(found, key=lambda m: m["aic"]) if found else None
 
@@ -104,11 +121,11 @@ def predict(model: dict, y: np.ndarray, periods: int, width: float = 0.95) -> tu
 
 
 def forecast(
-    series: DataFrame, periods: int = 24, minimum: int = 30, by: Sequence[str] = SERIES, clock: str = "clock"
+    series: DataFrame, periods: int | str = 24, minimum: int = 30, by: Sequence[str] = SERIES, clock: str = "clock"
 ) -> DataFrame:
     """Hourly forecast per series of (keys, clock, value, data_type) rows; short series are absent.
 
-    Where no order can be estimated the last value is carried on, ten percent either way.
+    ``periods`` is a number of hours, or the column that holds each series' own. Where no order can be estimated the last value is carried on, ten percent either way.
     """
     keys = list(by)
 
@@ -116,12 +133,13 @@ def forecast(
         pdf = pdf.sort_values(clock)
         y = pdf["value"].to_numpy(dtype=float)
         model = best_model(y, MAX_AR.get(pdf["data_type"].iloc[0], 2))
-        steps = np.arange(1, periods + 1, dtype="int64")
+        ahead = int(pdf["_periods"].iloc[0])
+        steps = np.arange(1, ahead + 1, dtype="int64")
         if model is None:
-            mid = np.full(periods, y[-1])
+            mid = np.full(ahead, y[-1])
             low, high, order, aic = mid * 0.9, mid * 1.1, None, np.nan
         else:
-            mid, low, high = predict(model, y, periods)
+            mid, low, high = predict(model, y, ahead)
             order, aic = ",".join(map(str, model["order"])), model["aic"]
         return pd.DataFrame(
             {
@@ -132,8 +150,9 @@ def forecast(
         )
 
     enough = series.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= minimum).select(*keys)
+    series = series.withColumn("_periods", F.col(periods) if isinstance(periods, str) else F.lit(periods))
     known = series.where(F.col("value").isNotNull()).join(enough, keys, "left_semi")
     key_types = ", ".join(f"{k} string" for k in keys)
-    return spread(known.select(*keys, clock, "value", "data_type"), *keys).groupBy(*keys).applyInPandas(
+    return spread(known.select(*keys, clock, "value", "data_type", "_periods"), *keys).groupBy(*keys).applyInPandas(
         one, f"{key_types}, {FORECAST_COLUMNS}"
     )

@@ -1,8 +1,8 @@
 """Isolation forest per key: trees grown in parallel from small samples, rows scored in chunks.
 
 A tree needs at most 256 rows, so growing never depends on the data's size. A row is
-scored against its key's forest in groups of (key, time chunk); the forest goes to each
-chunk, never to the driver.
+scored against its key's forest in blocks of bounded size; the forest goes to each block,
+never to the driver.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostpulse.operators import chunks
 from hostpulse.operators.quantiles import exact_quantiles
 from hostpulse.session import spread
 
 TREES, SAMPLE = 100, 256
+SCORE_ROWS = 200_000  # rows of a key scored together
 BATCH = 10  # trees grown per task input
 HOST = ("host",)
 TREE_COLUMNS = (
@@ -61,17 +61,32 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
     return tree
 
 
-def path_lengths(x: np.ndarray, tree: pd.Series) -> np.ndarray:
-    feature, cut = np.asarray(tree["feature"]), np.asarray(tree["threshold"])
-    left, right, length = np.asarray(tree["left"]), np.asarray(tree["right"]), np.asarray(tree["length"])
-    node = np.zeros(len(x), dtype=int)
-    inner = feature[node] >= 0
-    while inner.any():
-        at = node[inner]
-        below = x[inner, feature[at]] < cut[at]
-        node[inner] = np.where(below, left[at], right[at])
-        inner = feature[node] >= 0
-    return length[node]
+def forest_lengths(x: np.ndarray, model: pd.DataFrame, rows: int = 4_096) -> np.ndarray:
+    """Sum of the path lengths over all trees, every tree one step down at a time."""
+    width = max(len(f) for f in model["feature"])
+
+    def table(name: str, fill: float) -> np.ndarray:
+        out = np.full((len(model), width), fill)
+        for i, v in enumerate(model[name]):
+            out[i, : len(v)] = v
+        return out.ravel()
+
+    feature, cut, length = table("feature", -1).astype(int), table("threshold", 0.0), table("length", 0.0)
+    left, right = table("left", -1).astype(int), table("right", -1).astype(int)
+    root = np.arange(len(model)) * width
+    total = np.empty(len(x))
+    for a in range(0, len(x), rows):
+        part = x[a : a + rows]
+        node = np.tile(root, (len(part), 1))
+        while True:
+            f = feature[node]
+            inner = f >= 0
+            if not inner.any():
+                break
+            value = np.take_along_axis(part, np.maximum(f, 0), axis=1)
+            node = np.where(inner, np.where(value < cut[node], left[node], right[node]) + root, node)
+        total[a : a + rows] = length[node].sum(axis=1)
+    return total
 
 
 def _features(columns: Sequence[str]) -> Column:
@@ -133,18 +148,19 @@ def forest_scores(
     """Add ``if_score``, the negated anomaly score: from -1 (isolated at once) to 0; low is anomalous."""
     keys, types = list(by), dict(df.dtypes)
     key_types = ", ".join(f"{c} {types[c]}" for c in keys)
-    rows = df.select(*keys, clock, _features(columns).alias("_x")).withColumn(chunks.CHUNK, chunks.chunk_of(clock))
-    places = rows.select(*keys, chunks.CHUNK).distinct()
-    group = [*keys, chunks.CHUNK]
+    # Rows need no order here: a key is cut into as few blocks as memory allows, and the forest goes to each once.
+    blocks = df.groupBy(*keys).agg(F.ceil(F.count("*") / SCORE_ROWS).cast("int").alias("_blocks"))
+    rows = df.select(*keys, clock, _features(columns).alias("_x")).join(blocks, keys)
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(clock), F.col("_blocks")).cast("int")).drop("_blocks")
+    places = blocks.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    group = [*keys, "_block"]
 
     def score(data: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         out = data[[*keys, clock]].copy()
         if data.empty or model.empty:
             return out.assign(if_score=np.full(len(out), np.nan))
         x = np.array(data["_x"].tolist())
-        total = np.zeros(len(x))
-        for _, tree in model.iterrows():
-            total += path_lengths(x, tree)
+        total = forest_lengths(x, model)
         normal = float(expected_length(model["sample"].iloc[0])) or 1.0
         return out.assign(if_score=-np.exp2(-total / len(model) / normal))
 

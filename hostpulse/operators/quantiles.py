@@ -39,15 +39,17 @@ def exact_quantiles(
     wanted = sorted(set(probabilities))
     bounds = [x for p in wanted for x in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
 
-    sketched = df.groupBy(*by).agg(
-        F.percentile_approx(v, bounds, SKETCH_ACCURACY).alias("_bounds"),
-        F.count(v).alias("_n"),
-        *also,
+    counted = df.groupBy(*by).agg(F.count(v).alias("_n"), *also)
+    extra = [c for c in counted.columns if c not in by and c != "_n"]
+    rows = df.select(*by, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # Only rows of large keys are sketched.
+    large = counted.where(F.col("_n") > _SMALL).select(*by)
+    sketched = _join_by(rows, large, by).groupBy(*by).agg(
+        F.percentile_approx("_v", bounds, SKETCH_ACCURACY).alias("_bounds")
     )
-    extra = [c for c in sketched.columns if c not in by and c not in ("_bounds", "_n")]
 
     # Walk the brackets upwards: the first one whose upper end reaches the value either holds it or has it below.
-    kept: Column = F.when(F.col("_n") <= _SMALL, F.col("_v"))
+    kept: Column = F.when(F.col("_bounds").isNull(), F.col("_v"))
     for i in range(len(wanted)):
         low, high = F.get("_bounds", F.lit(2 * i)), F.get("_bounds", F.lit(2 * i + 1))
         before = F.get("_bounds", F.lit(2 * i - 1)) if i else low - F.abs(low) - 1.0
@@ -56,16 +58,15 @@ def exact_quantiles(
     top = F.get("_bounds", F.lit(2 * len(wanted) - 1))
     kept = kept.otherwise(top + F.abs(top) + 1.0)
 
-    rows = df.select(*by, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     exact = (
-        _join_by(rows, sketched.select(*by, "_bounds", "_n"), by)
+        _join_by(rows, sketched, by, how="left")
         .select(*by, kept.alias("_x"))
         .groupBy(*by)
         .agg(F.percentile("_x", list(probabilities)).alias(output))
     )
     if not extra:
         return exact if by else exact.where(F.col(output).isNotNull())
-    return _join_by(sketched.drop("_bounds", "_n"), exact, by, how="left")
+    return _join_by(counted.drop("_n"), exact, by, how="left")
 
 
 def _join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:

@@ -37,20 +37,33 @@ def train(hourly: DataFrame, generation: str = "profiled") -> Forecasters:
     return Forecasters(profile, models, quality.series_quality(prepared), prepared)
 
 
-def forecast(fitted: Forecasters, periods: int = 24, generation: str = "profiled") -> DataFrame:
-    """Rows of both models for every series, in the long forecast form."""
+def forecast(
+    fitted: Forecasters, periods: int = 24, generation: str = "profiled", horizons: DataFrame | None = None
+) -> DataFrame:
+    """Rows of both models for every series, in the long forecast form.
+
+    ``horizons`` (host, measurement, hours) gives series a horizon of their own.
+    """
     _, minimum = fixed.MIN_FORECAST_ROWS[generation]
     typed = fitted.prepared.join(fitted.profiles.select(*SERIES, "data_type"), SERIES)
-    return _model_rows(additive.forecast(fitted.models, periods), "additive").unionByName(
-        _model_rows(arima.forecast(typed, periods, minimum), "arima")
+    models, ahead = fitted.models, periods
+    if horizons is not None:
+        own = horizons.select(*SERIES, F.col("hours").cast("int").alias("_hours"))
+        ahead = "_ahead"
+        models, typed = (
+            x.join(own, SERIES, "left").withColumn(ahead, F.coalesce("_hours", F.lit(periods))).drop("_hours")
+            for x in (models, typed)
+        )
+    return _model_rows(additive.forecast(models, ahead), "additive").unionByName(
+        _model_rows(arima.forecast(typed, ahead, minimum), "arima")
     )
 
 
 def evaluated(hourly: DataFrame, as_of: int, horizon: int = 24, metrics: list[str] | None = None) -> DataFrame:
     """Per series and model: errors on the last fifth after training on the rest, quality and version.
 
-    Forecasts run as many hours as the longest test part; a series without enough rows
-    keeps a row that says so.
+    Each series is forecast as many hours as its own test part, the horizon at least; a series
+    without enough rows keeps a row that says so.
     """
     if metrics is not None:
         hourly = hourly.where(F.col("measurement").isin(*metrics))
@@ -58,8 +71,10 @@ def evaluated(hourly: DataFrame, as_of: int, horizon: int = 24, metrics: list[st
     training, test = split.where(F.col("part") == "train").drop("part"), split.where(F.col("part") == "test").drop("part")
     fitted = train(training)
     last = training.groupBy(*SERIES).agg(F.max("clock").alias("_last"))
-    hours = test.join(last, SERIES).agg(F.max((F.col("clock") - F.col("_last")) / 3600)).first()[0]
-    ahead = forecast(fitted, max(horizon, int(hours or horizon)))
+    hours = test.join(last, SERIES).groupBy(*SERIES).agg(
+        F.greatest(F.lit(horizon), F.max((F.col("clock") - F.col("_last")) / 3600).cast("int")).alias("hours")
+    )
+    ahead = forecast(fitted, horizon, horizons=hours)
     actual = test.select("host", F.col("measurement").alias("metric"), F.col("clock").alias("ds"), F.col("value").alias("y"))
     errors = evaluation.forecast_errors(ahead.join(actual, ["host", "metric", "ds"]), evaluation.MODEL_KEY)
     counts = training.groupBy("host", F.col("measurement").alias("metric")).agg(F.count("*").alias("training_samples"))
