@@ -16,7 +16,7 @@ from hostpulse.sources.tables import ORACLE_VIEWS, Tables
 
 GROUPS = [
     "ingest", "relations", "aggregates", "windows", "cleaning", "features",
-    "scalars", "anomalies", "neighbours", "forecasting", "failures", "indicators", "registries", "streams",
+    "scalars", "anomalies", "neighbours", "forecasting", "failures", "indicators", "registries", "streams", "models",
 ]
 
 

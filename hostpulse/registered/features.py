@@ -236,8 +236,9 @@ SELECT frame.host, count(*) AS metric_rows, coalesce(max(alert_rows), 0) AS aler
 FROM frame LEFT JOIN alerted ON frame.host = alerted.host GROUP BY frame.host
 """)
 def collected_training_data(t: Tables) -> DataFrame:
-    tables = dict(alerts=t.alerts, events=t.problems, triggers=t.triggers, functions=t.functions, items=t.items, hosts=t.hosts)
-    data = datasets.collect_training_data(t.samples, AS_OF, 168, METRICS, relations_of_alerts=tables)
+    week, before = t.since(AS_OF - 168 * 3600), t.since(AS_OF - 8 * 86400 - 30)
+    tables = dict(alerts=before.alerts, events=before.problems, triggers=t.triggers, functions=t.functions, items=t.items, hosts=t.hosts)
+    data = datasets.collect_training_data(week.samples, AS_OF, 168, METRICS, relations_of_alerts=tables)
     rows = data.metrics.groupBy("host").agg(F.count("*").alias("metric_rows"))
     alerts = data.alerts.groupBy(F.col("hostname").alias("host")).agg(F.count("*").alias("alert_rows"))
     return rows.join(alerts, "host", "left").join(data.quality, "host").select(

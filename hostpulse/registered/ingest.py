@@ -22,14 +22,14 @@ WHERE clock >= 1706659200 - 168 * 3600 AND clock < 1706659200
     'agent_ping', 'system_cpu_util_system', 'net_if_out_eth0', 'net_if_out_eth0_errors')
 """)
 def metric_history_scan(t: Tables) -> DataFrame:
-    return samples.scan_history(t.samples, AS_OF, hours=168).select("host", "measurement", "clock", "value")
+    return samples.scan_history(t.since(AS_OF - WEEK).samples, AS_OF, hours=168).select("host", "measurement", "clock", "value")
 
 
 @query("A2", """
 SELECT eventid, objectid, clock, severity FROM problems WHERE clock >= 1706659200 - 604800 AND source = 0
 """)
 def relational_scan(t: Tables) -> DataFrame:
-    return samples.scan_since(t.problems, "clock", AS_OF - WEEK, source=0).select(
+    return samples.scan_since(t.since(AS_OF - WEEK).problems, "clock", AS_OF - WEEK, source=0).select(
         "eventid", "objectid", "clock", "severity"
     )
 
@@ -57,7 +57,8 @@ exported AS (
 
 
 def _export(t: Tables) -> DataFrame:
-    return export.export_batch(t.history, t.history_uint, t.items, t.hosts, AS_OF, look_back=86400)
+    day = t.since(AS_OF - 86400)
+    return export.export_batch(day.history, day.history_uint, t.items, t.hosts, AS_OF, look_back=86400)
 
 
 @query("A3, B6, C1, S3, S4", _EXPORT_SQL + "SELECT * FROM exported")

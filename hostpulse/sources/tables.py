@@ -42,11 +42,19 @@ def _by_type(texts: dict[str, str]) -> Column:
 class Tables:
     """Views over one data folder; each is built once per instance and never cached."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, start: int | None = None, whole: Tables | None = None):
         self.spark = prepare(spark)
         self.folder = folder
+        self._start, self._whole = start, whole
         self._written: dict[str, DataFrame] = {}
 
+    def since(self, start: int) -> Tables:
+        """The same views of samples from ``start`` on. The bound is on the stored time, so the scan prunes by it.
+
+        Hosts, items, triggers and functions stay those of all samples.
+        """
+        return Tables(self.spark, self.folder, start, self)
+
     def written(self, view: str) -> DataFrame:
         """A view written once and read back, for operators that pass over their input several times."""
         if view not in self._written:
@@ -59,7 +67,17 @@ class Tables:
     @cached_property
     def base(self) -> DataFrame:
         """One raw sample per row."""
-        return base_samples(self.table("events"))
+        events = self.table("events")
+        if self._start is not None:
+            events = events.where(F.col("ts") >= F.timestamp_seconds(F.lit(self._start)).cast(dict(events.dtypes)["ts"]))
+        return base_samples(events)
+
+    @cached_property
+    def dimensions(self) -> DataFrame:
+        """Hosts with their items, a row per item: one pass over all samples, written once."""
+        if self._whole is not None:
+            return self._whole.dimensions
+        return materialised(self.base.select("hostid", "host", "itemid", "key_", "event_type").distinct(), "dimensions")
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -72,7 +90,7 @@ class Tables:
 
     @cached_property
     def hosts(self) -> DataFrame:
-        return self.base.select("hostid", "host").distinct().select(
+        return self.dimensions.select("hostid", "host").distinct().select(
             "hostid",
             "host",
             F.concat(F.lit("Host "), F.col("hostid")).alias("name"),
@@ -81,7 +99,7 @@ class Tables:
 
     @cached_property
     def items(self) -> DataFrame:
-        return self.base.select("itemid", "hostid", "key_", "event_type").distinct().select(
+        return self.dimensions.select(
             "itemid",
             "hostid",
             "key_",

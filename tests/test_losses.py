@@ -68,3 +68,13 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     store = samples.read_relation(spark, str(tmp_path / "s"))
     assert store.count() == 6
     assert samples.scan_history(store, 100000, hours=10, measurements=["m"]).count() == 4
+
+
+@pytest.mark.parametrize("name", ["metric_history_scan", "relational_scan", "incremental_export", "alert_history", "trigger_events",
+                                  "recent_alert_summary", "history_presence"])
+def test_time_bounds_reach_the_scan(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line and "events.parquet" in line]
+    assert scans and all("GreaterThanOrEqual(ts," in line for line in scans)
