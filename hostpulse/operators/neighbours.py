@@ -250,17 +250,44 @@ def lof_scores(
     return rows.join(factors, [*by, "point"]).select(*df.columns, (-F.col("lof")).alias("lof_score"))
 
 
+def nearest_known(a: np.ndarray, b: np.ndarray, k: int, rows: int = 256):
+    """Per gap of ``a``: (row, column, the k rows of ``b`` nearest among those that know the column, their distances).
+
+    ``b`` is in the order that equal distances prefer.
+    """
+    known = ~np.isnan(b)
+    filled = np.nan_to_num(b)
+    for at in range(0, len(a), rows):
+        part = a[at : at + rows]
+        square, shared = np.zeros((len(part), len(b))), np.zeros((len(part), len(b)), np.int64)
+        for d in range(a.shape[1]):
+            both = ~np.isnan(part[:, d])[:, None] & known[:, d]
+            square += np.where(both, (np.nan_to_num(part[:, d])[:, None] - filled[:, d]) ** 2, 0.0)
+            shared += both
+        square = np.where(shared > 0, square / np.maximum(shared, 1), np.inf)
+        for d in range(a.shape[1]):
+            gaps = np.flatnonzero(np.isnan(part[:, d]))
+            own = np.where(known[:, d], square[gaps], np.inf)
+            order = np.argsort(own, axis=1, kind="stable")[:, :k]
+            for i, near in zip(gaps.tolist(), order):
+                near = near[np.isfinite(square[i, near]) & known[near, d]]
+                yield at + i, d, near, square[i, near]
+
+
 def knn_imputed(
-    df: DataFrame, columns: Sequence[str], k: int = 5, by: Sequence[str] = HOST, clock: str = "clock"
+    df: DataFrame, columns: Sequence[str], k: int = 5, by: Sequence[str] = HOST, clock: str = "clock",
+    reference: DataFrame | None = None,
 ) -> DataFrame:
     """Fill each gap with the mean of that column over the k nearest rows that know it.
 
     Distance uses the columns both rows know, scaled up to all columns; equal distances
-    prefer the earlier row. A gap nothing compares with takes the column's mean.
+    prefer the earlier row. A gap nothing compares with takes the column's mean. Rows are
+    compared with those of ``reference``, by default with each other; a key it lacks keeps its gaps.
     """
     keys, columns = list(by), list(columns)
     types = dict(df.dtypes)
-    sizes = df.groupBy(*keys).agg(
+    reference = df if reference is None else _renewed(reference.select(*keys, clock, *columns))
+    sizes = reference.groupBy(*keys).agg(
         F.ceil(F.count("*") / BLOCK_ROWS).alias("_m"), *[F.avg(c).alias(f"_mean_{c}") for c in columns]
     )
     block = F.pmod(F.xxhash64(*keys, clock), F.col("_m"))
@@ -268,27 +295,21 @@ def knn_imputed(
     gap = sum((F.col(c).isNull().cast("int") for c in columns[1:]), F.col(columns[0]).isNull().cast("int")) > 0
     some = df.select(*keys, clock, *columns).join(sizes.select(*keys, "_m"), keys)
     left = some.where(gap).select("*", block.alias("_qb"), every.alias("_rb"))
-    right = some.select("*", block.alias("_rb"), every.alias("_qb"))
+    known = reference.select(*keys, clock, *columns).join(sizes.select(*keys, "_m"), keys)
+    right = known.select("*", block.alias("_rb"), every.alias("_qb"))
 
     def search(q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {c: [] for c in [*keys, clock, "column", "_found"]}
+        ref = ref.sort_values(clock, kind="stable")
         a, b = q[columns].to_numpy(dtype=float), ref[columns].to_numpy(dtype=float)
-        times = ref[clock].to_numpy()
-        for i in range(len(a)):
-            shared = ~np.isnan(a[i]) & ~np.isnan(b)
-            square = np.zeros(len(b))
-            for d in range(len(columns)):
-                square += np.where(shared[:, d], (np.nan_to_num(a[i, d]) - np.nan_to_num(b[:, d])) ** 2, 0.0)
-            n = shared.sum(axis=1)
-            square = np.where(n > 0, square / np.maximum(n, 1), np.inf)
-            order = np.lexsort((times, square))
-            for d in np.flatnonzero(np.isnan(a[i])):
-                fit = order[~np.isnan(b[order, d]) & np.isfinite(square[order])][:k]
-                for key in keys:
-                    out[key].append(q[key].iloc[i])
-                out[clock].append(q[clock].iloc[i])
-                out["column"].append(columns[d])
-                out["_found"].append([(float(square[j]), int(times[j]), float(b[j, d])) for j in fit])
+        times, own_times = ref[clock].to_numpy(), q[clock].to_numpy()
+        own = [q[key].to_numpy() for key in keys]
+        for i, d, near, square in nearest_known(a, b, k):
+            for key, values in zip(keys, own):
+                out[key].append(values[i])
+            out[clock].append(own_times[i])
+            out["column"].append(columns[d])
+            out["_found"].append(list(zip(square.tolist(), times[near].tolist(), b[near, d].tolist())))
         return pd.DataFrame(out)
 
     key_types = ", ".join(f"{c} {types[c]}" for c in keys)
@@ -306,7 +327,7 @@ def knn_imputed(
     fills = best.select(*keys, clock, "column", mean.alias("_fill")).groupBy(*keys, clock).agg(
         *[F.max(F.when(F.col("column") == c, F.col("_fill"))).alias(f"_fill_{c}") for c in columns]
     )
-    joined = df.join(fills, [*keys, clock], "left").join(sizes.drop("_m"), keys)
+    joined = df.join(fills, [*keys, clock], "left").join(sizes.drop("_m"), keys, "left")
     return joined.select(
         *[
             F.coalesce(F.col(c), F.col(f"_fill_{c}"), F.col(f"_mean_{c}")).alias(c) if c in columns else F.col(c)

@@ -21,7 +21,18 @@ def pipeline_features(metrics: Sequence[str]) -> list[str]:
     return [*metrics, *CALENDAR, *statistical, *features.domain_names(metrics)]
 
 
-def _imputed(wide: DataFrame, metrics: Sequence[str], params: DataFrame, by: Sequence[str], clock: str) -> DataFrame:
+IMPUTERS = ("median", "neighbours")
+
+
+def _imputed(
+    wide: DataFrame, metrics: Sequence[str], params: DataFrame, by: Sequence[str], clock: str, reference: DataFrame | None = None
+) -> DataFrame:
+    """Gaps filled from the nearest rows of ``reference`` where it is given, else and then by medians, else by 0."""
+    known_metrics = [c for c in metrics if c in wide.columns]
+    if reference is not None and known_metrics:
+        from hostpulse.operators.neighbours import knn_imputed
+
+        wide = knn_imputed(wide, known_metrics, by=by, clock=clock, reference=reference)
     medians = params.select(*by, *[f"{c}__median" for c in metrics])
     known = set(wide.columns)
 
@@ -38,16 +49,22 @@ def _made(full: DataFrame, metrics: Sequence[str], params: DataFrame, by: Sequen
 
 
 def fit_features(
-    wide: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("host",), clock: str = "clock"
+    wide: DataFrame, metrics: Sequence[str], by: Sequence[str] = ("host",), clock: str = "clock", imputer: str = "median"
 ) -> tuple[DataFrame, DataFrame]:
     """Fit the feature pipeline and transform its training data.
 
+    ``imputer`` is ``median``, or ``neighbours`` for the mean of the five nearest rows; then
+    ``transform_features`` needs the same ``wide`` as its reference.
+
     Returns the parameters - one row per key with medians, means, stds, and robust centre
     and scale per feature - and the scaled features. Imputed metrics and unscaled features
     are written once each, since fitting and transforming both read them.
     """
     medians = materialised(cleaning.median_parameters(wide, metrics, by), "feature-medians")
-    full = materialised(_imputed(wide, metrics, medians, by, clock), "imputed")
+    if imputer not in IMPUTERS:
+        raise ValueError(f"imputer must be one of {IMPUTERS}")
+    reference = wide if imputer == "neighbours" else None
+    full = materialised(_imputed(wide, metrics, medians, by, clock, reference), "imputed")
     stats = materialised(medians.join(features.series_parameters(full, metrics, by, clock), list(by)), "feature-stats")
     made = materialised(_made(full, metrics, stats, by, clock), "unscaled-features")
     names = pipeline_features(metrics)
@@ -57,10 +74,14 @@ def fit_features(
 
 
 def transform_features(
-    wide: DataFrame, metrics: Sequence[str], params: DataFrame, by: Sequence[str] = ("host",), clock: str = "clock"
+    wide: DataFrame, metrics: Sequence[str], params: DataFrame, by: Sequence[str] = ("host",), clock: str = "clock",
+    reference: DataFrame | None = None,
 ) -> DataFrame:
-    """Features of new data under fitted parameters. Metrics the data lacks count as 0.0, extra ones are dropped."""
-    made = _made(_imputed(wide, metrics, params, by, clock), metrics, params, by, clock)
+    """Features of new data under fitted parameters. Metrics the data lacks count as 0.0, extra ones are dropped.
+
+    ``reference`` is the data the parameters were fitted on, where they were fitted with neighbours.
+    """
+    made = _made(_imputed(wide, metrics, params, by, clock, reference), metrics, params, by, clock)
     return cleaning.scaled(made, pipeline_features(metrics), params.select(*by, "centers", "scales"), by)
 
 

@@ -10,6 +10,7 @@ from hostpulse.operators import cleaning, features, intervals
 from hostpulse.plans import datasets
 from hostpulse.registered import query, rounded
 from hostpulse.registered.cleaning import CLEAN_WIDE, FILLED_WIDE
+from hostpulse.registered.neighbours import KNN_FILLED_SQL, KNN_SQL
 from hostpulse.session import materialised
 from hostpulse.sources.tables import AS_OF, METRICS, Tables
 
@@ -156,10 +157,11 @@ def metric_ratios(t: Tables) -> DataFrame:
 
 
 _PIPELINE = datasets.pipeline_features(METRICS)
-_PIPELINE_SQL = f"""
-WITH med AS (SELECT host, {', '.join(f'median({c}) AS {c}_med' for c in METRICS)} FROM wide GROUP BY host),
+_MEDIANS = f"""
+med AS (SELECT host, {', '.join(f'median({c}) AS {c}_med' for c in METRICS)} FROM wide GROUP BY host),
 imputed AS (SELECT w.host, w.clock, {', '.join(f'coalesce({c}, {c}_med, 0.0) AS {c}' for c in METRICS)}
-            FROM wide w JOIN med ON w.host = med.host),
+            FROM wide w JOIN med ON w.host = med.host)"""
+_TAIL_SQL = f"""
 p AS ({_STAT_PARAMS} FROM imputed GROUP BY host),
 made AS (SELECT f.host, f.clock, {', '.join(METRICS)}, {CALENDAR_SQL}, {CYCLIC_SQL}, {', '.join(_STAT_COLUMNS)},
                 {DOMAIN_SQL}
@@ -174,13 +176,21 @@ FROM even e JOIN s ON e.host = s.host
 """
 
 
-@query("H10", _PIPELINE_SQL)
+@query("H10", f"WITH {_MEDIANS},{_TAIL_SQL}")
 def feature_pipeline(t: Tables) -> DataFrame:
     """Fit on the frame and transform it."""
     _, made = datasets.fit_features(t.written("wide"), METRICS)
     return rounded(made, *_PIPELINE, digits=4)
 
 
+@query("H10, H9", f"WITH {KNN_SQL}, imputed AS ({KNN_FILLED_SQL}),{_TAIL_SQL}")
+def feature_pipeline_of_neighbours(t: Tables) -> DataFrame:
+    """The same with gaps filled from the nearest rows: fitted, then applied to its own data."""
+    wide = t.written("wide")
+    params, _ = datasets.fit_features(wide, METRICS, imputer="neighbours")
+    return rounded(datasets.transform_features(wide, METRICS, params, reference=wide), *_PIPELINE, digits=4)
+
+
 _SUFFIXES = [n.removeprefix("x") for n in features.statistical_names("x")]
 
 

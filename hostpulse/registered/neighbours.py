@@ -65,14 +65,20 @@ _FILLS = ", ".join(
 )
 
 
-@query("H9", f"""
-WITH pairs AS (SELECT a.host, a.clock, b.clock AS other, {_SHARED} AS shared, {_SQUARE} AS square,
+KNN_SQL = f"""
+pairs AS (SELECT a.host, a.clock, b.clock AS other, {_SHARED} AS shared, {_SQUARE} AS square,
   {', '.join(f'a.{c} AS q{i}, b.{c} AS v{i}' for i, c in enumerate(METRICS))}
   FROM wide a JOIN wide b ON a.host = b.host), {_FILLS},
-means AS (SELECT host, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(METRICS))} FROM wide GROUP BY host)
-SELECT w.host, w.clock, {', '.join(f'round(coalesce({c}, fill_{i}.v, m{i}) + 1e-9, 6) AS {c}' for i, c in enumerate(METRICS))}
+means AS (SELECT host, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(METRICS))} FROM wide GROUP BY host)"""
+KNN_FILLED_SQL = f"""
+SELECT w.host, w.clock, {', '.join(f'coalesce({c}, fill_{i}.v, m{i}) AS {c}' for i, c in enumerate(METRICS))}
 FROM wide w JOIN means ON w.host = means.host
-{' '.join(f'LEFT JOIN fill_{i} ON w.host = fill_{i}.host AND w.clock = fill_{i}.clock' for i, _ in enumerate(METRICS))}
+{' '.join(f'LEFT JOIN fill_{i} ON w.host = fill_{i}.host AND w.clock = fill_{i}.clock' for i, _ in enumerate(METRICS))}"""
+
+
+@query("H9", f"""
+WITH {KNN_SQL}
+SELECT host, clock, {', '.join(f'round({c} + 1e-9, 6) AS {c}' for c in METRICS)} FROM ({KNN_FILLED_SQL})
 """)
 def neighbour_imputed(t: Tables) -> DataFrame:
     return rounded(neighbours.knn_imputed(t.written("wide"), METRICS), *METRICS, nudge=1e-9)

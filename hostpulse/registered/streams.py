@@ -10,8 +10,8 @@ from hostpulse.registered import query, rounded
 from hostpulse.registered.anomalies import BASELINE, fitted
 from hostpulse.registered.ingest import _PARSED_SQL
 from hostpulse.session import shared_dir
-from hostpulse.sources import ingest
-from hostpulse.sources.tables import Tables, base_samples
+from hostpulse.sources import ingest, samples
+from hostpulse.sources.tables import AS_OF, Tables, base_samples
 from hostpulse.streaming import pipelines
 
 
@@ -62,6 +62,22 @@ def streamed_routes(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).groupBy("part", "measurement").agg(F.count("*").alias("events"))
 
 
+@query("M3, A1, A6", _PARSED_SQL + """
+SELECT measurement, CAST(to_timestamp(clock) AS DATE)::VARCHAR AS date, count(*) AS points,
+       round(sum(CASE table_type WHEN 'history' THEN value ELSE trunc(value) END), 6) AS total
+FROM routed WHERE route = 'stored' AND clock >= 1706659200 - 168 * 3600 AND clock < 1706659200 GROUP BY ALL
+""")
+def streamed_store_scan(t: Tables) -> DataFrame:
+    """Points streamed into the dated store, then scanned for one week with folder pruning."""
+    good, bad = shared_dir(t.spark, "store"), shared_dir(t.spark, "quarantine")
+    write = pipelines.split_routes(good, bad)
+    pipelines.finished(pipelines.write_batches(pipelines.routed(_lines(t)), write, shared_dir(t.spark, "store-checkpoint")))
+    week = samples.scan_history(samples.read_relation(t.spark, good), AS_OF, hours=168)
+    return week.groupBy("measurement", F.col("date").cast("string").alias("date")).agg(
+        F.count("*").alias("points"), F.round(F.sum("value"), 6).alias("total")
+    )
+
+
 @query("M2", "SELECT DISTINCT host, itemid, clock, 1 AS copies FROM base")
 def streamed_dedupe(t: Tables) -> DataFrame:
     """Every sample delivered twice; one row per item and second remains."""

@@ -103,12 +103,15 @@ def write_batches(
 
 
 def split_routes(stored_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer: stored points to one table, all else to another. A repeated batch overwrites itself."""
+    """Batch writer: points to the dated store that ``scan_history`` reads, all else to a table of its own.
+
+    A repeated batch overwrites itself.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         try:
-            ingest.stored_points(kept).write.mode("overwrite").parquet(f"{stored_path}/batch={batch_id}")
+            ingest.write_store(ingest.stored_points(kept), stored_path, str(batch_id))
             ingest.quarantined(kept).write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
         finally:
             kept.unpersist()
