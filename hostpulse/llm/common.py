@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.session import prepare
+from hostpulse.session import materialised, prepare
 
 #: A word is a run of characters other than space and tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -20,6 +22,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``materialised``, after which the shuffle files of the steps up to here may go.
+
+    Spark deletes them once the driver's garbage collectors find that nothing refers to them any more, which may be long after; here a
+    step is as large as the corpus, so they are asked to look.
+    """
+    out = materialised(df, purpose)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not use yet, compared without case as Spark does."""
     taken, name, k = {c.lower() for c in df.columns}, stem, 0
@@ -39,6 +53,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with at most ``budget`` bytes in ``column``, one row at least."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        for i, j in slices([max(64, n) for n in sizes], budget):
+            yield b.slice(i, j - i)
+
+
 def extended(batch: pa.RecordBatch, names: list[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
     """The columns ``names`` of a batch as they are, and new ones."""
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *new.values()], names=[*names, *new])

@@ -113,6 +113,13 @@ def build_index(items: list[tuple[int, str]], window: int = WINDOW, step: int =
     return Index(texts, owners, edits, sizes - q + 1 - q * edits, q, keys, np.append(first, len(h)), which[order], place[order], seen)
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each occurs, by sorting."""
+    values = np.sort(values)
+    edge = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return values[edge], np.diff(np.append(edge, len(values)))
+
+
 def candidates(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int]]:
     """(text, window, first diagonal) of every band that holds enough shared q-grams."""
     codes = [codes_of(t) for t in texts]
@@ -134,63 +141,97 @@ def candidates(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int]]
     entry = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.first[j], many)
     win, own = index.window[entry], np.repeat(owner, many)
     # A (text, window) pair with too few shared q-grams in all has no band with enough.
-    pair, inverse, count = np.unique(own * len(index.texts) + win, return_inverse=True, return_counts=True)
-    live = (count >= index.bound[pair % len(index.texts)])[inverse]
-    win, own, entry = win[live], own[live], entry[live]
-    diagonal = (np.repeat(at - starts[owner], many)[live] - index.place[entry]).astype(np.int64)
+    code = own * len(index.texts) + win
+    pair, count = counted(code)
+    pair = pair[count >= index.bound[pair % len(index.texts)]]
+    inverse = np.minimum(np.searchsorted(pair, code), max(0, len(pair) - 1))
+    live = pair[inverse] == code if len(pair) else np.zeros(len(code), bool)
+    win, own, entry, inverse = win[live], own[live], entry[live], inverse[live]
+    place = index.place[entry]
     wide = np.maximum(1, index.edits[win])
-    band = diagonal // wide
-    keys = np.stack([np.concatenate((own, own)), np.concatenate((win, win)), np.concatenate((band, band - 1))])
-    order = np.lexsort(keys[::-1])
-    keys = keys[:, order]
-    new = np.concatenate(([True], (np.diff(keys) != 0).any(0))) if keys.shape[1] else np.zeros(0, bool)
-    edge = np.flatnonzero(new)
-    count = np.diff(np.append(edge, keys.shape[1]))
-    for k, n in zip(edge, count):
-        o, w, b = (int(x) for x in keys[:, k])
-        if n >= index.bound[w]:
-            yield o, w, b * max(1, int(index.edits[w]))
+    band = (np.repeat(at - starts[owner], many)[live] - place) // wide
+    # Every band of diagonals overlaps the next by half; a place of the window counts once in each.
+    least, most, places_ = int(band.min(initial=0)) - 1, int(band.max(initial=0)) + 1, int(index.place.max()) + 1
+    spot = inverse * (most - least + 1) - least
+    keys, _ = counted(np.concatenate((spot + band, spot + band - 1)) * places_ + np.concatenate((place, place)))
+    keys, count = counted(keys // places_)
+    pair, band = pair[keys // (most - least + 1)], keys % (most - least + 1) + least
+    win, own = pair % len(index.texts), pair // len(index.texts)
+    enough = count >= index.bound[win]
+    for o, w, b in zip(own[enough].tolist(), win[enough].tolist(), band[enough].tolist()):
+        yield o, w, b * max(1, int(index.edits[w]))
+
+
+def align_band(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the best occurrence of each pattern on the diagonals of its region.
+
+    Patterns are rows of m codes; the region of a pattern on w diagonals has m + w - 1 codes, and a cell of the alignment
+    lies at (row, diagonal). An occurrence may start and end on any of the diagonals.
+    """
+    k, m = patterns.shape
+    w = regions.shape[1] - m + 1
+    steps = np.arange(w, dtype=np.int32)
+    cost, start = np.zeros((k, w), np.int32), np.tile(steps, (k, 1))
+    for i in range(m):
+        best, origin = cost + (regions[:, i : i + w] != patterns[:, i : i + 1]), start
+        if w > 1:  # a character of the pattern left out: one diagonal down
+            skip = cost[:, 1:] + 1 < best[:, :-1]
+            best[:, :-1] = np.where(skip, cost[:, 1:] + 1, best[:, :-1])
+            origin = origin.copy()
+            origin[:, :-1] = np.where(skip, start[:, 1:], start[:, :-1])
+        # Characters of the text left over: the least of best[d] + (c - d) over d <= c.
+        run = np.minimum.accumulate(best - steps, axis=1)
+        source = np.maximum.accumulate(np.where(best - steps == run, steps, 0), axis=1)
+        cost, start = run + steps, np.take_along_axis(origin, source, axis=1)
+    end = cost.argmin(1)
+    rows = np.arange(k)
+    return cost[rows, end], start[rows, end], end + m
 
 
 def align(pattern: str, region: str, limit: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best occurrence of the pattern anywhere in the region, None if over ``limit`` edits.
+    """(edits, start, end) of the best occurrence of the pattern anywhere in the region, None if over ``limit`` edits."""
+    p, r = codes_of(pattern), codes_of(region)
+    wide = np.full(2 * len(p) + len(r), _GAP, np.uint32)
+    wide[len(p) : len(p) + len(r)] = r
+    edits, start, end = (int(x[0]) for x in align_band(p[None, :], wide[None, :]))
+    start, end = (min(max(0, x - len(p)), len(r)) for x in (start, end))
+    return (edits, start, max(start, end)) if edits <= limit else None
 
-    The region is as narrow as the band, so all its places are the band of the alignment.
+
+def verified(index: Index, texts: list[str], found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, window, start, end, edits) of the candidates that hold their window within its budget.
+
+    A verbatim occurrence needs no alignment; the others of one shape are aligned together.
     """
-    at = region.find(pattern)
-    if at >= 0:
-        return 0, at, at + len(pattern)
-    p, r = codes_of(pattern), codes_of(region)
-    n = len(r)
-    steps = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, np.int64), steps.copy()
-    for i, c in enumerate(p):
-        up, diag = cost + 1, np.full(n + 1, 1 << 30)
-        diag[1:] = cost[:-1] + (r != c)
-        from_diag = np.concatenate(([0], start[:-1]))
-        best = np.where(diag <= up, diag, up)
-        origin = np.where(diag <= up, from_diag, start)
-        best[0] = i + 1
-        # A run of insertions to the right: the least of best[k] + (j - k) over k <= j.
-        run = np.minimum.accumulate(best - steps)
-        fresh = best - steps == run
-        source = np.maximum.accumulate(np.where(fresh, steps, 0))
-        cost, start = run + steps, origin[source]
-    end = int(np.argmin(cost))
-    return (int(cost[end]), int(start[end]), end) if cost[end] <= limit else None
+    shapes: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for o, w, first in found:
+        pattern, e = index.texts[w], int(index.edits[w])
+        lo = first - e
+        at = texts[o].find(pattern, max(0, lo), max(0, lo) + 5 * e + 1 + len(pattern))
+        if at >= 0:
+            yield o, w, at, at + len(pattern), 0
+        else:
+            shapes.setdefault((len(pattern), e), []).append((o, w, lo))
+    for (m, e), rows in shapes.items():
+        for i in range(0, len(rows), 2_048):
+            part = rows[i : i + 2_048]
+            regions = np.full((len(part), m + 4 * e), _GAP, np.uint32)
+            for k, (o, _, lo) in enumerate(part):
+                text = codes_of(texts[o][max(0, lo) : max(0, lo + m + 4 * e)])
+                regions[k, max(0, -lo) : max(0, -lo) + len(text)] = text
+            patterns = np.stack([codes_of(index.texts[w]) for _, w, _ in part])
+            for (o, w, lo), edits, start, end in zip(part, *(x.tolist() for x in align_band(patterns, regions))):
+                if edits <= e:
+                    start = min(max(0, lo + start), len(texts[o]))
+                    yield o, w, start, max(start, min(lo + end, len(texts[o]))), edits
 
 
 def leaks_in(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(text, item, start, end, windows, edits) of each region that holds verified windows; places in the normalised text."""
     hits: dict[tuple[int, int], set[tuple[int, int, int, int]]] = {}
     for a, b in slices([len(t) for t in texts], _SLICE):
-        for o, w, first in candidates(index, texts[a:b]):
-            e, pattern, text = int(index.edits[w]), index.texts[w], texts[a + o]
-            lo = max(0, first - e)
-            found = align(pattern, text[lo : max(0, first + 3 * e + 1) + len(pattern)], e)
-            if found:
-                edits, start, end = found
-                hits.setdefault((a + o, index.items[w]), set()).add((lo + start, lo + end, w, edits))
+        for o, w, start, end, edits in verified(index, texts[a:b], list(candidates(index, texts[a:b]))):
+            hits.setdefault((a + o, index.items[w]), set()).add((start, end, w, edits))
     for (o, item), spans in sorted(hits.items()):
         start = end = None
         windows, most = set(), 0

@@ -55,8 +55,7 @@ def corpus(seed):
     return rows + [(1, None), (4, ""), (7, " \n\t"), (10, "one"), (13, "One"), (None, texts[0]), (0, rows[0][1]), (3, texts[5])]
 
 
-@pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("light", [None, 0, 10_000])
+@pytest.mark.parametrize("seed, light", [(0, None), (1, 0), (2, 10_000)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, light):
     rows = corpus(seed)
     if light is not None:
