@@ -125,7 +125,7 @@ def mix(
     limits = cut.filter("how <> 'all'").groupBy(leaf).agg(F.min(F.struct(place, before, "how")).alias("c")).select(
         F.col(leaf).alias("c_leaf"), F.col(f"c.{place}").alias("c_place"), F.col(f"c.{before}").alias("c_before"), F.col("c.how").alias("c_how")
     )
-    joined = rows.join(limits, F.col(leaf) == F.col("c_leaf"), "left")
+    joined = rows.join(F.broadcast(limits), F.col(leaf) == F.col("c_leaf"), "left")  # a row per leaf again
     whole = joined.filter(F.col("c_place").isNull() | (F.col(place) != F.col("c_place")) | (F.col("c_how") == "none"))
     taken = F.when(F.col("c_place").isNull() | (F.col(place) < F.col("c_place")), 1).otherwise(0)
     whole = whole.select(*columns, F.least(full + taken, F.lit(epochs)).cast("int").alias(copies))
