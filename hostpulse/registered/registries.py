@@ -37,15 +37,14 @@ def refresh_status(t: Tables) -> DataFrame:
 @query("M7", """
 WITH wanted(model_name) AS (VALUES ('system_cpu_util'), ('system_cpu_util_user'), ('system_cpu_load_all_avg1'),
   ('vm_memory_utilization')),
-latest AS (SELECT model_name, max(version) AS version FROM registry WHERE version LIKE '1.0_20240128%' GROUP BY ALL)
+latest AS (SELECT model_name, max(version) AS version FROM registry GROUP BY ALL)
 SELECT w.model_name, version, CASE WHEN version IS NULL THEN 'missing' ELSE 'stale' END AS reason
 FROM wanted w LEFT JOIN latest l ON w.model_name = l.model_name
 WHERE version IS NULL
   OR 1706659200 - epoch(strptime(regexp_extract(version, '(\\d{8}_\\d{6})$', 1), '%Y%m%d_%H%M%S')) > 4 * 3600
 """)
 def models_to_refresh(t: Tables) -> DataFrame:
-    """The older generation of models only, so that some are stale."""
-    return registry.models_to_refresh(t.registry.where(F.col("version").startswith("1.0_20240128")), AS_OF)
+    return registry.models_to_refresh(t.registry, AS_OF)
 
 
 @query("A7, A8", f"WITH {BASELINE} SELECT host, measurement, round(mean + 1e-9, 6) AS mean, 'v2' AS version FROM baseline")

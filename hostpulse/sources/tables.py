@@ -242,8 +242,8 @@ class Tables:
 
     @cached_property
     def registry(self) -> DataFrame:
-        """Model versions of different age."""
-        day = F.when(F.col("hostid") < 5, "30_2").otherwise("28_0")
+        """Model versions of different age; the models of one metric are all old."""
+        day = F.when((F.col("hostid") < 5) & (F.col("event_type") != "view"), "30_2").otherwise("28_0")
         return self.base.select(
             F.col("measurement").alias("model_name"),
             F.concat(F.lit("1.0_202401"), day, F.col("hostid") % 4, F.lit("0000")).alias("version"),
@@ -347,6 +347,6 @@ forecast AS (
   SELECT host, measurement AS metric, CASE WHEN clock % 7200 = 0 THEN 'additive' ELSE 'arima' END AS model,
          clock AS ds, value AS yhat, value - 5 AS yhat_lower, value + 5 AS yhat_upper FROM hourly),
 registry AS (
-  SELECT DISTINCT measurement AS model_name, concat('1.0_202401', CASE WHEN hostid < 5 THEN '30_2' ELSE '28_0' END,
+  SELECT DISTINCT measurement AS model_name, concat('1.0_202401', CASE WHEN hostid < 5 AND event_type <> 'view' THEN '30_2' ELSE '28_0' END,
          hostid % 4, '0000') AS version, hostid AS training_samples FROM base)
 """
