@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostpulse.functions import fixed_values as fixed
-from hostpulse.operators import cleaning, neighbours
+from hostpulse.operators import cleaning, ensemble, neighbours
 from hostpulse.plans import datasets, detection, failure_prediction, forecasting, stores
 from hostpulse.registered import query
 from hostpulse.registered.cleaning import KEPT, PROFILES
@@ -178,3 +178,30 @@ def stored_model_status(t: Tables) -> DataFrame:
     for version, n in (("9.0_20240130_200000", 1), ("10.0_20240130_230000", rows)):
         stores.save_detector(t.spark, model, root, version, n)
     return registry.registry_status(stores.catalogue(t.spark, root, ["detector"]), AS_OF)
+
+
+@query("D13", "SELECT count(*)::BIGINT AS rows, true AS agrees FROM wide")
+def silhouette_closed_form(t: Tables) -> DataFrame:
+    """The separation score against its closed form: mean squared distances to both groups from sums alone."""
+    flags = detection.accuracy_flags(t.written("wide"), METRICS).withColumnRenamed("outlier", "is_anomaly")
+    flags = materialised(flags.select("is_anomaly", *[F.col(c).cast("double").alias(c) for c in METRICS]), "flags")
+    square = sum((F.col(c) * F.col(c) for c in METRICS[1:]), F.col(METRICS[0]) * F.col(METRICS[0]))
+    groups = flags.groupBy("is_anomaly").agg(
+        F.count("*").alias("n"), F.sum(square).alias("squares"), *[F.sum(c).alias(f"sum_{c}") for c in METRICS]
+    )
+    one = groups.agg(F.collect_list(F.struct(*groups.columns)).alias("groups"))  # two groups
+
+    def mean_distance(g):
+        dot = sum((F.col(c) * g[f"sum_{c}"] for c in METRICS[1:]), F.col(METRICS[0]) * g[f"sum_{METRICS[0]}"])
+        return square + g["squares"] / g["n"] - 2 * dot / g["n"]
+
+    own = F.filter("groups", lambda g: g["is_anomaly"] == F.col("is_anomaly"))[0]
+    other = F.filter("groups", lambda g: g["is_anomaly"] != F.col("is_anomaly"))[0]
+    pair = flags.select("*", F.lit(1).alias("_one")).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
+    a = F.try_divide(mean_distance(own) * own["n"], own["n"] - 1)
+    b = mean_distance(other)
+    score = F.when(own["n"] == 1, 0.0).otherwise((b - a) / F.greatest(a, b))
+    closed = pair.agg(F.avg(score).alias("closed"))
+    library = ensemble.silhouette(flags, METRICS)
+    both = library.withColumn("_one", F.lit(1)).join(closed.withColumn("_one", F.lit(1)), "_one")  # a row each
+    return both.select("rows", (F.abs(F.col("closed") - F.col("silhouette_score")) < 1e-6).alias("agrees"))
