@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,12 @@ from hostpulse.session import materialised, prepare
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Seconds that listeners and executors get to let go of a finished step's shuffle files.
+RELEASE_S = 0.3
+#: Bytes of text that a task turns into Python objects at a time.
+PIECE = 4 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One input table. Settings that results depend on are pinned on the way."""
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -29,8 +36,10 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     step is as large as the corpus, so they are asked to look.
     """
     out = materialised(df, purpose)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the listeners still hold at first goes the second time
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(RELEASE_S)
     return out
 
 

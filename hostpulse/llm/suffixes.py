@@ -10,21 +10,24 @@ sorting, after which equal windows lie side by side and are compared in full.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import mixed, slices
+from hostpulse.llm.common import mixed, pieces
+from hostpulse.llm.common import written as materialised
 from hostpulse.llm.deepshallow import sort_strings
-from hostpulse.session import materialised
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text worked on at a time, and bytes of the corpus for each bucket of hashes.
-SLICE, BUCKET_BYTES = 2 << 20, 8 << 20
+SLICE, BUCKET_BYTES = 2 << 20, 4 << 20
 _PIECE = 8 << 20
+#: Suffixes that are sorted at a time, and occurrences that are judged at a time.
+_SUFFIXES, _OCCURRENCES = 50_000, 20_000
 _LAST = (1 << 63) - 1
 
 
@@ -53,7 +56,8 @@ def window_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tup
         least = np.minimum(least[: n], least[width - have : width - have + n])
     at = (least[:n] & np.uint64((1 << 24) - 1)).astype(np.int64)
     edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return h[at[edge]], edge, np.append(edge[1:], n)
+    # Least hashes are small numbers; hashed again they fall into all buckets alike.
+    return mixed(h[at[edge]] ^ np.uint64(0x5851F42D4C957F2D)), edge, np.append(edge[1:], n)
 
 
 def runs_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,16 +111,21 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(0, b.num_rows, 64):  # few at a time: a row may be large
+            yield from b.slice(i, 64).to_pylist()
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of one bucket after the other, from rows that are in the order of buckets."""
     held, rows = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if held is not None and r["bucket"] != held:
-                yield held, rows
-                rows = []
-            held = r["bucket"]
-            rows.append(r)
+    for r in _rows(batches):
+        if held is not None and r["bucket"] != held:
+            yield held, rows
+            rows = []
+        held = r["bucket"]
+        rows.append(r)
     if rows:
         yield held, rows
 
@@ -124,25 +133,24 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 def repeated_parts(docs: DataFrame, bits: int, length: int, gram: int) -> DataFrame:
     """o, t, parts: per document the hashes of its least parts that some other document has too."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text", SLICE):
             raw, o, t = _encoded(b), b.column("o").to_numpy(zero_copy_only=False), b.column("t").to_numpy(zero_copy_only=False)
-            for i, j in slices([max(64, len(r)) for r in raw], SLICE):
-                owner, h, _, _ = batch_runs(raw[i:j], length, gram)
-                pair = np.unique(np.stack((h, owner.astype(np.uint64))), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-                bucket, low = _split(pair[0], bits)
-                names = np.stack((o[i:j], t[i:j])).astype(np.int64)
-                # Named by its documents, so that a task that runs again names it alike.
-                name = int.from_bytes(hashlib.blake2b(names.tobytes(), digest_size=8).digest(), "big", signed=True)
-                edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
-                ends = np.append(edge[1:], len(bucket))
-                own = pair[1].astype(np.uint32)
-                rows = [(int(bucket[p]), name, low[p:q].tobytes(), own[p:q].tobytes(), None) for p, q in zip(edge, ends)]
-                rows.append((name % (1 << bits), name, None, None, names.tobytes()))
-                yield _batch(**{
-                    c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(
-                        (("bucket", pa.int64()), ("slice", pa.int64()), ("low", pa.binary()), ("owner", pa.binary()), ("names", pa.binary()))
-                    )
-                })
+            owner, h, _, _ = batch_runs(raw, length, gram)
+            pair = np.unique(np.stack((h, owner.astype(np.uint64))), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
+            bucket, low = _split(pair[0], bits)
+            names = np.stack((o, t)).astype(np.int64)
+            # Named by its documents, so that a task that runs again names it alike.
+            name = int.from_bytes(hashlib.blake2b(names.tobytes(), digest_size=8).digest(), "big", signed=True)
+            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
+            ends = np.append(edge[1:], len(bucket))
+            own = pair[1].astype(np.uint32)
+            rows = [(int(bucket[p]), name, low[p:q].tobytes(), own[p:q].tobytes(), None) for p, q in zip(edge, ends)]
+            rows.append((name % (1 << bits), name, None, None, names.tobytes()))
+            yield _batch(**{
+                c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(
+                    (("bucket", pa.int64()), ("slice", pa.int64()), ("low", pa.binary()), ("owner", pa.binary()), ("names", pa.binary()))
+                )
+            })
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _buckets(batches):
@@ -184,14 +192,13 @@ def repeated_parts(docs: DataFrame, bits: int, length: int, gram: int) -> DataFr
             )
 
         held, rows = None, []
-        for b in batches:
-            for r in b.to_pylist():
-                if held is not None and r["slice"] != held:
-                    if (got := flush(rows)) is not None:
-                        yield got
-                    rows = []
-                held = r["slice"]
-                rows.append(r)
+        for r in _rows(batches):
+            if held is not None and r["slice"] != held:
+                if (got := flush(rows)) is not None:
+                    yield got
+                rows = []
+            held = r["slice"]
+            rows.append(r)
         if rows and (got := flush(rows)) is not None:
             yield got
 
@@ -202,11 +209,11 @@ def repeated_parts(docs: DataFrame, bits: int, length: int, gram: int) -> DataFr
 
 
 def flagged(rows: list[dict], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """o, t, start, end of the removed stretches of one bucket; a row holds the runs of one slice."""
+    """o, v, start, end of the removed stretches of one bucket; a row holds the runs of one slice."""
     key = np.concatenate([np.frombuffer(r["key"], np.uint32) for r in rows])
-    o, t = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("o", "t"))
+    o, v = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("o", "v"))
     start, size = np.concatenate([np.frombuffer(r["start"], np.int64) for r in rows]), np.concatenate([np.frombuffer(r["size"], np.uint8) for r in rows]).astype(np.int64)
-    content = b"".join(r["content"] for r in rows)
+    content = b"".join(zlib.decompress(r["content"]) for r in rows)
     at = np.cumsum(size) - size
     order = np.argsort(key, kind="stable")
     edge = np.concatenate(([True], np.diff(key[order].astype(np.int64)) != 0))
@@ -236,9 +243,10 @@ def flagged(rows: list[dict], length: int) -> Iterator[tuple[np.ndarray, ...]]:
     begin = np.cumsum([len(s) for s in strings]) - np.array([len(s) for s in strings])
     border = np.flatnonzero(np.concatenate(([True], np.diff(of_group[crowd]) != 0))) if len(crowd) else np.zeros(0, int)
     load = windows[crowd].cumsum()
+    every = np.lib.stride_tricks.sliding_window_view(data, length)
     lo = 0
     while lo < len(crowd):  # so many whole groups at a time that their suffixes stay small
-        past = np.searchsorted(load, (load[lo - 1] if lo else 0) + 200_000, side="right")
+        past = np.searchsorted(load, (load[lo - 1] if lo else 0) + _SUFFIXES, side="right")
         k = np.searchsorted(border, max(past, lo + 1), side="left")
         hi = int(border[k]) if k < len(border) else len(crowd)
         c = crowd[lo:hi]
@@ -247,83 +255,86 @@ def flagged(rows: list[dict], length: int) -> Iterator[tuple[np.ndarray, ...]]:
         inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
         place = np.repeat(begin[c], w) + inner
         slot = np.repeat(first[c], w) + inner
-        suffixes = data[place[:, None] + np.arange(length)]
-        rank, new = sort_strings(suffixes, np.repeat(of_group[c], w))
+        rank, new = sort_strings(every[place], np.repeat(of_group[c], w))
         run = np.cumsum(new) - 1
         best = np.minimum.reduceat(floor[slot[rank]], np.flatnonzero(new))
         floor[slot[rank]] = best[run]
     # Windows of every occurrence that some smaller id has.
-    w = windows[which]
-    inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-    owner = np.repeat(live, w)
-    hit = floor[np.repeat(first[which], w) + inner] < o[owner]
-    owner, inner = owner[hit], inner[hit]
-    if len(owner):
-        cut = np.concatenate(([True], (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)))
-        edge = np.flatnonzero(cut)
-        ends = np.append(edge[1:], len(owner)) - 1
-        who = owner[edge]
-        yield o[who], t[who], start[who] + inner[edge], start[who] + inner[ends] + length
+    for a in range(0, len(which), _OCCURRENCES):
+        own, of = which[a : a + _OCCURRENCES], live[a : a + _OCCURRENCES]
+        w = windows[own]
+        inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        owner = np.repeat(of, w)
+        hit = floor[np.repeat(first[own], w) + inner] < o[owner]
+        owner, inner = owner[hit], inner[hit]
+        if len(owner):
+            cut = np.concatenate(([True], (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)))
+            edge = np.flatnonzero(cut)
+            ends = np.append(edge[1:], len(owner)) - 1
+            who = owner[edge]
+            yield o[who], v[who], start[who] + inner[edge], start[who] + inner[ends] + length
 
 
 def stretches(docs: DataFrame, parts: DataFrame, bits: int, length: int, gram: int) -> DataFrame:
-    """o, t, cuts: per document the stretches to remove, as pairs of start and end, sorted and merged."""
+    """o, v, cuts: per document the stretches to remove, as pairs of start and end, sorted and merged.
+
+    ``parts`` has o, t, v, parts; v numbers the texts that share an o, and costs a shuffle less than t.
+    """
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, o, t = _encoded(b), b.column("o").to_numpy(zero_copy_only=False), b.column("t").to_numpy(zero_copy_only=False)
+        for b in pieces(batches, "text", SLICE):
+            raw, o, v = _encoded(b), b.column("o").to_numpy(zero_copy_only=False), b.column("v").to_numpy(zero_copy_only=False)
             wanted = [np.frombuffer(p, np.uint64) for p in b.column("parts").to_pylist()]
-            for i, j in slices([max(64, len(r)) for r in raw], SLICE):
-                owner, h, x, y = batch_runs(raw[i:j], length, gram)
-                full = h >> np.uint64(32 - bits)
-                keep = np.zeros(len(h), bool)
-                order = np.argsort(owner, kind="stable")
-                ends = np.searchsorted(owner[order], np.arange(j - i + 1))
-                for k in range(j - i):
-                    own = order[ends[k] : ends[k + 1]]
-                    keep[own] = np.isin(full[own], wanted[i + k], assume_unique=False)
-                owner, h, x, y = owner[keep], h[keep], x[keep], y[keep]
-                bucket, low = _split(h, bits)
-                order = np.argsort(bucket, kind="stable")
-                owner, x, y, bucket, low = owner[order], x[order], y[order], bucket[order], low[order]
-                edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
-                rows = []
-                for p, q in zip(edge, np.append(edge[1:], len(bucket))):
-                    own = owner[p:q] + i
-                    rows.append((
-                        int(bucket[p]), low[p:q].tobytes(), o[own].tobytes(), t[own].tobytes(), x[p:q].tobytes(),
-                        (y[p:q] - x[p:q] + length - 1).astype(np.uint8).tobytes(),
-                        b"".join([raw[d][a : b_ + length - 1] for d, a, b_ in zip(own.tolist(), x[p:q].tolist(), y[p:q].tolist())]),
-                    ))
-                yield _batch(**{c: pa.array([r[k] for r in rows], pa.int64() if c == "bucket" else pa.binary()) for k, c in enumerate(
-                    ("bucket", "key", "o", "t", "start", "size", "content")
-                )})
+            owner, h, x, y = batch_runs(raw, length, gram)
+            full = h >> np.uint64(32 - bits)
+            keep = np.zeros(len(h), bool)
+            order = np.argsort(owner, kind="stable")
+            ends = np.searchsorted(owner[order], np.arange(len(raw) + 1))
+            for k in range(len(raw)):
+                own = order[ends[k] : ends[k + 1]]
+                keep[own] = np.isin(full[own], wanted[k], assume_unique=False)
+            owner, h, x, y = owner[keep], h[keep], x[keep], y[keep]
+            bucket, low = _split(h, bits)
+            order = np.argsort(bucket, kind="stable")
+            owner, x, y, bucket, low = owner[order], x[order], y[order], bucket[order], low[order]
+            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
+            rows = []
+            for p, q in zip(edge, np.append(edge[1:], len(bucket))):
+                own = owner[p:q]
+                rows.append((
+                    int(bucket[p]), low[p:q].tobytes(), o[own].tobytes(), v[own].tobytes(), x[p:q].tobytes(),
+                    (y[p:q] - x[p:q] + length - 1).astype(np.uint8).tobytes(),
+                    zlib.compress(b"".join([raw[d][a : b_ + length - 1] for d, a, b_ in zip(own.tolist(), x[p:q].tolist(), y[p:q].tolist())]), 3),
+                ))
+            yield _batch(**{c: pa.array([r[k] for r in rows], pa.int64() if c == "bucket" else pa.binary()) for k, c in enumerate(
+                ("bucket", "key", "o", "v", "start", "size", "content")
+            )})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _buckets(batches):
-            for o, t, a, b in flagged(rows, length):
-                home = ((t.view(np.uint64) >> np.uint64(7)) % np.uint64(1 << bits)).astype(np.int64)
+            for o, v, a, b in flagged(rows, length):
+                home = (mixed(o.view(np.uint64) * np.uint64(3) + v.view(np.uint64)) % np.uint64(1 << bits)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
                 edge = np.flatnonzero(np.concatenate(([True], np.diff(home[order]) != 0)))
                 parts_ = [order[p:q] for p, q in zip(edge, np.append(edge[1:], len(order)))]
                 yield _batch(bucket=pa.array([int(home[p[0]]) for p in parts_], pa.int64()), **{
-                    c: pa.array([v[p].astype(np.int64).tobytes() for p in parts_], pa.binary()) for c, v in (("o", o), ("t", t), ("a", a), ("b", b))
+                    c: pa.array([x[p].astype(np.int64).tobytes() for p in parts_], pa.binary()) for c, x in (("o", o), ("v", v), ("a", a), ("b", b))
                 })
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _buckets(batches):
-            o, t, a, b = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("o", "t", "a", "b"))
-            order = np.lexsort((a, t, o))
-            o, t, a, b = o[order], t[order], a[order], b[order]
-            edge = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (t[1:] != t[:-1]))))
+            o, v, a, b = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("o", "v", "a", "b"))
+            order = np.lexsort((a, v, o))
+            o, v, a, b = o[order], v[order], a[order], b[order]
+            edge = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1]))))
             cuts = [merged(a[p:q], b[p:q]).tobytes() for p, q in zip(edge, np.append(edge[1:], len(o)))]
-            yield _batch(o=pa.array(o[edge]), t=pa.array(t[edge]), cuts=pa.array(cuts, pa.binary()))
+            yield _batch(o=pa.array(o[edge]), v=pa.array(v[edge]), cuts=pa.array(cuts, pa.binary()))
 
-    with_parts = docs.join(parts.select(F.col("o").alias("p_o"), F.col("t").alias("p_t"), "parts"), (F.col("o") == F.col("p_o")) & (F.col("t") == F.col("p_t")))
-    gathered = with_parts.select("o", "t", "text", "parts").mapInArrow(
-        gather, "bucket long, key binary, o binary, t binary, start binary, size binary, content binary"
+    with_parts = docs.join(parts.select(F.col("o").alias("p_o"), F.col("t").alias("p_t"), "v", "parts"), (F.col("o") == F.col("p_o")) & (F.col("t") == F.col("p_t")))
+    gathered = with_parts.select("o", "v", "text", "parts").mapInArrow(
+        gather, "bucket long, key binary, o binary, v binary, start binary, size binary, content binary"
     )
-    judged = gathered.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "bucket long, o binary, t binary, a binary, b binary")
-    return judged.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "o long, t long, cuts binary")
+    judged = gathered.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, "bucket long, o binary, v binary, a binary, b binary")
+    return judged.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "o long, v long, cuts binary")
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -354,12 +365,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     total = slim.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = bucket_bits(int(total))
     texts = rows.select("o", "t", "text")
-    firsts = materialised(slim.groupBy("t").agg(F.min("o").alias("o")), "suffixes-firsts")
-    parts = materialised(repeated_parts(texts, bits, length, gram).join(firsts, ["t", "o"]).select("o", "t", "parts"), "suffixes-parts")
+    firsts = slim.groupBy("t").agg(F.min("o").alias("o"))
+    # Texts that share an id are numbered; those without one, which may be many, keep their hash as number.
+    unnamed = F.when(F.col("o") == _LAST, F.col("t"))
+    place = F.row_number().over(Window.partitionBy("o", unnamed).orderBy("t")) - 1
+    firsts = firsts.withColumn("v", F.coalesce(unnamed, place.cast("long")))
+    firsts = materialised(firsts, "suffixes-firsts")
+    parts = materialised(repeated_parts(texts, bits, length, gram).join(firsts, ["t", "o"]).select("o", "t", "v", "parts"), "suffixes-parts")
     cuts = materialised(stretches(texts, parts, bits, length, gram), "suffixes-cuts")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text", SLICE):
             removed, spans, digests = [], [], []
             for raw, cut in zip(_encoded(b), b.column("cuts").to_pylist()):
                 c = np.frombuffer(cut, np.int64).reshape(-1, 2)
@@ -376,7 +392,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 kept_sha256=pa.array(digests, pa.string()),
             )
 
-    c = cuts.select(F.col("o").alias("k_o"), F.col("t").alias("k_t"), "cuts")
+    c = cuts.join(firsts, ["o", "v"]).select(F.col("o").alias("k_o"), F.col("t").alias("k_t"), "cuts")
     cut_texts = texts.join(c, (F.col("o") == F.col("k_o")) & (F.col("t") == F.col("k_t"))).select("o", "t", "text", "cuts")
     done = cut_texts.mapInArrow(apply, "c_o long, c_t long, cuts binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["c_o", "c_t"])
     named = slim.join(firsts.select(F.col("t").alias("f_t"), F.col("o").alias("f_o")), F.col("t") == F.col("f_t"))
