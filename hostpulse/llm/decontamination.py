@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import mixed, slices, texts_of
+from hostpulse.llm.common import PIECE, mixed, pieces, slices, texts_of
 
 #: Window length and step, length of a q-gram, and edits a window may have per character.
 WINDOW, STEP, Q, RATE = 100, 50, 8, 0.1
@@ -278,7 +278,7 @@ def find_leaks(
     for sent in indexes(docs, benchmark, window, step, q, rate, block_chars):
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches, "text", PIECE):
                 texts, ids = texts_of(b), b.column("doc_id").to_pylist()
                 rows: list[list] = [[] for _ in names]
                 where: dict[int, list[int]] = {}
@@ -300,7 +300,7 @@ def without_leaks(
     for sent in indexes(docs, benchmark, window, step, q, rate, block_chars):
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches, "text", PIECE):
                 leaked = {o for o, *_ in leaks_in(sent.value, [normalised(t) for t in texts_of(b)])}
                 yield b.filter(pa.array([i not in leaked for i in range(b.num_rows)], pa.bool_()))
 

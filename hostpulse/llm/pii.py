@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import extended, fresh_name, texts_of
+from hostpulse.llm.common import PIECE, extended, fresh_name, pieces, texts_of
 from hostpulse.session import materialised
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -222,7 +222,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", sample: int = 4_000,
     ]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, body, PIECE):
             texts = texts_of(b, body)
             base = [base_spans(t) for t in texts]
             lists = [joined(x) for x in base]

@@ -18,16 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import WORD, extended, mixed, slices, texts_of
+from hostpulse.llm.common import PIECE, WORD, extended, mixed, pieces, slices, texts_of
 
 #: Buckets of a family, as a power of two.
 BITS = 16
 FAMILIES = 4
 #: Labelled documents the model is fitted on, per class: the smallest by hash. Every fifth of them calibrates.
-SAMPLE = 2_000
+SAMPLE = 1_000
 #: Fixed thresholds on the calibrated probability of good quality: kept from KEEP on, marked ``high`` from HIGH on.
 KEEP, HIGH = 0.5, 0.9
 MIN_WORDS = 50
+#: Characters whose n-grams are counted at a time.
+_SLICE = 1 << 18
 
 _WORDS = re.compile(WORD)
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -145,7 +147,7 @@ def fit(texts: list[str], good: np.ndarray, weight: np.ndarray, rounds: int = 12
     """
     n = len(texts)
     rows, cols, vals = [], [], []
-    for a, b in slices([len(t) for t in texts], 2 << 20):
+    for a, b in slices([len(t) for t in texts], _SLICE):
         for f, (owner, bucket) in enumerate(grams(texts[a:b])):
             key, count = np.unique(owner * (1 << BITS) + bucket, return_counts=True)
             own = key >> BITS
@@ -259,13 +261,13 @@ def apply_rules(docs: DataFrame, model: Model | None, text: str = "text", keep:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in pieces(batches, text, PIECE):
             texts = texts_of(b, text)
             measures = np.array([base_measures(t) for t in texts], dtype="int64").reshape(-1, 5)
             failed = np.array([base_failed(*x) for x in measures.tolist()], bool)
             p = np.full(len(texts), np.nan)
             if m is not None:
-                for i, j in slices([len(t) for t in texts], 1 << 20):
+                for i, j in slices([len(t) for t in texts], _SLICE):
                     p[i:j] = m.probabilities(texts[i:j])
             cols = {c: pa.array(measures[:, k]) for k, c in enumerate(new[:5])}
             cols["base_failed"] = pa.array(failed)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import extended, fresh_name, slices, text_bytes, texts_of
+from hostpulse.llm.common import PIECE, extended, fresh_name, pieces, slices, text_bytes, texts_of
 
 #: Characters a chunk and its overlap start with.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -107,7 +107,7 @@ def with_token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
-        for b in batches:
+        for b in pieces(batches, body, PIECE):
             yield extended(b, kept, {many: pa.array(counts(t, texts_of(b, body), chunk, overlap, margin), pa.int64())})
 
     schema = rows.drop(body).withColumn(many, F.lit(0).cast("long")).schema
