@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import mixed, slices, texts_of
+from hostpulse.llm.common import PIECE, fresh_name, mixed, pieces, slices, texts_of
 from hostpulse.llm.components import components
 from hostpulse.llm.quality import word_hashes
-from hostpulse.session import materialised
+from hostpulse.llm.common import written as materialised
 
 #: Words of a shingle, and the similarity in hundredths from which two sets link.
 SHINGLE, PERCENT = 5, 80
@@ -112,7 +112,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 def document_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text", PIECE):
             sizes, ids, heads = [], [], []
             for s in shingle_sets(texts_of(b)):
                 sizes.append(len(s))
@@ -163,12 +163,29 @@ def postings(sets: DataFrame, light: int, percent: int = PERCENT) -> DataFrame:
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
-    """Postings of tokens that at least two classes have, each with the list's least class as its centre."""
+    """Postings of tokens that at least two classes have, with the length of their list."""
     whole = Window.partitionBy("token", "heavy")
     return (
-        posted.withColumn("centre", F.min("class").over(whole)).withColumn("last", F.max("class").over(whole))
-        .withColumn("before", F.lag("class").over(whole.orderBy("class")))
-        .filter("centre < last AND (before IS NULL OR before < class)").select("token", "heavy", "class", "centre")
+        posted.withColumn("before", F.lag("class").over(whole.orderBy("class"))).filter("before IS NULL OR before < class")
+        .withColumn("df", F.count(F.lit(1)).over(whole)).filter("df > 1").select("token", "heavy", "class", "df")
+    )
+
+
+def first_links(shared: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b): for each class the one centre it shares most lists with.
+
+    A list's centre is the class whose own lists are longest in all. That is the text that copies were made from, if it is there:
+    a copy's changes are found nowhere else.
+    """
+    weight = shared.groupBy("class").agg(F.sum("df").alias("weight"))
+    centre = F.max(F.struct("weight", "class")).over(Window.partitionBy("token", "heavy"))["class"]
+    led = shared.join(weight, "class").withColumn("centre", centre)
+    other = sizes.select(F.col("class").alias("centre"), F.col("n").alias("centre_n"))
+    return (
+        led.filter("class <> centre").groupBy("class", "centre").agg(F.count(F.lit(1)).alias("k"))
+        .join(sizes, "class").join(other, "centre").filter(_similar_sizes(F.col("n"), F.col("centre_n"), percent))
+        .groupBy("class").agg(F.max(F.struct("k", "centre")).alias("best"))
+        .select(F.col("class").alias("a"), F.col("best.centre").alias("b"))
     )
 
 
@@ -184,13 +201,14 @@ def _similar_sizes(a: Column, b: Column, percent: int = PERCENT) -> Column:
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class, shingles of the classes in ``wanted`` (class, rep), made again from the text of the document ``rep``."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text", PIECE):
             got = [(c, s.tobytes()) for c, s in zip(b.column("class").to_pylist(), shingle_sets(texts_of(b))) if set_id(s) == c]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c for c, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["class", "shingles"]
             )
 
-    found = docs.select("doc_id", "text").join(wanted.select("class", "rep"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    # Merged at every size, as it must be at a large one: neither side has a bound.
+    found = docs.select("doc_id", "text").join(wanted.select("class", "rep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")))
     return found.select("text", "class").mapInArrow(build, "class long, shingles binary")
 
 
@@ -202,14 +220,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, per_task
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("salts"))
     salts = salts.select(F.col("b").alias("s_b"), "salts")
     pairs = pairs.join(salts, F.col("b") == F.col("s_b")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
-    members = pairs.join(sets, F.col("a") == F.col("class")).select("b", "salt", F.col("a").alias("member"), "shingles")
-    centres = salts.join(sets, F.col("s_b") == F.col("class")).select(
+    members = pairs.hint("merge").join(sets, F.col("a") == F.col("class")).select("b", "salt", F.col("a").alias("member"), "shingles")
+    centres = salts.hint("merge").join(sets, F.col("s_b") == F.col("class")).select(
         F.col("s_b").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "shingles"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = centre = None
-        for batch in batches:
+        for batch in pieces(batches, "shingles", PIECE):
             links: list[tuple[int, int]] = []
             for b, salt, a, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 s = np.frombuffer(raw, np.uint64)
@@ -251,16 +269,9 @@ def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     able = materialised(many.select("class", "heavy", "rep", "n"), "jaccard-able")
     one = able.groupBy("class").agg(F.first("rep").alias("rep"), F.first("n").alias("n"))
     own_sets = materialised(class_sets(docs, one), "jaccard-shingles")
-    centre_n = one.select(F.col("class").alias("centre"), F.col("n").alias("centre_n"))
-    starts = (
-        shared.filter("class > centre").groupBy("class", "centre").agg(F.count(F.lit(1)).alias("k"))
-        .join(one, "class").join(centre_n, "centre").filter(_similar_sizes(F.col("n"), F.col("centre_n"), percent))
-        .groupBy("class").agg(F.max(F.struct("k", "centre")).alias("best"))
-        .select(F.col("class").alias("a"), F.col("best.centre").alias("b"))
-    )
-    links = materialised(verified(starts, own_sets, percent), "jaccard-links")
+    links = materialised(verified(first_links(shared, one, percent), own_sets, percent), "jaccard-links")
     parts = components(links, "jaccard-parts")
-    rest = materialised(verified(across(shared, able, parts, percent), own_sets, percent), "jaccard-rest")
+    rest = materialised(verified(across(shared, able, parts, own_sets, percent), own_sets, percent), "jaccard-rest")
     if not rest.isEmpty():
         parts = components(links.unionByName(rest), "jaccard-parts")
     grouped = classes.join(parts, F.col("class") == F.col("node"), "left").select(
@@ -288,37 +299,74 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     ).select(F.col("first.doc_id").alias("k_id"), F.col("first.text_key").alias("k_key"))
     rows = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("k_rows"))
-    kept = materialised(kept.distinct().join(rows, F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_key").eqNullSafe(F.col("text_key"))).select(
-        "k_id", "k_key", "k_rows"), "jaccard-kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & F.xxhash64("text").eqNullSafe(F.col("k_key"))
+    k_id, k_key, k_rows = (fresh_name(docs, c) for c in ("k_id", "k_key", "k_rows"))
+    kept = kept.distinct().join(rows, F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_key").eqNullSafe(F.col("text_key")))
+    kept = materialised(kept.select(F.col("k_id").alias(k_id), F.col("k_key").alias(k_key), F.col("k_rows").alias(k_rows)), "jaccard-kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(k_id)) & F.xxhash64("text").eqNullSafe(F.col(k_key))
     left = docs.join(kept, same)
-    once = left.filter("k_rows = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    again = left.filter("k_rows > 1").dropDuplicates(["k_id", "k_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = left.filter(F.col(k_rows) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = left.filter(F.col(k_rows) > 1).dropDuplicates([k_id, k_key]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return once.unionByName(again)
 
 
-def across(shared: DataFrame, able: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def across(shared: DataFrame, able: DataFrame, parts: DataFrame, own_sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of classes in different components that may link.
 
-    Only tokens found in two components count. Of its tokens a class keeps the rarest, so many that a partner with which it
-    shares enough must have one of them.
+    Only tokens that two components have count, of the prefixes first. The classes that still have enough of them are compared on
+    their whole sets: a class keeps the rarest of its shared shingles, so many that a partner with which it shares enough
+    must have one of them, and it goes if it has fewer than it must share. Two classes are a pair only if they would
+    link even if all shared shingles of the one with fewer were the other's too: their other shingles count as
+    different, which they are.
     """
     nodes = able.join(parts, F.col("class") == F.col("node"), "left").select(
         "class", "heavy", "n", F.coalesce("component", "class").alias("part")
     )
     rows = shared.select("token", "heavy", "class").join(nodes, ["class", "heavy"])
-    apart = rows.groupBy("token", "heavy").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("df"))
-    rows = rows.join(apart.filter("p0 < p1").select("token", "heavy", "df"), ["token", "heavy"])
-    own = Window.partitionBy("class", "heavy")
+    lists = rows.groupBy("token", "heavy").agg(F.min("part").alias("p0"), F.max("part").alias("p1"))
+    spread = rows.join(lists.filter("p0 < p1").select("token", "heavy"), ["token", "heavy"], "left_semi")
     need = F.when(F.col("heavy"), _spread_need(F.col("n"), percent)).otherwise(1)
-    rows = (
-        rows.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("many", F.count(F.lit(1)).over(own))
-        .filter(F.col("rank") <= F.col("many") - need + 1).select("token", "heavy", "class", "n", "part")
+    open_ = spread.groupBy("class", "heavy").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.count(F.lit(1)).alias("many"))
+    open_ = materialised(open_.filter(F.col("many") >= need).groupBy("class").agg(F.first("n").alias("n"), F.first("part").alias("part")), "jaccard-open")
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "shingles", _SLICE):
+            raw = b.column("shingles").to_pylist()
+            size = np.array([len(r) // 8 for r in raw], np.int64)
+            rows = {c: pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in ("class", "n", "part")}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_signed(np.frombuffer(b"".join(raw), np.uint64))), *rows.values()], names=["token", *rows]
+            )
+
+    whole = own_sets.join(open_.hint("merge"), "class").select("class", "n", "part", "shingles").mapInArrow(
+        spell, "token long, class long, n long, part long"
     )
-    rows = materialised(rows, "jaccard-across")
-    other = rows.select("token", "heavy", *[F.col(c).alias(f"{c}_2") for c in ("class", "n", "part")])
-    return (
-        rows.join(other, ["token", "heavy"])
-        .filter((F.col("class") < F.col("class_2")) & (F.col("part") != F.col("part_2")) & _similar_sizes(F.col("n"), F.col("n_2"), percent))
-        .select(F.col("class").alias("b"), F.col("class_2").alias("a")).distinct()
+    of_token = Window.partitionBy("token")
+    whole = whole.withColumn("p0", F.min("part").over(of_token)).withColumn("p1", F.max("part").over(of_token)).withColumn(
+        "df", F.count(F.lit(1)).over(of_token)).filter("p0 < p1").drop("p0", "p1")
+    whole = materialised(whole, "jaccard-spread")
+    # A class that was read twice, its document being a repeated row, keeps twice as many rows, so still all it must.
+    own = Window.partitionBy("class")
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    kept = (
+        whole.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("many", F.count(F.lit(1)).over(own))
+        .filter(F.col("rank") <= F.col("many") - least + 1)
+        .groupBy("class", "n", "part", F.least("many", "n").alias("m"))
+        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("list"))
+        .withColumn("list", F.array_distinct(F.col("list.token")))
+        .select("*", F.explode("list").alias("token"))
     )
+    kept = materialised(kept, "jaccard-across")
+    other = kept.select(*[F.col(c).alias(f"{c}_2") for c in ("token", "class", "n", "part", "m", "list")])
+    can_link = F.least("m", "m_2") * 100 >= (F.col("n") - F.col("m") + F.col("n_2") - F.col("m_2") + F.greatest("m", "m_2")) * percent
+    # Beyond the list of the class whose list ends first, fewer shingles are left than it must share.
+    both = F.array_intersect("list", "list_2")
+    overlap = F.ceil((F.col("n") + F.col("n_2")) * percent / (100 + percent))
+    most = F.greatest(*[F.floor((F.col(c) * percent + 99) / 100) for c in ("n", "n_2")])
+    enough = F.size(both) >= overlap - most + 1
+    # Of all lists that a pair has in common the first makes the pair, so each comes once.
+    return kept.join(
+        other, (F.col("token") == F.col("token_2")) & (F.col("class") < F.col("class_2")) & (F.col("part") != F.col("part_2"))
+        & can_link & enough & (F.get(both, F.lit(0)) == F.col("token")),
+    ).select(F.col("class").alias("b"), F.col("class_2").alias("a"))
+
+
