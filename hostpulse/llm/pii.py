@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -176,14 +176,23 @@ def reliabilities(kinds: list[str], patterns: np.ndarray, counts: np.ndarray, ro
     return q, p
 
 
-def fit_classifier(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is the intercept."""
+def slopes(w: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the logistic loss at ``w``, summed over rows that stand for ``n`` candidates each; one flat array."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate([x.T @ (n * (p - y)), ((x * (n * p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def fit_classifier(total_slopes: Callable[[np.ndarray], np.ndarray], width: int, total: float, l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps; the last weight is the intercept.
+
+    ``total_slopes`` gives the sum of ``slopes`` over all rows, which stand for ``total`` candidates.
+    """
+    w = np.zeros(width + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(x) + l2 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + l2 * np.eye(len(w))
+        s = total_slopes(w) / total
+        g = s[: len(w)] + l2 * w
+        h = s[len(w) :].reshape(len(w), -1) + l2 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-8:
@@ -199,12 +208,12 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", sample: int = 4_000, accept: float = 0.5) -> DataFrame:
+def find_personal_data(docs: DataFrame, text: str = "text", accept: float = 0.5) -> DataFrame:
     """``docs`` without its text, with n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     The counts and the hash are those of the base spans; ``spans`` also holds candidates the classifier accepts. All candidates of
-    all texts are voted on and counted; the classifier is fitted on at most ``sample`` of them, the smallest by hash. A null
-    text counts as empty and has no spans. Repeated rows get equal results. Columns of ``docs`` that clash with new names
+    all texts are voted on and counted, and the classifier is fitted on all of them: equal ones are one row with a count, and each
+    Newton step sums over these rows in their tasks, so that the driver sees their sums only. A null text counts as empty and has no spans. Repeated rows get equal results. Columns of ``docs`` that clash with new names
     are replaced. Without any candidate there is no classifier and nothing is added.
     """
     new = [*[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
@@ -235,16 +244,27 @@ def find_personal_data(docs: DataFrame, text: str = "text", sample: int = 4_000,
     whole = type(plain)(plain.fields + added.fields)
     scanned = materialised(rows.mapInArrow(scan, whole), "pii")
     each = scanned.select(F.explode(found).alias("c")).select("c.*")
-    patterns = each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^8 per kind
+    alike = materialised(each.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")), "pii-alike")
+    patterns = alike.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()  # at most 3^8 per kind
     if not patterns:
         return scanned.drop(found)
     patterns.sort(key=lambda r: (r.kind, r.votes))
     q, _ = reliabilities([r.kind for r in patterns], np.array([r.votes for r in patterns]), np.array([r.n for r in patterns], float))
     belief = {(r.kind, tuple(r.votes)): p for r, p in zip(patterns, q)}
-    taught = each.select("kind", "votes", "features").orderBy(F.xxhash64("kind", "features"), "kind", "features").limit(sample).collect()
-    weights = fit_classifier(
-        np.array([r.features for r in taught]), np.array([belief[r.kind, tuple(r.votes)] for r in taught])
-    )
+
+    def total_slopes(w: np.ndarray) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    y = np.array([belief[k, tuple(v)] for k, v in zip(b.column("kind").to_pylist(), b.column("votes").to_pylist())])
+                    s = slopes(w, np.array(b.column("features").to_pylist()), y, b.column("n").to_numpy().astype(float))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(s)], names=["place", "s"])
+
+        sums = alike.mapInArrow(part, "place long, s double").groupBy("place").agg(F.sum("s").alias("s")).collect()
+        return np.array([r.s for r in sorted(sums, key=lambda r: r.place)])
+
+    width = 3 + len(RANK) + len(patterns[0].votes) - 1
+    weights = fit_classifier(total_slopes, width, sum(r.n for r in patterns))
 
     left = scanned.drop(found, "spans").columns
 

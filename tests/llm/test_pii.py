@@ -65,3 +65,26 @@ def test_table(spark):
         assert {f"{k}:{a}:{b}" for k, a, b in plain(text or "")} <= mine
     assert pii.find_personal_data(docs.limit(0)).count() == 0
     assert pii.find_personal_data(docs).count() == len(rows)
+
+
+def test_classifier_is_fitted_on_all_candidates(spark):
+    hot = {"phone": "call (212) 555-0187 now\n", "email": "mail a@b.org\n", "ip": "host 10.0.0.1\n", "card": "visa 4111 1111 1111 1111\n"}
+    texts = [t * 4_100 for t in hot.values()]
+    texts += ['token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "key: aaaaaaaaaaaaaaaa1", "isbn 123-456-7890", "ann (at) example (dot) com", "1234 5678 9012 3456", "x1 1:2:3:4:5:6:7:8"] * 3
+    told = [pii.candidates(t, pii.base_spans(t)) for t in texts]
+    flat = [c for cs in told for c in cs]
+    counts = {}
+    for c in flat:
+        counts[c[0], tuple(c[4])] = counts.get((c[0], tuple(c[4])), 0) + 1
+    keys = sorted(counts)
+    q, _ = pii.reliabilities([k for k, _ in keys], np.array([v for _, v in keys]), np.array([counts[k] for k in keys], float))
+    belief = dict(zip(keys, q))
+    x, y = np.array([c[5] for c in flat]), np.array([belief[c[0], tuple(c[4])] for c in flat])
+    x1, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x1 @ w))
+        w = w - np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 / len(x1) + 1e-3 * np.eye(len(w)), x1.T @ (p - y) / len(x1) + 1e-3 * w)
+    want = [{f"{k}:{a}:{b}" for k, a, b, base, _, f in cs if base or np.dot(f, w[:-1]) + w[-1] >= 0} for cs in told]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: {s for s in r.spans.split(",") if s} for r in pii.find_personal_data(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
