@@ -88,3 +88,12 @@ def test_classifier_is_fitted_on_all_candidates(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: {s for s in r.spans.split(",") if s} for r in pii.find_personal_data(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("text, span", [
+    ("password: correcthorsebattery", ("secret", 10, 29)), ("ann (AT) example (DOT) com", ("email", 0, 26)), ("ann [AT] example.com", ("email", 0, 20)),
+    ("ann (at) example.com", ("email", 0, 20)), ("abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd", ("ip", 0, 39)), ("TOKEN=" + "aB-" * 400, ("secret", 6, 1206)),
+])
+def test_candidates_do_not_depend_on_an_unrelated_digit(text, span):
+    for t in (text, text + " 7"):
+        assert [c[:3] for c in pii.candidates(t, pii.base_spans(t))] == [span]
