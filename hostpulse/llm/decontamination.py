@@ -1,15 +1,18 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows. A window of m characters that occurs in a text with at most e edits shares at
-least m - q + 1 - q * e of its q-grams with the text, on diagonals (place in the text less place in the window) at most e
-apart. Shared q-grams are counted in bands of diagonals that overlap by half, so that each occurrence lies whole in one;
-bands that reach the bound are verified by a banded alignment.
+Passages of WINDOW characters of benchmark items are looked for, wherever in the item they begin. A passage of m characters that
+occurs in a text with at most e edits shares at least m - q + 1 - q * e of its q-grams with the text, on diagonals (place in
+the text less place in the item) at most e apart. Shared q-grams are counted in bands of diagonals that overlap by half, so
+that each occurrence lies whole in one; passages that reach the bound are verified by a banded alignment of the windows in
+them. Windows have WINDOW - STEP + 1 characters and begin every STEP characters of the item, so that each passage holds a
+whole one, which may have as many edits as the passage. Short items are searched for as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +21,9 @@ from pyspark.sql import functions as F
 
 from hostpulse.llm.common import PIECE, mixed, pieces, slices, texts_of
 
-#: Window length and step, length of a q-gram, and edits a window may have per character.
-WINDOW, STEP, Q, RATE = 100, 50, 8, 0.1
-#: Items under so many characters say too little to be told from chance.
+#: Length of the passages looked for, step of windows, length of a q-gram, and edits a passage may have per character.
+WINDOW, STEP, Q, RATE = 100, 10, 8, 0.1
+#: Items under so many characters are too short for edits: they are found verbatim, on word borders.
 LEAST = 32
 #: Characters of benchmark items that one pass over the documents looks for.
 BLOCK_CHARS = 16 << 20
@@ -79,38 +82,96 @@ class Index:
     texts: list[str]
     items: list[int]
     edits: np.ndarray
+    #: Per window: its start in the item. Per item: length, the length and edits of its passages and their bound, the length of its
+    #: windows, and its first window.
+    starts: np.ndarray
+    lengths: np.ndarray
+    passage: np.ndarray
+    budget: np.ndarray
     bound: np.ndarray
+    size: np.ndarray
+    windows: np.ndarray
     q: int
     keys: np.ndarray
     first: np.ndarray
-    window: np.ndarray
+    item: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    #: Short items with their number and owners, and by length of a beginning: its hashes in order and the lengths of the items.
+    short: dict[str, tuple[int, list[int]]]
+    heads: dict[int, tuple[np.ndarray, list[int]]]
 
 
 def build_index(items: list[tuple[int, str]], window: int = WINDOW, step: int = STEP, q: int = Q, rate: float = RATE) -> Index | None:
-    texts, owners = [], []
+    texts, owners, starts, whole, windows, sizes = [], [], [], [], [], []
+    short: dict[str, tuple[int, list[int]]] = {}
+    size = window - step + 1
+    if int(window * rate) > (size - q) // q:
+        raise ValueError(f"windows of {size} characters with {int(window * rate)} edits need not hold a whole {q}-gram: take a smaller step")
     for item, text in items:
         t = normalised(text or "")
         if len(t) < LEAST:
+            if t:
+                short.setdefault(t, (len(short), []))[1].append(item)
             continue
-        starts = sorted({*range(0, max(1, len(t) - window + 1), step), max(0, len(t) - window)})
-        for s in starts:
-            texts.append(t[s : s + window])
+        m = len(t) if len(t) <= window else size
+        whole.append(t)
+        windows.append(len(texts))
+        sizes.append(m)
+        for s in sorted({*range(0, len(t) - m + 1, step), len(t) - m}):
+            texts.append(t[s : s + m])
             owners.append(item)
-    if not texts:
+            starts.append(s)
+    if not texts and not short:
         return None
-    sizes = np.array([len(t) for t in texts])
-    edits = np.minimum((sizes * rate).astype(int), (sizes - q) // q)
-    grams = [qgrams(codes_of(t), q) for t in texts]
-    h = np.concatenate(grams)
-    which = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
-    place = np.concatenate([np.arange(len(g)) for g in grams])
+    heads = {}
+    for n in sorted({min(len(t), q) for t in short}):
+        own = [t for t in short if min(len(t), q) == n]
+        heads[n] = np.unique(np.concatenate([qgrams(codes_of(t[:n]), n) for t in own])), sorted({len(t) for t in own})
+    lengths = np.array([len(t) for t in whole], int)
+    passage, sizes, windows = np.minimum(lengths, window), np.array(sizes, int), np.array(windows, int)
+    budget = np.minimum((passage * rate).astype(int), (sizes - q) // q)
+    edits = np.repeat(budget, np.diff(np.append(windows, len(texts))))
+    grams = [qgrams(codes_of(t), q) for t in whole]
+    h = np.concatenate([np.zeros(0, np.uint64), *grams])
+    which = np.repeat(np.arange(len(whole)), [len(g) for g in grams])
+    place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]])
     order = np.argsort(h, kind="stable")
     keys, first = np.unique(h[order], return_index=True)
     seen = np.zeros(1 << _BITS, bool)
     seen[keys >> np.uint64(64 - _BITS)] = True
-    return Index(texts, owners, edits, sizes - q + 1 - q * edits, q, keys, np.append(first, len(h)), which[order], place[order], seen)
+    return Index(
+        texts, owners, edits, np.array(starts, int), lengths, passage, budget, passage - q + 1 - q * budget, sizes, windows, q,
+        keys, np.append(first, len(h)), which[order], place[order], seen, short, heads,
+    )
+
+
+@cache
+def word_codes() -> np.ndarray:
+    """For every code point, and _GAP, whether it is a letter or digit."""
+    return np.array([chr(c).isalnum() for c in range(_GAP)] + [False])
+
+
+def verbatim(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, list[int]]]:
+    """(text, number, start, items) of the short items, where no letter or digit of the item goes on before or after it."""
+    if not index.short:
+        return
+    gap = np.array([_GAP], np.uint32)
+    data = np.concatenate([gap] + [x for t in texts for x in (codes_of(t), gap)])
+    starts = np.cumsum([1] + [len(t) + 1 for t in texts])[:-1]
+    word = word_codes()[data]
+    inside = np.concatenate((word[1:] & word[:-1], [False]))  # no border between a place and the next
+    for n, (keys, lengths) in index.heads.items():
+        h = qgrams(data, n)
+        at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
+        at = at[(at > 0) & ~inside[at - 1]]
+        for a, o in zip(at.tolist(), (np.searchsorted(starts, at, side="right") - 1).tolist()):
+            start = a - int(starts[o])
+            for m in lengths:
+                if start + m <= len(texts[o]) and not inside[a + m - 1]:
+                    told = index.short.get(texts[o][start : start + m])
+                    if told is not None:
+                        yield o, told[0], start, told[1]
 
 
 def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +182,9 @@ def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(text, window, first diagonal) of every band that holds enough shared q-grams."""
+    """(text, window, first diagonal) of the windows in every passage that shares enough q-grams within a band."""
+    if not index.texts:
+        return
     codes = [codes_of(t) for t in texts]
     gap = np.array([_GAP], np.uint32)
     data = np.concatenate([x for c in codes for x in (c, gap)])
@@ -139,27 +202,46 @@ def candidates(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int]]
     many = index.first[j + 1] - index.first[j]
     total = int(many.sum())
     entry = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index.first[j], many)
-    win, own = index.window[entry], np.repeat(owner, many)
-    # A (text, window) pair with too few shared q-grams in all has no band with enough.
-    code = own * len(index.texts) + win
+    it, own = index.item[entry], np.repeat(owner, many)
+    # A (text, item) pair with too few shared q-grams in all has no passage with enough.
+    code = own * len(index.lengths) + it
     pair, count = counted(code)
-    pair = pair[count >= index.bound[pair % len(index.texts)]]
-    inverse = np.minimum(np.searchsorted(pair, code), max(0, len(pair) - 1))
-    live = pair[inverse] == code if len(pair) else np.zeros(len(code), bool)
-    win, own, entry, inverse = win[live], own[live], entry[live], inverse[live]
+    pair = pair[count >= index.bound[pair % len(index.lengths)]]
+    if not len(pair):
+        return
+    inverse = np.minimum(np.searchsorted(pair, code), len(pair) - 1)
+    live = pair[inverse] == code
+    it, entry, inverse = it[live], entry[live], inverse[live]
     place = index.place[entry]
-    wide = np.maximum(1, index.edits[win])
-    band = (np.repeat(at - starts[owner], many)[live] - place) // wide
-    # Every band of diagonals overlaps the next by half; a place of the window counts once in each.
-    least, most, places_ = int(band.min(initial=0)) - 1, int(band.max(initial=0)) + 1, int(index.place.max()) + 1
+    band = (np.repeat(at - starts[owner], many)[live] - place) // np.maximum(1, index.budget[it])
+    # Every band of diagonals overlaps the next by half; a place of the item counts once in each.
+    least, most, places_ = int(band.min()) - 1, int(band.max()) + 1, int(index.place.max()) + 1
     spot = inverse * (most - least + 1) - least
     keys, _ = counted(np.concatenate((spot + band, spot + band - 1)) * places_ + np.concatenate((place, place)))
-    keys, count = counted(keys // places_)
-    pair, band = pair[keys // (most - least + 1)], keys % (most - least + 1) + least
-    win, own = pair % len(index.texts), pair // len(index.texts)
-    enough = count >= index.bound[win]
-    for o, w, b in zip(own[enough].tolist(), win[enough].tolist(), band[enough].tolist()):
-        yield o, w, b * max(1, int(index.edits[w]))
+    group, place = keys // places_, keys % places_
+    it = pair[group // (most - least + 1)] % len(index.lengths)
+    # A passage with enough holds a place and, as many places on as the bound says, another one near enough.
+    here = np.arange(len(keys))
+    far = here + index.bound[it] - 1
+    here, far = here[far < len(keys)], far[far < len(keys)]
+    near = (group[here] == group[far]) & (place[far] - place[here] <= index.passage[it[here]] - index.q)
+    here, far = here[near], far[near]
+    if not len(here):
+        return
+    group, it = group[here], it[here]
+    low = np.maximum(0, place[far] + index.q - index.passage[it])
+    high = np.minimum(index.lengths[it], place[here] + index.passage[it]) - index.size[it]
+    wide = int(index.lengths.max()) + 1
+    of_window = np.searchsorted(index.windows, np.arange(len(index.texts)), side="right") - 1
+    spots = of_window * wide + index.starts
+    a, b = np.searchsorted(spots, it * wide + low), np.searchsorted(spots, it * wide + high, side="right")
+    many = np.maximum(0, b - a)
+    win = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
+    told, _ = counted(np.repeat(group, many) * len(index.texts) + win)
+    group, win = told // len(index.texts), told % len(index.texts)
+    own, band = pair[group // (most - least + 1)] // len(index.lengths), group % (most - least + 1) + least
+    for o, w, d in zip(own.tolist(), win.tolist(), (band * np.maximum(1, index.edits[win]) + index.starts[win]).tolist()):
+        yield o, w, d
 
 
 def align_band(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,6 +314,10 @@ def leaks_in(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, in
     for a, b in slices([len(t) for t in texts], _SLICE):
         for o, w, start, end, edits in verified(index, texts[a:b], list(candidates(index, texts[a:b]))):
             hits.setdefault((a + o, index.items[w]), set()).add((start, end, w, edits))
+        length = {number: len(t) for t, (number, _) in index.short.items()}
+        for o, number, start, items in verbatim(index, texts[a:b]):
+            for item in items:
+                hits.setdefault((a + o, item), set()).add((start, start + length[number], len(index.texts) + number, 0))
     for (o, item), spans in sorted(hits.items()):
         start = end = None
         windows, most = set(), 0
@@ -250,9 +336,10 @@ def indexes(docs: DataFrame, benchmark: DataFrame, window: int, step: int, q: in
     spark = docs.sparkSession
     items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(chars) // max(1, block_chars // 2)))
+    overlap = max(2, -(-window // step))  # windows that a character of an item lies in
+    blocks = max(1, -(-int(chars) // max(1, block_chars // overlap)))
     for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about half of block_chars
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # the windows have about block_chars
         index = build_index([(r.item_id, r.text) for r in part], window, step, q, rate)
         if index is not None:
             yield spark.sparkContext.broadcast(index)
@@ -264,9 +351,10 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, start, end, windows, edits: regions of documents that hold windows of benchmark items.
 
-    Each window of ``window`` characters of an item (the whole item where it is shorter) is found wherever it occurs with at most
-    ``rate`` edits per character, after lower-casing and joining of white space. Places are code points of the text as it is. Items
-    under LEAST characters are left out. A null text or item has no characters. Rows that share a doc_id or item_id are searched
+    Each passage of ``window`` characters of an item (the whole item where it is shorter), at whatever place of the item it begins, is
+    found wherever it occurs with at most ``rate`` edits per character, after lower-casing and joining of white space; a region that is
+    found holds ``window - step + 1`` characters of the item with at most the edits of a passage. Items under LEAST characters are
+    found verbatim where they begin and end on word borders. Places are code points of the text as it is. A null text or item has no characters. Rows that share a doc_id or item_id are searched
     each, and equal result rows come once. Other columns are ignored. Benchmarks over ``block_chars``
     characters are looked for block by block, so an index of bounded size goes to the tasks whatever the benchmark's size.
     """

@@ -95,3 +95,29 @@ def test_table(spark, block):
     assert sorted(str(r.text) for r in dec.without_leaks(docs, bench, block_chars=block).collect()) == sorted(str(t) for t in [None, "", rows[3][1], "x" * 200, "same"])
     assert dec.find_leaks(docs.limit(0), bench).count() == 0 and dec.find_leaks(docs, bench.limit(0)).count() == 0
     assert np.isclose(dec.without_leaks(docs, bench.limit(0)).count(), len(rows))
+
+
+@pytest.mark.parametrize("edits", ["none", "spread", "mixed"])
+@pytest.mark.parametrize("long", [100, 110, 128])
+def test_passages_are_found_wherever_they_begin(edits, long):
+    rng = random.Random(long)
+    item = dec.normalised(prose(rng, 60))
+    index = dec.build_index([(1, prose(rng, 60)), (7, item)])
+    texts = []
+    for at in range(len(item) - long + 1):
+        part = item[at : at + long]
+        if edits == "spread":
+            part = "".join("#" if i % 9 == 8 and i < 90 else c for i, c in enumerate(part))
+        elif edits == "mixed":
+            part = edited(rng, part, 10)
+        texts.append(f"{prose(rng, 20)}{part}{prose(rng, 20)}")
+    assert {(o, i) for o, i, *_ in dec.leaks_in(index, texts)} == {(o, 7) for o in range(len(texts))}
+
+
+def test_short_items_are_found_on_word_borders():
+    items = [(1, "Is it so?"), (2, "the answer  is forty-two"), (3, "yes"), (4, "(a)"), (5, "is it so?"), (6, "x")]
+    for owned in (items, [*items, (9, prose(random.Random(1), 40))]):
+        index = dec.build_index(owned)
+        texts = [dec.normalised(t) for t in ["He said: is it so? Yes.", "this it so?", "", "the answer is forty-twos", "well the answer is forty-two", "yesterday eyes", "b(a)c", "yes", "xx", "x", "ax x"]]
+        assert {(o, i, texts[o][a:b]) for o, i, a, b, *_ in dec.leaks_in(index, texts)} == {
+            (0, 1, "is it so?"), (0, 5, "is it so?"), (0, 3, "yes"), (4, 2, "the answer is forty-two"), (6, 4, "(a)"), (7, 3, "yes"), (9, 6, "x"), (10, 6, "x")}
