@@ -3,7 +3,8 @@
 Archives are written by Spark's own writer, so they may lie in any store. A row is one record in a gzip member of its own, and
 the line separator is an empty gzip member, which adds nothing when the archive is unpacked. The reader checks each
 member and record. After a failed check it looks for the next member or version line that passes, goes on from
-there, and reports the bytes in between as a gap.
+there, and reports the bytes in between as a gap. Inside a member it goes on at the next version line of what was unpacked, also where
+the member is damaged or cut off.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ LEAST_REVISIT = 0
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-_HEAD_LIMIT, _PIECE = 1 << 16, 1 << 16
+_HEAD_END = re.compile(rb"\r\n\r\n|WARC/1\.[01]\r\n")
+_PIECE = 1 << 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -106,13 +108,18 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, re
 
 @dataclass
 class Found:
-    """A record (``reason`` empty) or a gap, with its place in the archive as stored."""
+    """A record (``reason`` empty) or a gap, with its place in the archive as stored.
+
+    In a member, ``offset`` and ``length`` are those of the member, and ``inner`` is the place in its content. A record out of a member
+    that is damaged or cut off has length 0, as the bytes count to the gap that reports the member.
+    """
 
     offset: int
     length: int
     reason: str = ""
     headers: dict[str, str] | None = None
     block: bytes = b""
+    inner: int = 0
 
 
 def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -120,9 +127,10 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     v = VERSION.match(data, at)
     if not v:
         raise Broken("no version line")
-    end = data.find(b"\r\n\r\n", at, at + _HEAD_LIMIT)
-    if end < 0:
+    ends = _HEAD_END.search(data, v.end() - 2)  # headers hold no version line
+    if not ends or ends.group() != b"\r\n\r\n":
         raise Broken("no end of the headers")
+    end = ends.start()
     headers = {}
     for line in data[v.end() : end].decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
@@ -145,54 +153,84 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
-def unpack(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``; raises Broken if it is damaged or cut off."""
-    d, out, p = zlib.decompressobj(31), [], at
-    try:
-        while not d.eof and p < len(data):
+def unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at ``at``; if it is damaged or cut off, what comes before the damage, and the reason."""
+    d, out, p, reason = zlib.decompressobj(31), [], at, ""
+    while not d.eof and p < len(data):
+        try:
             out.append(d.decompress(data[p : p + _PIECE]))
-            p += _PIECE
-    except zlib.error as e:
-        raise Broken(f"gzip: {e}") from None
-    if not d.eof:
-        raise Broken("the member is cut off")
-    return b"".join(out), min(p, len(data)) - len(d.unused_data)
+        except zlib.error as e:
+            reason = f"gzip: {e}"
+            break
+        p += _PIECE
+    if reason:  # the failed piece again in single bytes, for all that it gives
+        d = zlib.decompressobj(31)
+        for q in range(at, p, _PIECE):
+            d.decompress(data[q : q + _PIECE])
+        try:
+            for q in range(p, min(p + _PIECE, len(data))):
+                out.append(d.decompress(data[q : q + 1]))
+        except zlib.error:
+            p = q
+    elif not d.eof:
+        reason = "the member is cut off"
+    return b"".join(out), min(p, len(data)) - len(d.unused_data), reason
+
+
+def inside(content: bytes) -> Iterator[tuple[int, str, dict[str, str] | None, bytes]]:
+    """(place, reason, headers, block) of the records in the content of a member, and of the gaps between."""
+    p, gap = 0, False
+    while p < len(content):
+        try:
+            headers, block, end = parse(content, p)
+        except Broken as e:
+            if not gap:
+                yield p, str(e), None, b""
+            gap = True
+            m = VERSION.search(content, p + 1)
+            p = m.start() if m else len(content)
+            continue
+        gap = False
+        yield p, "", headers, block
+        p = end
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """All records of an archive that pass the checks, and the gaps between, in the order of their offsets."""
-    at, gap, reason = 0, None, ""
+    at, gap, reason, inner = 0, None, "", 0
     while at < len(data):
-        got: list[Found] = []
-        try:
-            if data.startswith(MAGIC, at):
-                content, end = unpack(data, at)
-                p = 0
-                while p < len(content):
-                    headers, block, p = parse(content, p)
-                    got.append(Found(at, end - at, "", headers, block))
-            else:
+        bad, got, end = "", [], at
+        if data.startswith(MAGIC, at):
+            content, end, bad = unpack(data, at)
+            got = [Found(at, 0 if bad else end - at, why, headers, block, p) for p, why, headers, block in inside(content)]
+        else:
+            try:
                 headers, block, end = parse(data, at)
-                got.append(Found(at, end - at, "", headers, block))
-        except Broken as e:
+                got = [Found(at, end - at, "", headers, block)]
+            except Broken as e:
+                bad = str(e)
+        if bad:
+            kept = [f for f in got if f.headers is not None]
+            if kept and gap is not None:  # records of a damaged member: the gap before ends here
+                yield Found(gap, at - gap, reason, inner=inner)
+                gap = None
+            yield from kept
             if gap is None:
-                gap, reason = at, str(e)
-            if got:  # records ahead of the damage in one member
-                yield from got
+                gap, reason, inner = at, bad, next((f.inner for f in got if f.headers is None), len(content) if kept else 0)
             m = _START.search(data, at + 1)
             at = m.start() if m else len(data)
             continue
         if gap is not None:
-            yield Found(gap, at - gap, reason)
+            yield Found(gap, at - gap, reason, inner=inner)
             gap = None
         yield from got
         at = end
     if gap is not None:
-        yield Found(gap, len(data) - gap, reason)
+        yield Found(gap, len(data) - gap, reason, inner=inner)
 
 
 _READ = (
-    "archive string, offset long, length long, gap_reason string, warc_type string, record_id string, target_uri string, "
+    "archive string, offset long, length long, inner_offset long, gap_reason string, warc_type string, record_id string, target_uri string, "
     "page_id string, refers_to_page_id string, payload_digest string, payload_bytes long, payload binary"
 )
 
@@ -200,7 +238,7 @@ _READ = (
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all archives in ``folder``, packed by member or plain.
 
-    A gap has ``gap_reason`` and null fields. Digest and size are those of the full payload: of a response they are taken from what was
+    A gap has ``gap_reason`` and null fields; ``inner_offset`` is the place of a record or gap in what its member holds. Digest and size are those of the full payload: of a response they are taken from what was
     read, of a revisit from its headers. An archive is read whole into one task, so it should stay well below 2 GB.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
@@ -212,7 +250,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                 for f in salvage(bytes(content)):
                     h = f.headers
                     if h is None:
-                        rows.append((path, f.offset, f.length, f.reason, *[None] * 8))
+                        rows.append((path, f.offset, f.length, f.inner, f.reason, *[None] * 8))
                         continue
                     payload = f.block
                     if h.get("content-type", "").startswith("application/http"):
@@ -222,7 +260,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                     if kind != "revisit":
                         digest, size = digest32(payload), len(payload)
                     rows.append((
-                        path, f.offset, f.length, None, kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("x-page-id") or None,
+                        path, f.offset, f.length, f.inner, None, kind, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("x-page-id") or None,
                         h.get("x-refers-to-page-id") or None, digest, None if size is None else int(size), payload if payloads else None,
                     ))
                     held += len(payload)

@@ -77,3 +77,34 @@ def test_smaller_payloads_are_all_responses(spark, tmp_path):
     warc.write_archives(pages, str(tmp_path / "w"), least=5)
     assert sorted((r.page_id, r.warc_type) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == [
         ("1", "response"), ("2", "response"), ("3", "response"), ("4", "revisit")]
+
+
+def test_long_urls_come_back(spark, tmp_path):
+    rows = [(1, "http://x/" + "a" * 70_000, "one"), (2, "data:" + "é " * 200_000, "two"), (3, "u", "three")]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.gap_reason, bytes(r.payload)) for r in got) == [("1", None, b"one"), ("2", None, b"two"), ("3", None, b"three")]
+    assert next(r for r in got if r.page_id == "1").target_uri == rows[0][1]
+
+
+def test_damage_inside_a_member_costs_one_record():
+    parts = archive(9, packed=False)
+    parts[4] = parts[4][:-30] + bytes([parts[4][-30] ^ 0x55]) + parts[4][-29:]
+    member = warc.packed(b"".join(parts))
+    after = warc.packed(archive(10, packed=False)[9])
+    found = list(warc.salvage(member + after))
+    assert [f.headers["x-page-id"] if f.headers else "gap" for f in found] == ["0", "1", "2", "3", "gap", "5", "6", "7", "8", "9"]
+    assert (found[4].offset, found[4].length, found[4].inner) == (0, len(member), sum(map(len, parts[:4]))) and found[4].reason
+
+
+@pytest.mark.parametrize("cut", [True, False])
+@pytest.mark.parametrize("last", [True, False])
+def test_records_ahead_of_the_damage_of_a_member_come_back(cut, last):
+    parts = archive(12, packed=False)
+    ahead, member = warc.packed(b"".join(parts[:6])), warc.packed(b"".join(parts))
+    member = member[: len(member) * 2 // 3] if cut else member[: len(member) * 2 // 3] + b"\xff" * 40 + member[len(member) * 2 // 3 + 40 :]
+    found = list(warc.salvage(member + (b"" if last else warc.packed(archive(13, packed=False)[12]))))
+    pages = [f.headers["x-page-id"] for f in found if f.headers is not None]
+    assert len(ahead) < len(member) and pages[:6] == [str(i) for i in range(6)] and ("12" in pages) == (not last)
+    gap = next(f for f in found if f.headers is None)
+    assert gap.offset == 0 and gap.reason and gap.inner >= sum(map(len, parts[:6]))
