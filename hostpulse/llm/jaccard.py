@@ -198,8 +198,21 @@ def _similar_sizes(a: Column, b: Column, percent: int = PERCENT) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text, class: one row for each class in ``wanted`` (class, rep, rep_key, rep_rows), found by the id and the hash of the text of its
+    document. Rows without an id, or that share one, come to the class of their own text only, and repeated rows once."""
+    # Merged at every size, as it must be at a large one: neither side has a bound.
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("rep_key"))
+    wanted = wanted.select("class", "rep", "rep_key", "rep_rows")
+    found = docs.select("doc_id", "text").join(wanted.hint("merge"), same).select("text", "class", "rep_rows")
+    if wanted.filter("rep_rows > 1").isEmpty():
+        return found.select("text", "class")
+    again = found.filter("rep_rows > 1").groupBy("class").agg(F.min("text").alias("text"))
+    return found.filter("rep_rows = 1").select("text", "class").unionByName(again)
+
+
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, shingles of the classes in ``wanted`` (class, rep), made again from the text of the document ``rep``."""
+    """class, shingles of the classes in ``wanted`` (as class_texts takes it), made again from the text of a document of each."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", PIECE):
             got = [(c, s.tobytes()) for c, s in zip(b.column("class").to_pylist(), shingle_sets(texts_of(b))) if set_id(s) == c]
@@ -207,9 +220,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [pa.array([c for c, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["class", "shingles"]
             )
 
-    # Merged at every size, as it must be at a large one: neither side has a bound.
-    found = docs.select("doc_id", "text").join(wanted.select("class", "rep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")))
-    return found.select("text", "class").mapInArrow(build, "class long, shingles binary")
+    return class_texts(docs, wanted).mapInArrow(build, "class long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, per_task: int = 2_000) -> DataFrame:
@@ -257,8 +268,12 @@ def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     sets = materialised(document_sets(docs, percent), "jaccard-sets")
     classes = materialised(
-        sets.filter("class IS NOT NULL").groupBy("class").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")
+        sets.filter("class IS NOT NULL").groupBy("class", "doc_id", "text_key").agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
+        .groupBy("class").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "rows")).alias("least"),
+            F.first("n").alias("n"), F.sum("rows").alias("copies"),
+        ).select(
+            "class", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("rep_key"), F.col("least.rows").alias("rep_rows"), "n", "copies"
         ), "jaccard-classes",
     )
     light = boundary([(r.n, r.c) for r in classes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()], percent)
@@ -266,8 +281,8 @@ def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Only classes with enough shared postings can link at all.
     need = F.when(F.col("heavy"), _spread_need(F.col("n"), percent)).otherwise(1)
     many = shared.groupBy("class", "heavy").agg(F.count(F.lit(1)).alias("many")).join(classes, "class").filter(F.col("many") >= need)
-    able = materialised(many.select("class", "heavy", "rep", "n"), "jaccard-able")
-    one = able.groupBy("class").agg(F.first("rep").alias("rep"), F.first("n").alias("n"))
+    able = materialised(many.select("class", "heavy", "rep", "rep_key", "rep_rows", "n"), "jaccard-able")
+    one = able.drop("heavy").distinct()
     own_sets = materialised(class_sets(docs, one), "jaccard-shingles")
     links = materialised(verified(first_links(shared, one, percent), own_sets, percent), "jaccard-links")
     parts = components(links, "jaccard-parts")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hostpulse.llm import jaccard
 from hostpulse.llm.components import components
@@ -129,3 +130,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in top if any(x in p and p[0] != p[1] for p in links)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_each_class_finds_one_text(spark):
+    texts = [f"word{i} and a few more of them {i}" for i in range(30)]
+    rows = [(None, t) for t in texts] + [(7, t + " again") for t in texts] + [(None, texts[0])] * 5 + [(8, "the same row twice or more")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("rep_key")).groupBy("doc_id", "rep_key").agg(F.count(F.lit(1)).alias("rep_rows"))
+    wanted = keyed.select(F.col("rep_key").alias("class"), F.col("doc_id").alias("rep"), "rep_key", "rep_rows")
+    got = jaccard.class_texts(docs, wanted).withColumn("own", F.xxhash64("text") == F.col("class")).collect()
+    assert len(got) == wanted.count() == 61 and all(r.own for r in got)
