@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm import chat, decontamination, jaccard, mixing, pii, quality, sharding, suffixes, tokens, warc
+from hostpulse.llm import chat, decontamination, fim, jaccard, mixing, pii, quality, runs, sharding, simhash, suffixes, tokens, warc
 from hostpulse.llm.common import table, text_bytes
 from hostpulse.session import materialised, shared_dir
 
@@ -93,10 +94,52 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by their id, with an end that repeats itself."""
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, folder, "documents").select("doc_id", "text"), edit=planted)
+    def line(r: Column) -> Column:
+        return F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+
+    text = F.array_join(F.transform("runs", line), "")
+    # Structs are ordered by their fields: the longest, then the earliest, then that of the smallest period.
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), text.alias("text"), "collapsed").select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), (-F.col("best.less")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("-best.less * 1000 div best.period").alias("exponent_milli"),
+        F.sha2("text", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_ngram_jaccard_join, op3_mix_sources, op4_decontaminate, op5_suffix_dedup, op6_chat_format, op7_token_counts, op8_warc, op9_personal_data, op10_shards,
+        op11_simhash, op12_fill_in_middle, op13_periodic_runs,
     )
 }
 
@@ -156,4 +199,26 @@ SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
 FROM told
 """
 
-SQL: dict[str, str] = {"op2_ngram_jaccard_join": _OP2_SQL, "op6_chat_format": _OP6_SQL, "op8_warc": _OP8_SQL}
+_OP12_SQL = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+    FROM documents
+),
+numbers AS (
+    SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS y,
+        CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 AS h4
+    FROM drawn
+),
+formed AS (
+    SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+            WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form, substring(t, 1, least(x, y)) AS p,
+        substring(t, least(x, y) + 1, abs(x - y)) AS m, substring(t, greatest(x, y) + 1) AS s
+    FROM numbers
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(x, y) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(x - y) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+        AS output_sha256, sha256(t) AS restored_sha256
+FROM formed
+"""
+
+SQL: dict[str, str] = {"op12_fill_in_middle": _OP12_SQL, "op2_ngram_jaccard_join": _OP2_SQL, "op6_chat_format": _OP6_SQL, "op8_warc": _OP8_SQL}
