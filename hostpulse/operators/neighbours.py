@@ -1,29 +1,21 @@
 """Exact nearest neighbours, local outlier factor, neighbour imputation and oversampling.
 
-Equal points are first merged into one with a weight, so copies cost nothing. Points of a
-key are laid on a grid of quantile slices. A first pass finds each point's neighbours in
-its own cell, which bounds how far the true ones can lie; a second pass visits only the
-other cells that ball touches. Cells too full for one task are cut into blocks, and every
-pair of query and reference block is its own task input, so no group grows with the data.
-Distances are computed block by block inside the tasks and only the best k leave them.
+Equal points are first merged into one with a weight, so copies cost nothing. The search itself is that of ``trees``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.session import materialised, spread
+from hostpulse.operators import trees
+from hostpulse.session import materialised
 
+#: Points in a leaf of a search tree, and so queries that a task holds at a time.
 BLOCK_ROWS = 4096
-GRID_COLUMNS = 3
-GRID_SLICES = 8
 HOST = ("host",)
-_FOUND = "_found array<struct<distance:double,point:array<double>,weight:bigint>>"
 
 
 def as_points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -35,121 +27,43 @@ def distinct_points(df: DataFrame, by: Sequence[str] = HOST) -> DataFrame:
     return df.groupBy(*by, "point").agg(F.count("*").alias("weight"))
 
 
-def _grid(reference: DataFrame, by: Sequence[str], dims: int) -> DataFrame:
-    """Per key: slice edges per grid column, fewer for fewer points."""
-    shares = [i / GRID_SLICES for i in range(1, GRID_SLICES)]
-    raw = reference.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        *[F.percentile_approx(F.get("point", F.lit(d)), shares, 1000).alias(f"_e{d}") for d in range(dims)],
+def _searchable(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    return points.select(
+        *by, F.lit("").alias("_known"), "point", F.col("point").alias("order"),
+        *(["weight"] if "weight" in points.columns else []),
     )
-    slices = F.greatest(
-        F.lit(1), F.least(F.lit(GRID_SLICES), F.floor(F.pow(F.col("_n") / BLOCK_ROWS, F.lit(1.0 / dims))).cast("int"))
-    )
-
-    def edges(d: int) -> Column:
-        places = F.transform(
-            F.sequence(F.lit(1), F.lit(GRID_SLICES - 1)),
-            lambda i: F.when(i < F.col("_s"), F.get(f"_e{d}", (i * GRID_SLICES / F.col("_s")).cast("int") - 1)),
-        )
-        return F.array_distinct(F.array_compact(places))
-
-    return raw.withColumn("_s", slices).select(*by, *[edges(d).alias(f"_e{d}") for d in range(dims)])
-
-
-def _slice_of(d: int, shift: Column | None = None) -> Column:
-    x = F.get("point", F.lit(d))
-    return F.size(F.filter(f"_e{d}", lambda e: e <= (x if shift is None else x + shift)))
-
 
-def _renewed(df: DataFrame) -> DataFrame:
-    """Own column identities, so that a frame can be cogrouped with one it shares its origin with."""
-    return df.toDF(*df.columns)
 
-
-def _best(found: Column, k: int) -> Column:
-    return F.slice(F.sort_array(F.flatten(F.collect_list(found))), 1, k)
-
-
-def _block_search(queries: DataFrame, reference: DataFrame, by: Sequence[str], k: int, key_types: str) -> DataFrame:
-    """Best k references per query within equal ``_cell``. Both sides are cut into blocks by hash."""
-    keys = [*by, "_cell"]
-    sizes = reference.groupBy(*keys).agg(F.count("*").alias("_r")).join(
-        queries.groupBy(*keys).agg(F.count("*").alias("_q")), keys
-    )
-    parts = sizes.select(
-        *keys, F.ceil(F.col("_r") / BLOCK_ROWS).alias("_rm"), F.ceil(F.col("_q") / BLOCK_ROWS).alias("_qm")
+def _search(queries: DataFrame, reference: DataFrame, k: int, dimensions: int, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    own = queries is reference
+    return trees.nearest(
+        _searchable(queries if own else queries.select(*by, "point"), by), None if own else _searchable(reference, by),
+        by, dimensions, k, BLOCK_ROWS,
     )
 
-    def cut(df: DataFrame, own: str, other: str) -> DataFrame:
-        return df.join(parts, keys).select(
-            *df.columns,
-            F.pmod(F.xxhash64("point"), F.col(f"_{own}m")).alias(f"_{own}b"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_{other}m") - 1)).alias(f"_{other}b"),
-        )
-
-    group = [*keys, "_qb", "_rb"]
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=[*by, "point", "_found"])
-        a, b = np.array(left["point"].tolist()), np.array(right["point"].tolist())
-        by_point = np.lexsort(b.T[::-1])  # equal distances prefer the smaller point
-        b, weight = b[by_point], right["weight"].to_numpy()[by_point]
-        found = []
-        for start in range(0, len(a), 512):
-            part = a[start : start + 512]
-            square = np.zeros((len(part), len(b)))
-            for d in range(a.shape[1]):
-                square += (part[:, d, None] - b[None, :, d]) ** 2
-            distance = np.sqrt(square)
-            near = np.argsort(distance, axis=1, kind="stable")[:, :k]
-            for row, order in enumerate(near):
-                found.append([(float(distance[row, j]), b[j].tolist(), int(weight[j])) for j in order])
-        out = left[[*by, "point"]].copy()
-        out["_found"] = found
-        return out
-
-    left = spread(cut(queries, "q", "r"), *group).groupBy(*group)
-    right = spread(_renewed(cut(reference, "r", "q")), *group).groupBy(*group)
-    return left.cogroup(right).applyInPandas(search, f"{key_types}, point array<double>, {_FOUND}")
-
 
 def nearest_points(
     queries: DataFrame, reference: DataFrame, k: int, dimensions: int, by: Sequence[str] = HOST
 ) -> DataFrame:
     """For distinct query points, the ``k`` nearest distinct reference points of the same key.
 
-    ``queries`` has (keys, point), ``reference`` (keys, point, weight). The result has
-    ``neighbours``: array of (distance, point, weight), nearest first.
+    ``queries`` has (keys, point), ``reference`` (keys, point, weight); they may be the same frame. The result has
+    ``neighbours``: array of (distance, point, weight), nearest first, of equal distances the smaller point.
     """
-    keys = list(by)
-    types = dict(reference.dtypes)
-    key_types = ", ".join(f"{c} {types[c]}" for c in keys)
-    dims = min(dimensions, GRID_COLUMNS)
-    grid = _grid(reference, keys, dims)
-    cell = F.array(*[_slice_of(d) for d in range(dims)])
-    placed = queries.select(*keys, "point").join(grid, keys).withColumn("_cell", cell)
-    stored = reference.join(grid, keys).select(*keys, "point", "weight", cell.alias("_cell"))
-
-    # Written once: it bounds the second pass and is merged with its result.
-    own = materialised(
-        _block_search(placed.select(*keys, "point", "_cell"), stored, keys, k, key_types)
-        .groupBy(*keys, "point")
-        .agg(_best(F.col("_found"), k).alias("_found")),
-        "nearest-in-cell",
+    found, _ = _search(queries, reference, k, dimensions, by)
+    return found.select(*by, "point", F.col("found").alias("neighbours"))
+
+
+def visited_pairs(df: DataFrame, columns: Sequence[str], k: int = 5, by: Sequence[str] = HOST) -> DataFrame:
+    """Per key how much of its pairs of distinct points the search for each point's ``k`` neighbours looks at: the number of
+    points and of leaves, and how many leaves a block of queries meets in the mean."""
+    points = distinct_points(as_points(df, columns), by)
+    _, pairs = _search(points, points, k + 1, len(columns), by)
+    block = F.struct(*trees.BLOCK)
+    met = pairs.groupBy(*by).agg(
+        F.count_distinct("_r_leaf").alias("n_leaves"), (F.count("*") / F.count_distinct(block)).alias("leaves_per_block")
     )
-    known = placed.join(own, [*keys, "point"], "left")
-    reach = F.when(F.size("_found") == k, F.get("_found", F.lit(k - 1))["distance"]).otherwise(float("inf"))
-    ranged = known.withColumn("_reach", reach)
-    for d in range(dims):
-        ranged = ranged.withColumn(
-            f"_c{d}", F.explode(F.sequence(_slice_of(d, -F.col("_reach")), _slice_of(d, F.col("_reach"))))
-        )
-    others = ranged.select(
-        *keys, "point", F.col("_cell").alias("_home"), F.array(*[F.col(f"_c{d}") for d in range(dims)]).alias("_cell")
-    ).where(F.col("_cell") != F.col("_home")).drop("_home")
-    more = _block_search(others, stored, keys, k, key_types)
-    return own.unionByName(more).groupBy(*keys, "point").agg(_best(F.col("_found"), k).alias("neighbours"))
+    return points.groupBy(*by).agg(F.count("*").alias("n_points")).join(met, list(by))
 
 
 def _counted(k: int, drop_self: bool) -> Column:
@@ -250,30 +164,6 @@ def lof_scores(
     return rows.join(factors, [*by, "point"]).select(*df.columns, (-F.col("lof")).alias("lof_score"))
 
 
-def nearest_known(a: np.ndarray, b: np.ndarray, k: int, rows: int = 256):
-    """Per gap of ``a``: (row, column, the k rows of ``b`` nearest among those that know the column, their distances).
-
-    ``b`` is in the order that equal distances prefer.
-    """
-    known = ~np.isnan(b)
-    filled = np.nan_to_num(b)
-    for at in range(0, len(a), rows):
-        part = a[at : at + rows]
-        square, shared = np.zeros((len(part), len(b))), np.zeros((len(part), len(b)), np.int64)
-        for d in range(a.shape[1]):
-            both = ~np.isnan(part[:, d])[:, None] & known[:, d]
-            square += np.where(both, (np.nan_to_num(part[:, d])[:, None] - filled[:, d]) ** 2, 0.0)
-            shared += both
-        square = np.where(shared > 0, square / np.maximum(shared, 1), np.inf)
-        for d in range(a.shape[1]):
-            gaps = np.flatnonzero(np.isnan(part[:, d]))
-            own = np.where(known[:, d], square[gaps], np.inf)
-            order = np.argsort(own, axis=1, kind="stable")[:, :k]
-            for i, near in zip(gaps.tolist(), order):
-                near = near[np.isfinite(square[i, near]) & known[near, d]]
-                yield at + i, d, near, square[i, near]
-
-
 def knn_imputed(
     df: DataFrame, columns: Sequence[str], k: int = 5, by: Sequence[str] = HOST, clock: str = "clock",
     reference: DataFrame | None = None,
@@ -283,54 +173,29 @@ def knn_imputed(
     Distance uses the columns both rows know, scaled up to all columns; equal distances
     prefer the earlier row. A gap nothing compares with takes the column's mean. Rows are
     compared with those of ``reference``, by default with each other; a key it lacks keeps its gaps.
+    Reference rows are indexed by the columns that they know, each such group in a tree of its own.
     """
     keys, columns = list(by), list(columns)
-    types = dict(df.dtypes)
-    reference = df if reference is None else _renewed(reference.select(*keys, clock, *columns))
-    sizes = reference.groupBy(*keys).agg(
-        F.ceil(F.count("*") / BLOCK_ROWS).alias("_m"), *[F.avg(c).alias(f"_mean_{c}") for c in columns]
-    )
-    block = F.pmod(F.xxhash64(*keys, clock), F.col("_m"))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1))
-    gap = sum((F.col(c).isNull().cast("int") for c in columns[1:]), F.col(columns[0]).isNull().cast("int")) > 0
-    some = df.select(*keys, clock, *columns).join(sizes.select(*keys, "_m"), keys)
-    left = some.where(gap).select("*", block.alias("_qb"), every.alias("_rb"))
-    known = reference.select(*keys, clock, *columns).join(sizes.select(*keys, "_m"), keys)
-    right = known.select("*", block.alias("_rb"), every.alias("_qb"))
-
-    def search(q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {c: [] for c in [*keys, clock, "column", "_found"]}
-        ref = ref.sort_values(clock, kind="stable")
-        a, b = q[columns].to_numpy(dtype=float), ref[columns].to_numpy(dtype=float)
-        times, own_times = ref[clock].to_numpy(), q[clock].to_numpy()
-        own = [q[key].to_numpy() for key in keys]
-        for i, d, near, square in nearest_known(a, b, k):
-            for key, values in zip(keys, own):
-                out[key].append(values[i])
-            out[clock].append(own_times[i])
-            out["column"].append(columns[d])
-            out["_found"].append(list(zip(square.tolist(), times[near].tolist(), b[near, d].tolist())))
-        return pd.DataFrame(out)
-
-    key_types = ", ".join(f"{c} {types[c]}" for c in keys)
-    group = [*keys, "_qb", "_rb"]
-    left, right = spread(left, *group), spread(_renewed(right), *group)
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
-        search,
-        f"{key_types}, {clock} bigint, column string, "
-        "_found array<struct<distance:double,clock:bigint,value:double>>",
-    )
-    best = found.groupBy(*keys, clock, "column").agg(_best(F.col("_found"), k).alias("_found"))
-    mean = F.try_divide(
-        F.aggregate("_found", F.lit(0.0), lambda acc, n: acc + n["value"]), F.size("_found")
-    )
-    fills = best.select(*keys, clock, "column", mean.alias("_fill")).groupBy(*keys, clock).agg(
-        *[F.max(F.when(F.col("column") == c, F.col("_fill"))).alias(f"_fill_{c}") for c in columns]
+    reference = df if reference is None else reference
+
+    def placed(rows: DataFrame) -> DataFrame:
+        known = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+        return rows.select(
+            *keys, known.alias("_known"), F.array(*[F.col(c).cast("double") for c in columns]).alias("point"),
+            F.array(F.col(clock).cast("double")).alias("order"), F.lit(1).cast("bigint").alias("weight"),
+        )
+
+    gaps = placed(df).where(F.col("_known").contains("0") & F.col("_known").contains("1")).drop("weight")
+    known = placed(reference).where(F.col("_known").contains("1"))
+    found, _ = trees.nearest(gaps, known, keys, len(columns), k, BLOCK_ROWS, imputing=True)
+    fills = found.select(
+        *keys, F.get("order", F.lit(0)).cast(dict(df.dtypes)[clock]).alias(clock), F.col("found").alias("_fills")
     )
-    joined = df.join(fills, [*keys, clock], "left").join(sizes.drop("_m"), keys, "left")
+    means = reference.groupBy(*keys).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    joined = df.join(fills, [*keys, clock], "left").join(means, keys, "left")
     return joined.select(
         *[
-            F.coalesce(F.col(c), F.col(f"_fill_{c}"), F.col(f"_mean_{c}")).alias(c) if c in columns else F.col(c)
+            F.coalesce(F.col(c), F.get("_fills", F.lit(columns.index(c))), F.col(f"_mean_{c}")).alias(c) if c in columns else F.col(c)
             for c in df.columns
         ]
     )
