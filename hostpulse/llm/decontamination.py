@@ -342,7 +342,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, window: int, step: int, q: in
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # the windows have about block_chars
         index = build_index([(r.item_id, r.text) for r in part], window, step, q, rate)
         if index is not None:
-            yield spark.sparkContext.broadcast(index)
+            yield spark.sparkContext.broadcast(vars(index))  # plain values, as tasks that read them may not have this package
 
 
 def find_leaks(
@@ -370,7 +370,7 @@ def find_leaks(
                 texts, ids = texts_of(b), b.column("doc_id").to_pylist()
                 rows: list[list] = [[] for _ in names]
                 where: dict[int, list[int]] = {}
-                for o, item, start, end, windows, edits in leaks_in(sent.value, [normalised(t) for t in texts]):
+                for o, item, start, end, windows, edits in leaks_in(Index(**sent.value), [normalised(t) for t in texts]):
                     at = where.setdefault(o, where.get(o) or places(texts[o]))
                     for col, v in zip(rows, (ids[o], item, at[start], at[end - 1] + 1, windows, edits)):
                         col.append(v)
@@ -389,7 +389,7 @@ def without_leaks(
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, "text", PIECE):
-                leaked = {o for o, *_ in leaks_in(sent.value, [normalised(t) for t in texts_of(b)])}
+                leaked = {o for o, *_ in leaks_in(Index(**sent.value), [normalised(t) for t in texts_of(b)])}
                 yield b.filter(pa.array([i not in leaked for i in range(b.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -253,14 +253,15 @@ def apply_rules(docs: DataFrame, model: Model | None, text: str = "text", keep:
     rows = docs.drop(*[c for c in docs.columns if c.lower() in new])
     names = rows.columns
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # a fixed 1 MB
+    # A fixed 1 MB. Plain values, as tasks that read them may not have this package.
+    sent = spark.sparkContext.broadcast(None if model is None else (model.weights, model.slope, model.offset))
     added = spark.createDataFrame(
         [], "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
         "kept boolean, p_good double, band string"
     ).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = None if sent.value is None else Model(*sent.value)
         for b in pieces(batches, text, PIECE):
             texts = texts_of(b, text)
             measures = np.array([base_measures(t) for t in texts], dtype="int64").reshape(-1, 5)
