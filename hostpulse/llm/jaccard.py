@@ -7,8 +7,9 @@ inverted lists with a c that grows with n, and candidates must share a number of
 number of rows, as counted over the sets, is least.
 
 Lists are only ever scanned in order, and a scan first links each set to one centre, so that a list of thousands of near
-copies costs thousands of links and not their square. The sets that the centres left in different components are then
-compared with each other where they share enough postings, so no link between components is missed.
+copies costs thousands of links and not their square. The sets that the centres left in different components may still link.
+Within a cluster, which is what the first links connect, they are compared by what sets each apart from the cluster's centre, and
+across clusters on their whole sets, so no link between components is missed.
 """
 
 from __future__ import annotations
@@ -223,10 +224,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return class_texts(docs, wanted).mapInArrow(build, "class long, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, per_task: int = 2_000) -> DataFrame:
-    """The pairs (a, b) of classes that link: 100 * intersection >= percent * union.
+def _beside(pairs: DataFrame, sets: DataFrame, per_task: int = 2_000) -> DataFrame:
+    """b, salt, member, shingles: the sets of all a of the pairs (a, b) after that of their b (member null), dealt out by b and salt.
 
-    The sets of all a come to that of their b. A b with very many a is sent to several tasks.
+    A b with very many a is sent to several tasks.
     """
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("salts"))
     salts = salts.select(F.col("b").alias("s_b"), "salts")
@@ -235,26 +236,64 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, per_task
     centres = salts.hint("merge").join(sets, F.col("s_b") == F.col("class")).select(
         F.col("s_b").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "shingles"
     )
+    return members.unionByName(centres).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("member").asc_nulls_first())
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Per batch of ``_beside`` the pairs: a, b, set of a, set of b, and whether each shingle of a is one of b's."""
+    key = centre = None
+    for batch in pieces(batches, "shingles", PIECE):
+        met = []
+        for b, salt, a, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            s = np.frombuffer(raw, np.uint64)
+            if a is None:
+                key, centre = (b, salt), s
+            elif key == (b, salt):
+                at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
+                met.append((a, b, s, centre, centre[at] == s))
+        yield met
+
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, per_task: int = 2_000) -> DataFrame:
+    """The pairs (a, b) of classes that link: 100 * intersection >= percent * union. Each a is compared beside its b."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = centre = None
-        for batch in pieces(batches, "shingles", PIECE):
-            links: list[tuple[int, int]] = []
-            for b, salt, a, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                s = np.frombuffer(raw, np.uint64)
-                if a is None:
-                    key, centre = (b, salt), s
-                elif key == (b, salt):
-                    at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
-                    both = int((centre[at] == s).sum())
-                    if 100 * both >= percent * (len(s) + len(centre) - both):
-                        links.append((a, b))
+        for met in _compared(batches):
+            links = [(a, b) for a, b, s, c, same in met if 100 * (both := int(same.sum())) >= percent * (len(s) + len(c) - both)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"]
             )
 
-    together = members.unionByName(centres).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("member").asc_nulls_first())
-    return together.mapInArrow(compare, "a long, b long")
+    return _beside(pairs, sets, per_task).mapInArrow(compare, "a long, b long")
+
+
+def differences(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """class, centre, differing, linked, token: for each pair (a, b), with b as the centre, a row for every shingle that only one of the
+    two has; how many these are, and whether the two link."""
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in _compared(batches):
+            own: list[list] = [[], [], [], []]
+            tokens = []
+            for a, b, s, c, same in met:
+                both = int(same.sum())
+                apart = np.setxor1d(s, c, assume_unique=True)
+                tokens.append(apart)
+                for column, value in zip(own, (a, b, len(apart), 100 * both >= percent * (len(s) + len(c) - both))):
+                    column.append(value)
+            sizes = np.array(own[2], np.int64)
+            kinds = (np.int64, np.int64, np.int64, bool)
+            columns = [pa.array(np.repeat(np.array(v, k), sizes)) for v, k in zip(own, kinds)]
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(_signed(flat))], names=["class", "centre", "differing", "linked", "token"])
+
+    return _beside(pairs, sets).mapInArrow(tell, "class long, centre long, differing long, linked boolean, token long")
+
+
+def clusters(first: DataFrame) -> DataFrame:
+    """class, centre: of the classes that ``first`` (a, b) connects, directly or not, the one that most chose."""
+    parts = components(first, "jaccard-clusters")
+    chosen = first.groupBy("b").agg(F.count(F.lit(1)).alias("votes"))
+    centres = chosen.join(parts, F.col("b") == F.col("node")).groupBy("component").agg(F.max(F.struct("votes", "b")).alias("best"))
+    return parts.join(centres, "component").select(F.col("node").alias("class"), F.col("best.b").alias("centre"))
 
 
 def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -284,9 +323,19 @@ def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     able = materialised(many.select("class", "heavy", "rep", "rep_key", "rep_rows", "n"), "jaccard-able")
     one = able.drop("heavy").distinct()
     own_sets = materialised(class_sets(docs, one), "jaccard-shingles")
-    links = materialised(verified(first_links(shared, one, percent), own_sets, percent), "jaccard-links")
+    first = materialised(first_links(shared, one, percent), "jaccard-first")
+    links = materialised(verified(first, own_sets, percent), "jaccard-links")
     parts = components(links, "jaccard-parts")
-    rest = materialised(verified(across(shared, able, parts, own_sets, percent), own_sets, percent), "jaccard-rest")
+    open_ = open_classes(shared, able, parts, clusters(first), percent)
+    apart = materialised(
+        differences(open_.filter("class <> centre").select(F.col("class").alias("a"), F.col("centre").alias("b")), own_sets, percent), "jaccard-apart"
+    )
+    # Pairs within a cluster and those across clusters, and the links to the centres.
+    pairs = about_centre(apart, open_, percent).unionByName(across(open_, own_sets, percent))
+    rest = verified(pairs, own_sets, percent).unionByName(
+        apart.filter("linked").select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
+    )
+    rest = materialised(rest, "jaccard-rest")
     if not rest.isEmpty():
         parts = components(links.unionByName(rest), "jaccard-parts")
     grouped = classes.join(parts, F.col("class") == F.col("node"), "left").select(
@@ -324,15 +373,9 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return once.unionByName(again)
 
 
-def across(shared: DataFrame, able: DataFrame, parts: DataFrame, own_sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of classes in different components that may link.
-
-    Only tokens that two components have count, of the prefixes first. The classes that still have enough of them are compared on
-    their whole sets: a class keeps the rarest of its shared shingles, so many that a partner with which it shares enough
-    must have one of them, and it goes if it has fewer than it must share. Two classes are a pair only if they would
-    link even if all shared shingles of the one with fewer were the other's too: their other shingles count as
-    different, which they are.
-    """
+def open_classes(shared: DataFrame, able: DataFrame, parts: DataFrame, centres: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """class, n, part, centre: the classes that share as many postings with other components as a link across needs. ``centre`` is
+    that of their cluster; a class that is in none is its own."""
     nodes = able.join(parts, F.col("class") == F.col("node"), "left").select(
         "class", "heavy", "n", F.coalesce("component", "class").alias("part")
     )
@@ -340,24 +383,74 @@ def across(shared: DataFrame, able: DataFrame, parts: DataFrame, own_sets: DataF
     lists = rows.groupBy("token", "heavy").agg(F.min("part").alias("p0"), F.max("part").alias("p1"))
     spread = rows.join(lists.filter("p0 < p1").select("token", "heavy"), ["token", "heavy"], "left_semi")
     need = F.when(F.col("heavy"), _spread_need(F.col("n"), percent)).otherwise(1)
-    open_ = spread.groupBy("class", "heavy").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.count(F.lit(1)).alias("many"))
-    open_ = materialised(open_.filter(F.col("many") >= need).groupBy("class").agg(F.first("n").alias("n"), F.first("part").alias("part")), "jaccard-open")
+    enough = spread.groupBy("class", "heavy").agg(F.first("n").alias("n"), F.first("part").alias("part"), F.count(F.lit(1)).alias("many"))
+    enough = enough.filter(F.col("many") >= need).groupBy("class").agg(F.first("n").alias("n"), F.first("part").alias("part"))
+    return materialised(
+        enough.join(centres, "class", "left").select("class", "n", "part", F.coalesce("centre", "class").alias("centre")), "jaccard-open"
+    )
+
 
+def _overlap(a: Column, b: Column, percent: int = PERCENT) -> Column:
+    """Shingles that two sets of these sizes must share to link."""
+    return F.ceil((a + b) * percent / (100 + percent))
+
+
+def _limit(a: Column, b: Column, percent: int = PERCENT) -> Column:
+    """Shingles that only one of two linked sets of these sizes may have."""
+    return a + b - 2 * _overlap(a, b, percent)
+
+
+def about_centre(apart: DataFrame, open_: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of classes of one cluster that may link, found by what sets them apart from its centre C.
+
+    A xor B = (A xor C) xor (B xor C), so the two link only if so many shingles of their differences are common that what is left fits
+    the limit. Where one of them does not link with C, at least one is common: A xor C alone is larger than the limit leaves. (Where both
+    do, they are in one component.) A shingle that no other difference has sets the two apart, and so does each that comes before the
+    first common one in the order of both, rarest first. So random edits, which are alone in their difference, leave no pair.
+    """
+    rows = apart.join(open_.select(F.col("class").alias("o_class"), "n", "part"), F.col("class") == F.col("o_class")).drop("o_class")
+    whole = Window.partitionBy("centre", "token")
+    rows = rows.withColumn("df", F.count(F.lit(1)).over(whole)).withColumn("own", F.count_if("linked").over(whole)).filter("df > 1 AND own < df")
+    own = Window.partitionBy("class")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("df", "token")) - 1).withColumn(
+        "alone", F.col("differing") - F.count(F.lit(1)).over(own)
+    )
+    widest = F.floor(F.col("n") * 100 / percent)
+    kept = rows.filter(F.col("place") + F.col("alone") <= _limit(F.col("n"), widest, percent)).drop("df", "own")
+    kept = materialised(kept, "jaccard-about")
+    other = kept.select(*[F.col(c).alias(f"{c}_2") for c in kept.columns])
+    left = _limit(F.col("n"), F.col("n_2"), percent) - F.col("alone") - F.col("alone_2")
+    return kept.join(
+        other, (F.col("centre") == F.col("centre_2")) & (F.col("token") == F.col("token_2")) & (F.col("class") < F.col("class_2"))
+        & (F.col("part") != F.col("part_2")) & ~(F.col("linked") & F.col("linked_2")) & (F.col("place") + F.col("place_2") <= left)
+        & (F.abs(F.col("differing") - F.col("differing_2")) <= _limit(F.col("n"), F.col("n_2"), percent))
+        & _similar_sizes(F.col("n"), F.col("n_2"), percent),
+    ).select(F.col("class").alias("b"), F.col("class_2").alias("a")).distinct()
+
+
+def across(open_: DataFrame, own_sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of classes of different components and clusters that may link.
+
+    The classes are compared on their whole sets, of which only the shingles count that two clusters have: a class keeps the rarest
+    of these, so many that a partner with which it shares enough must have one of them, and it goes if it has fewer than it must
+    share. Two classes are a pair only if they would link even if all shared shingles of the one with fewer were the other's too:
+    their other shingles count as different, which they are.
+    """
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "shingles", _SLICE):
             raw = b.column("shingles").to_pylist()
             size = np.array([len(r) // 8 for r in raw], np.int64)
-            rows = {c: pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in ("class", "n", "part")}
+            rows = {c: pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in ("class", "n", "part", "centre")}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_signed(np.frombuffer(b"".join(raw), np.uint64))), *rows.values()], names=["token", *rows]
             )
 
-    whole = own_sets.join(open_.hint("merge"), "class").select("class", "n", "part", "shingles").mapInArrow(
-        spell, "token long, class long, n long, part long"
+    whole = own_sets.join(open_.hint("merge"), "class").select("class", "n", "part", "centre", "shingles").mapInArrow(
+        spell, "token long, class long, n long, part long, centre long"
     )
     of_token = Window.partitionBy("token")
-    whole = whole.withColumn("p0", F.min("part").over(of_token)).withColumn("p1", F.max("part").over(of_token)).withColumn(
-        "df", F.count(F.lit(1)).over(of_token)).filter("p0 < p1").drop("p0", "p1")
+    whole = whole.withColumn("c0", F.min("centre").over(of_token)).withColumn("c1", F.max("centre").over(of_token)).withColumn(
+        "df", F.count(F.lit(1)).over(of_token)).filter("c0 < c1").drop("c0", "c1")
     whole = materialised(whole, "jaccard-spread")
     # A class that was read twice, its document being a repeated row, keeps twice as many rows, so still all it must.
     own = Window.partitionBy("class")
@@ -365,23 +458,20 @@ def across(shared: DataFrame, able: DataFrame, parts: DataFrame, own_sets: DataF
     kept = (
         whole.withColumn("rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("many", F.count(F.lit(1)).over(own))
         .filter(F.col("rank") <= F.col("many") - least + 1)
-        .groupBy("class", "n", "part", F.least("many", "n").alias("m"))
+        .groupBy("class", "n", "part", "centre", F.least("many", "n").alias("m"))
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("list"))
         .withColumn("list", F.array_distinct(F.col("list.token")))
         .select("*", F.explode("list").alias("token"))
     )
     kept = materialised(kept, "jaccard-across")
-    other = kept.select(*[F.col(c).alias(f"{c}_2") for c in ("token", "class", "n", "part", "m", "list")])
+    other = kept.select(*[F.col(c).alias(f"{c}_2") for c in ("token", "class", "n", "part", "centre", "m", "list")])
     can_link = F.least("m", "m_2") * 100 >= (F.col("n") - F.col("m") + F.col("n_2") - F.col("m_2") + F.greatest("m", "m_2")) * percent
     # Beyond the list of the class whose list ends first, fewer shingles are left than it must share.
     both = F.array_intersect("list", "list_2")
-    overlap = F.ceil((F.col("n") + F.col("n_2")) * percent / (100 + percent))
     most = F.greatest(*[F.floor((F.col(c) * percent + 99) / 100) for c in ("n", "n_2")])
-    enough = F.size(both) >= overlap - most + 1
+    enough = F.size(both) >= _overlap(F.col("n"), F.col("n_2"), percent) - most + 1
     # Of all lists that a pair has in common the first makes the pair, so each comes once.
     return kept.join(
         other, (F.col("token") == F.col("token_2")) & (F.col("class") < F.col("class_2")) & (F.col("part") != F.col("part_2"))
-        & can_link & enough & (F.get(both, F.lit(0)) == F.col("token")),
+        & (F.col("centre") != F.col("centre_2")) & can_link & enough & (F.get(both, F.lit(0)) == F.col("token")),
     ).select(F.col("class").alias("b"), F.col("class_2").alias("a"))
-
-

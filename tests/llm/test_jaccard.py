@@ -140,3 +140,38 @@ def test_each_class_finds_one_text(spark):
     wanted = keyed.select(F.col("rep_key").alias("class"), F.col("doc_id").alias("rep"), "rep_key", "rep_rows")
     got = jaccard.class_texts(docs, wanted).withColumn("own", F.xxhash64("text") == F.col("class")).collect()
     assert len(got) == wanted.count() == 61 and all(r.own for r in got)
+
+
+def near_copies(seed, n, words, edits):
+    """A text and copies with so many words replaced that most copies link with the text but not with each other, or barely."""
+    rng = random.Random(seed)
+    base = [f"b{seed}x{i}" for i in range(words)]
+    texts = [" ".join(base)]
+    for k in range(n):
+        copy = list(base)
+        for i in rng.sample(range(words), rng.choice(edits)):
+            copy[i] = f"e{seed}x{k}x{i}"
+        if rng.random() < 0.2:
+            del copy[rng.randrange(len(copy)) :][: rng.randint(0, 5)]
+        texts.append(" ".join(copy))
+        if rng.random() < 0.15:  # a copy of the copy
+            copy[rng.randrange(len(copy))] = f"again{k}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_near_copies_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    texts = near_copies(1, 300, 140, [2, 3, 4, 4, 5, 5, 6]) + near_copies(2, 60, 60, [1, 2, 3])
+    rows = [(i, t) for i, t in enumerate(random.Random(4).sample(texts, len(texts)))]
+    made = []
+    inside = jaccard.about_centre
+    monkeypatch.setattr(jaccard, "about_centre", lambda *a: (lambda df: (made.append(df.count()), df)[1])(inside(*a)))
+    outside = jaccard.across
+    monkeypatch.setattr(jaccard, "across", lambda *a: (lambda df: (made.append(df.count()), df)[1])(outside(*a)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_similar(docs).collect()), key=str)
+    want = brute(rows)
+    assert got == want
+    groups = len({c for _, _, c in want})
+    assert groups > 100  # most texts stay alone
+    assert sum(made) < 4 * len(rows), made
