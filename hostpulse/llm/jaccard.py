@@ -268,13 +268,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, per_task
 
 def differences(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """class, centre, differing, linked, token: for each pair (a, b), with b as the centre, a row for every shingle that only one of the
-    two has; how many these are, and whether the two link."""
+    two has; how many these are, and whether the two link. Sets that are not near, which differ in more shingles than a has, have no rows."""
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for met in _compared(batches):
             own: list[list] = [[], [], [], []]
             tokens = []
             for a, b, s, c, same in met:
                 both = int(same.sum())
+                if len(c) > 2 * both:
+                    continue
                 apart = np.setxor1d(s, c, assume_unique=True)
                 tokens.append(apart)
                 for column, value in zip(own, (a, b, len(apart), 100 * both >= percent * (len(s) + len(c) - both))):
@@ -327,9 +329,12 @@ def join_similar(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = materialised(verified(first, own_sets, percent), "jaccard-links")
     parts = components(links, "jaccard-parts")
     open_ = open_classes(shared, able, parts, clusters(first), percent)
-    apart = materialised(
-        differences(open_.filter("class <> centre").select(F.col("class").alias("a"), F.col("centre").alias("b")), own_sets, percent), "jaccard-apart"
-    )
+    # A cluster with one such class has no pair of them. Classes that are not near their centre are left to the search across clusters.
+    several = open_.groupBy("centre").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("centre")
+    members = open_.filter("class <> centre").join(several, "centre", "left_semi")
+    apart = materialised(differences(members.select(F.col("class").alias("a"), F.col("centre").alias("b")), own_sets, percent), "jaccard-apart")
+    near = apart.groupBy("class").agg(F.first("centre").alias("near"))
+    open_ = open_.join(near, "class", "left").select("class", "n", "part", F.coalesce("near", "class").alias("centre"))
     # Pairs within a cluster and those across clusters, and the links to the centres.
     pairs = about_centre(apart, open_, percent).unionByName(across(open_, own_sets, percent))
     rest = verified(pairs, own_sets, percent).unionByName(
@@ -408,15 +413,15 @@ def about_centre(apart: DataFrame, open_: DataFrame, percent: int = PERCENT) ->
     do, they are in one component.) A shingle that no other difference has sets the two apart, and so does each that comes before the
     first common one in the order of both, rarest first. So random edits, which are alone in their difference, leave no pair.
     """
-    rows = apart.join(open_.select(F.col("class").alias("o_class"), "n", "part"), F.col("class") == F.col("o_class")).drop("o_class")
     whole = Window.partitionBy("centre", "token")
-    rows = rows.withColumn("df", F.count(F.lit(1)).over(whole)).withColumn("own", F.count_if("linked").over(whole)).filter("df > 1 AND own < df")
+    rows = apart.withColumn("df", F.count(F.lit(1)).over(whole)).withColumn("own", F.count_if("linked").over(whole)).filter("df > 1 AND own < df")
     own = Window.partitionBy("class")
+    rows = rows.drop("own").join(open_.select("class", "n", "part"), "class")
     rows = rows.withColumn("place", F.row_number().over(own.orderBy("df", "token")) - 1).withColumn(
         "alone", F.col("differing") - F.count(F.lit(1)).over(own)
     )
     widest = F.floor(F.col("n") * 100 / percent)
-    kept = rows.filter(F.col("place") + F.col("alone") <= _limit(F.col("n"), widest, percent)).drop("df", "own")
+    kept = rows.filter(F.col("place") + F.col("alone") <= _limit(F.col("n"), widest, percent)).drop("df")
     kept = materialised(kept, "jaccard-about")
     other = kept.select(*[F.col(c).alias(f"{c}_2") for c in kept.columns])
     left = _limit(F.col("n"), F.col("n_2"), percent) - F.col("alone") - F.col("alone_2")
