@@ -257,7 +257,8 @@ class _Block:
             if self.imputing:
                 fills, reach = np.full((len(b), dims), np.nan), np.full((len(b), dims), np.nan)
                 for t, target in enumerate(self.targets):
-                    total = np.where(many[:, t], self.point[own, t, :, target], 0.0).sum(axis=1)
+                    # Summed with spare digits, so that the order of the neighbours does not show.
+                    total = np.where(many[:, t], self.point[own, t, :, target], 0.0).astype(np.longdouble).sum(axis=1).astype(float)
                     with np.errstate(invalid="ignore"):
                         fills[:, target] = total / many[:, t].sum(axis=1)
                     reach[:, target] = distance[:, t, -1]

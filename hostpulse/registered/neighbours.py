@@ -58,7 +58,7 @@ def local_outlier_factor(t: Tables) -> DataFrame:
 _SHARED = " + ".join(f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in METRICS)
 _SQUARE = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in METRICS)
 _FILLS = ", ".join(
-    f"""fill_{i} AS (SELECT host, clock, avg(v) AS v FROM (SELECT host, clock, v{i} AS v, row_number() OVER (
+    f"""fill_{i} AS (SELECT host, clock, favg(v) AS v FROM (SELECT host, clock, v{i} AS v, row_number() OVER (
   PARTITION BY host, clock ORDER BY square / shared, other) AS rn FROM pairs WHERE q{i} IS NULL AND v{i} IS NOT NULL AND shared > 0)
   WHERE rn <= 5 GROUP BY ALL)"""
     for i, _ in enumerate(METRICS)

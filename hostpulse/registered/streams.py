@@ -12,7 +12,7 @@ from hostpulse.registered.ingest import _PARSED_SQL
 from hostpulse.session import shared_dir
 from hostpulse.sources import ingest, samples
 from hostpulse.sources.tables import AS_OF, Tables, base_samples
-from hostpulse.streaming import pipelines
+from hostpulse.streaming import alerts, pipelines
 
 
 def _lines(t: Tables) -> DataFrame:
@@ -115,7 +115,7 @@ def streamed_scoring(t: Tables) -> DataFrame:
     )
 
 
-@query("M6", """
+_STATES_SQL = """
 WITH evaluations AS (SELECT host, slot AS clock, max(value) AS value FROM (SELECT *, clock - clock % 300 AS slot FROM base)
   WHERE slot + 300 <= (SELECT max(clock) - 600 FROM base) GROUP BY host, slot),
 marked AS (SELECT *, value > 20 AS high,
@@ -123,7 +123,10 @@ marked AS (SELECT *, value > 20 AS high,
 runs AS (SELECT *, min(clock) FILTER (high) OVER (PARTITION BY host, ok_clock) AS start FROM marked)
 SELECT host, clock, value, CASE WHEN NOT high THEN 'ok' WHEN clock - start >= 3600 THEN 'firing' ELSE 'pending' END AS state
 FROM runs
-""")
+"""
+
+
+@query("M6", _STATES_SQL)
 def streamed_alert_states(t: Tables) -> DataFrame:
     """Five-minute maxima from the stream, judged batch by batch."""
     highest = pipelines.windowed(
@@ -133,3 +136,17 @@ def streamed_alert_states(t: Tables) -> DataFrame:
     write = pipelines.alert_states(t.spark, carried, out, limit=20, hold=3600)
     pipelines.finished(pipelines.write_batches(highest, write, shared_dir(t.spark, "states-checkpoint")))
     return t.spark.read.parquet(out).select("host", "clock", "value", "state")
+
+
+@query("M6", _STATES_SQL)
+def streamed_held_rule(t: Tables) -> DataFrame:
+    """The same evaluations judged by one stateful operator, whose runs live in the state store."""
+    highest = pipelines.windowed(
+        _points(t).select("host", "clock", "value"), "5m", "max", by=("host",)
+    ).select("host", F.col("window_start").alias("clock"), "value")
+    stored = shared_dir(t.spark, "evaluations")
+    pipelines.finished(pipelines.write_files(highest, stored, shared_dir(t.spark, "evaluations-checkpoint")))
+    evaluations = t.spark.readStream.schema("host string, clock bigint, value double").parquet(stored)
+    with alerts.state_store(t.spark):
+        states = _run_to_files(t, alerts.held_rule(evaluations, limit=20, hold=3600), "held-rule")
+    return states.where("state <> 'silent'").select("host", "clock", "value", "state")
