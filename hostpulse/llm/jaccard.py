@@ -445,18 +445,18 @@ def across(open_: DataFrame, own_sets: DataFrame, percent: int = PERCENT) -> Dat
         for b in pieces(batches, "shingles", _SLICE):
             raw = b.column("shingles").to_pylist()
             size = np.array([len(r) // 8 for r in raw], np.int64)
-            rows = {c: pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in ("class", "n", "part", "centre")}
+            rows = {c: pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in ("class", "centre")}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_signed(np.frombuffer(b"".join(raw), np.uint64))), *rows.values()], names=["token", *rows]
             )
 
-    whole = own_sets.join(open_.hint("merge"), "class").select("class", "n", "part", "centre", "shingles").mapInArrow(
-        spell, "token long, class long, n long, part long, centre long"
+    whole = own_sets.join(open_.hint("merge"), "class").select("class", "centre", "shingles").mapInArrow(
+        spell, "token long, class long, centre long"
     )
     of_token = Window.partitionBy("token")
     whole = whole.withColumn("c0", F.min("centre").over(of_token)).withColumn("c1", F.max("centre").over(of_token)).withColumn(
-        "df", F.count(F.lit(1)).over(of_token)).filter("c0 < c1").drop("c0", "c1")
-    whole = materialised(whole, "jaccard-spread")
+        "df", F.count(F.lit(1)).over(of_token)).filter("c0 < c1").drop("c0", "c1", "centre")
+    whole = materialised(whole, "jaccard-spread").join(open_.hint("merge"), "class")
     # A class that was read twice, its document being a repeated row, keeps twice as many rows, so still all it must.
     own = Window.partitionBy("class")
     least = F.floor((F.col("n") * percent + 99) / 100)
