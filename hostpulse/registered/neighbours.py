@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostpulse.functions.numeric import clean_map
-from hostpulse.operators import cleaning, ensemble, isolation, neighbours, quality
+from hostpulse.operators import cleaning, ensemble, isolation, neighbours, quality, separation
 from hostpulse.plans import detection
 from hostpulse.registered import query, rounded
 from hostpulse.registered.cleaning import FILLED_WIDE
@@ -127,6 +127,24 @@ def detection_silhouette(t: Tables) -> DataFrame:
     return rounded(ensemble.silhouette(flags, METRICS), "silhouette_score")
 
 
+@query("D13", f"""
+WITH {FILLED_WIDE},
+busy_full_rows AS (SELECT host, clock, {', '.join(f'coalesce({c}, 0) AS {c}' for c in METRICS)}, CASE WHEN {METRICS[0]} > 20 THEN 1 ELSE 0 END AS high FROM filled),
+busy_sizes AS (SELECT host, count(*) AS n, sum(high) AS ones FROM busy_full_rows GROUP BY host),
+busy_sums AS (SELECT a.host, a.clock, any_value(a.high) AS high, sum({_DISTANCE}) FILTER (a.high = b.high) AS own, sum({_DISTANCE}) FILTER (a.high <> b.high) AS other
+  FROM busy_full_rows a JOIN busy_full_rows b ON a.host = b.host GROUP BY a.host, a.clock),
+busy_means AS (SELECT s.*, CASE WHEN high = 1 THEN ones ELSE n - ones END AS k, n FROM busy_sums s JOIN busy_sizes USING (host) WHERE n > 10 AND ones BETWEEN 1 AND n - 1),
+busy_scores AS (SELECT host, CASE WHEN k = 1 OR greatest(own, other) = 0 THEN 0 ELSE (other / (n - k) - own / (k - 1)) / greatest(other / (n - k), own / (k - 1)) END AS s FROM busy_means)
+SELECT z.host, CAST(z.n AS BIGINT) AS rows, round(m.score, 6) AS silhouette_score
+FROM busy_sizes z LEFT JOIN (SELECT host, avg(s) AS score FROM busy_scores GROUP BY host) m ON z.host = m.host
+""")
+def separation_of_busy_rows(t: Tables) -> DataFrame:
+    """How far the hours of a busy processor lie from the others, per host, by true distances."""
+    full = _full(t)
+    busy = full.withColumn("high", F.when(F.col(METRICS[0]) > 20, 1).otherwise(0))
+    return rounded(separation.silhouette(busy, METRICS, "high"), "silhouette_score")
+
+
 @query("I11, E12")
 def contamination_search(t: Tables) -> DataFrame:
     training = materialised(detection.training_frame(t.written("wide"), METRICS), "training")
