@@ -244,3 +244,6 @@ QUALITY_IQR_FACTOR = 3.0
 
 # Forecast minimum rows (additive, autoregressive) per forecaster generation.
 MIN_FORECAST_ROWS = {"profiled": (20, 30), "plain": (10, 50)}
+
+#: Older versions of a model that stay beside the latest.
+MODEL_BACKUPS = 5

@@ -9,17 +9,49 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostpulse.functions import fixed_values as fixed
 from hostpulse.functions.labels import severity
 
 
+#: Ranges of the hash in which rows are counted before any are ranked.
+HASH_RANGES = 4096
+
+
 def stratified_split(df: DataFrame, label: str, order: Sequence[str], test_tenths: int = 2, seed: int = 42) -> DataFrame:
-    """Add ``part``: about a fifth of each class tests. Rows are placed by hash, so no class is ranked in one task."""
-    draw = F.pmod(F.xxhash64(*order, label, F.lit(seed)), F.lit(1000))
-    return df.withColumn("part", F.when(draw < test_tenths * 100, "test").otherwise("train"))
+    """Add ``part``: the rounded fifth of each class tests, halves up; the rest trains.
+
+    The test rows of a class are those with the least hashes. Rows are counted by ranges of the hash, whole ranges go to
+    one part, and only the range in which the fifth ends is ranked, so no class meets in one task. Ties by hash go by all columns;
+    what still ties is equal rows, of which it does not matter which. A null label is a class. Read the result from a
+    written table where several passes must agree on such rows.
+    """
+    taken = {c.lower() for c in df.columns}
+    h, at = (next(n for n in (stem, stem + "_", stem + "__") if n not in taken) for stem in ("_hash", "_range"))
+    drawn = df.withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in order], F.col(f"`{label}`"), F.lit(seed)))
+    drawn = drawn.withColumn(at, F.pmod(F.col(h), F.lit(HASH_RANGES)).cast("int"))
+    counts = drawn.groupBy(F.col(f"`{label}`").alias("b_label"), F.col(at).alias("b_range")).agg(F.count("*").alias("n"))
+    # At most HASH_RANGES rows a class.
+    per_class = Window.partitionBy("b_label")
+    summed = counts.withColumn("past", F.sum("n").over(per_class.orderBy("b_range"))).withColumn("total", F.sum("n").over(per_class))
+    wanted = F.floor((F.col("total") * test_tenths + 5) / 10)
+    border = (
+        summed.withColumn("wanted", wanted).where((F.col("past") - F.col("n") < F.col("wanted")) & (F.col("past") >= F.col("wanted")))
+        .select("b_label", "b_range", (F.col("wanted") - (F.col("past") - F.col("n"))).alias("b_take"))
+    )  # one row a class, none for a class whose fifth rounds to nothing
+    placed = drawn.join(F.broadcast(border), F.col(f"`{label}`").eqNullSafe(F.col("b_label")), "left")
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != "part"]
+    whole = placed.where(F.col("b_range").isNull() | (F.col(at) != F.col("b_range"))).select(
+        *columns, F.when(F.col(at) < F.col("b_range"), "test").otherwise("train").alias("part")
+    )
+    ties = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    rank = F.row_number().over(Window.partitionBy("b_label", at).orderBy(h, ties))
+    ranked = placed.where(F.col(at) == F.col("b_range")).withColumn("b_rank", rank).select(
+        *columns, F.when(F.col("b_rank") <= F.col("b_take"), "test").otherwise("train").alias("part")
+    )
+    return whole.unionByName(ranked)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

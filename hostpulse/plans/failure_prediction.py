@@ -35,7 +35,7 @@ def train(wide: DataFrame, metrics: Sequence[str], alerts: DataFrame, balance: s
         weight = None
     else:
         ready, weight = failures.class_weights(labelled, "failure"), "class_weight"
-    parts = failures.stratified_split(ready, "failure", ["host", *names[:3]])
+    parts = materialised(failures.stratified_split(ready, "failure", ["host", *names[:3]]), "failure-parts")
     classifier = failures.fit_classifier(parts.where(F.col("part") == "train"), names, "failure", weight)
     judged = failures.failure_scores(classifier, parts.where(F.col("part") == "test"))
     quality = ensemble.supervised_metrics(

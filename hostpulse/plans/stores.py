@@ -1,4 +1,4 @@
-"""Whole models in the registry: every table of a model under one version, with a row that describes it."""
+"""Whole models in the registry: every table of a model under one version, made visible by one commit."""
 
 from __future__ import annotations
 
@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from hostpulse.plans.detection import Detector
 from hostpulse.plans.failure_prediction import FailureModel
 from hostpulse.plans.forecasting import Forecasters
-from hostpulse.sources import registry
+from hostpulse.sources import commits
 
-#: The table of descriptions that ``registry_status`` and its like read.
-MODELS = "models"
 _TABLES = {
     "detector": ["scaling", "forest", "lof", "offsets", "baseline"],
     "failure": ["parameters", "metrics_on_test", "importances"],
@@ -21,29 +19,22 @@ _TABLES = {
 
 
 def _save(spark: SparkSession, model: object, kind: str, root: str, version: str, training: int, about: dict[str, list[str]]) -> None:
+    """Tables first, into a folder of this save alone; the commit makes them a version, at once and whole."""
+    folder = commits.attempt(kind)
     for name in _TABLES[kind]:
-        registry.save_version(getattr(model, name), root, f"{kind}-{name}", version)
-    row = [(kind, training, about.get("features"), about.get("metrics"))]
-    described = spark.createDataFrame(row, "model_name string, training_samples long, features array<string>, metrics array<string>")
-    # The description comes last: a version without one was never finished.
-    registry.save_version(described, f"{root}/{MODELS}", kind, version)
-
-
-def described(spark: SparkSession, root: str, kind: str, version: str | None = None) -> DataFrame:
-    return registry.load_version(spark, f"{root}/{MODELS}", kind, version)
+        getattr(model, name).write.parquet(f"{root}/{folder}/{name}")
+    if (classifier := getattr(model, "classifier", None)) is not None:
+        classifier.write().save(f"{root}/{folder}/classifier")
+    commits.commit(spark, root, kind, version, folder, training, **about)
 
 
 def catalogue(spark: SparkSession, root: str, kinds: list[str]) -> DataFrame:
-    """model_name, version, training_samples of every stored version of the named kinds."""
-    parts = [spark.read.parquet(f"{root}/{MODELS}/{k}").select("model_name", "version", "training_samples") for k in kinds]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """model_name, version, training_samples of every committed version of the named kinds."""
+    return commits.committed(spark, root, kinds).select("model_name", "version", "training_samples")
 
 
-def _tables(spark: SparkSession, root: str, kind: str, version: str) -> dict[str, DataFrame]:
-    return {n: registry.load_version(spark, root, f"{kind}-{n}", version).drop("version") for n in _TABLES[kind]}
+def _tables(spark: SparkSession, root: str, folder: str, kind: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{root}/{folder}/{n}") for n in _TABLES[kind]}
 
 
 def save_detector(spark: SparkSession, model: Detector, root: str, version: str, training: int) -> None:
@@ -51,21 +42,20 @@ def save_detector(spark: SparkSession, model: Detector, root: str, version: str,
 
 
 def load_detector(spark: SparkSession, root: str, version: str | None = None) -> Detector:
-    about = described(spark, root, "detector", version).first()
-    return Detector(features=list(about.features), **_tables(spark, root, "detector", about.version))
+    about = commits.manifest(spark, root, "detector", version)
+    return Detector(features=list(about.features), **_tables(spark, root, about.folder, "detector"))
 
 
 def save_failure_model(spark: SparkSession, model: FailureModel, root: str, version: str, training: int) -> None:
-    model.classifier.write().overwrite().save(f"{root}/failure-classifier/{version}")
     _save(spark, model, "failure", root, version, training, {"features": model.features, "metrics": model.metrics})
 
 
 def load_failure_model(spark: SparkSession, root: str, version: str | None = None) -> FailureModel:
-    about = described(spark, root, "failure", version).first()
-    classifier = PipelineModel.load(f"{root}/failure-classifier/{about.version}")
+    about = commits.manifest(spark, root, "failure", version)
+    classifier = PipelineModel.load(f"{root}/{about.folder}/classifier")
     return FailureModel(
         metrics=list(about.metrics), features=list(about.features), classifier=classifier,
-        **_tables(spark, root, "failure", about.version),
+        **_tables(spark, root, about.folder, "failure"),
     )
 
 
@@ -77,8 +67,8 @@ def load_forecasters(
     spark: SparkSession, root: str, version: str | None = None, metrics: list[str] | None = None
 ) -> Forecasters:
     """Stored forecasters, of the named metrics only where some are named."""
-    about = described(spark, root, "forecasters", version).first()
-    tables = _tables(spark, root, "forecasters", about.version)
+    about = commits.manifest(spark, root, "forecasters", version)
+    tables = _tables(spark, root, about.folder, "forecasters")
     if metrics is not None:
         tables = {n: t.where(F.col("measurement").isin(metrics)) for n, t in tables.items()}
     return Forecasters(**tables)

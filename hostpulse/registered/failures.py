@@ -44,6 +44,20 @@ def failure_recommendations(t: Tables) -> DataFrame:
     return advice.select("event_id", "risk_level", "action", "description", F.size("suggested_actions").alias("actions"))
 
 
+@query("K1", f"""
+WITH {_SCORED}, sized AS (SELECT risk_level, count(*) AS n, count(DISTINCT event_id) AS ids FROM scored GROUP BY ALL)
+SELECT risk_level, n AS rows, (2 * n + 5) // 10 AS test_rows, ids AS distinct_events FROM sized
+""")
+def stratified_parts(t: Tables) -> DataFrame:
+    """Rows of each class that test, exactly a fifth, rounded."""
+    given = failures.with_risk(t.scores.select("event_id", F.col("if_score").alias("failure_probability")))
+    parts = failures.stratified_split(given, "risk_level", ["event_id"])
+    return parts.groupBy("risk_level").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("part") == "test").alias("test_rows"),
+        F.countDistinct("event_id").alias("distinct_events"),
+    )
+
+
 def _labelled(t: Tables) -> DataFrame:
     full = cleaning.filled(t.written("wide"), METRICS, by=("host",))
     return materialised(intervals.label_failures(full, t.alert_times), "labelled")

@@ -108,6 +108,108 @@ def test_ridge_equals_least_squares():
     assert sigma == pytest.approx(0.1, rel=0.2)
 
 
+def _trend_problem(seed, turns=()):
+    """Normal equations of a noisy trend with the given (changepoint, slope change) pairs."""
+    rng = np.random.default_rng(seed)
+    clock = 1704067200 + np.arange(24 * 40) * 3600
+    x = additive.design(clock, clock[0], clock[-1], np.zeros(len(clock)))
+    beta = np.zeros(additive.WIDTH)
+    beta[:2] = 0.5, 0.2
+    beta[2 + additive.CHANGEPOINTS] = 0.1
+    for k, change in turns:
+        beta[2 + k] = change
+    y = x @ beta + rng.normal(0, 0.02, len(clock))
+    prior = np.concatenate([[5.0, 5.0], np.full(additive.CHANGEPOINTS, 0.05), np.full(additive.WIDTH - 2 - additive.CHANGEPOINTS, 10.0)])
+    sparse = np.zeros(additive.WIDTH, bool)
+    sparse[2 : 2 + additive.CHANGEPOINTS] = True
+    return x, y, prior, sparse
+
+
+@pytest.mark.parametrize("turns", [(), ((9, 1.5),), ((3, -0.8), (17, 1.1))])
+def test_slope_changes_are_optimal_under_laplace_priors(turns):
+    x, y, prior, sparse = _trend_problem(5, turns)
+    beta, sigma = additive.posterior_mode(x.T @ x, x.T @ y, float(y @ y), len(y), prior, sparse)
+    noise = sigma**2
+    slope = x.T @ (y - x @ beta)
+    d, pull = beta[sparse], slope[sparse] * prior[sparse] / noise
+    assert (np.abs(pull) <= 1.01).all()  # nothing that is zero would leave it
+    assert np.abs(pull[d != 0] - np.sign(d[d != 0])).max(initial=0) < 0.01  # the rest is where both slopes meet
+    np.testing.assert_allclose(slope[~sparse] / noise, (beta / prior**2)[~sparse], rtol=0.01, atol=0.5)
+    assert sigma == pytest.approx(0.02, rel=0.1)
+    if not turns:
+        assert (d == 0).sum() >= 20 and np.abs(d).sum() < 0.05  # noise alone moves few, and hardly
+    for k, change in turns:
+        assert d[max(k - 1, 0) : k + 2].sum() == pytest.approx(change, rel=0.25)
+    assert (d == 0).sum() >= 12
+
+
+def test_sparse_minimum_equals_a_search_over_all_signs():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        root, m = rng.normal(size=(6, 4)), rng.normal(size=4) * 2
+        g = root.T @ root
+
+        def value(d):
+            return d @ g @ d / 2 - m @ d + 0.7 * np.abs(d).sum()
+
+        best = 0.0
+        for signs in product((-1, 0, 1), repeat=4):
+            sign, on = np.array(signs, float), np.flatnonzero(signs)
+            d = np.zeros(4)
+            if len(on):
+                d[on] = np.linalg.solve(g[np.ix_(on, on)], m[on] - 0.7 * sign[on])
+            best = min(best, value(d))
+        assert value(additive.sparse_minimum(g, m, 0.7)) == pytest.approx(best, abs=1e-9)
+
+
+def test_band_widens_by_what_the_trend_may_do():
+    t = 1 + np.arange(1, 1201) / 960
+    low, high = additive.simulated_band(t, np.array([0.0] * 23 + [0.8, -0.8]), 0.02, 0.8, 7)
+    again = additive.simulated_band(t, np.array([0.0] * 23 + [0.8, -0.8]), 0.02, 0.8, 7)
+    assert (low == again[0]).all() and (high == again[1]).all()
+    width = high - low
+    assert width[:24].mean() == pytest.approx(2 * 1.2816 * 0.02, rel=0.1)
+    assert width[-24:].mean() > 3 * width[:24].mean() and width[600:624].mean() > 1.5 * width[:24].mean()
+    # Changes come at a known rate with a known variance, so the spread of the trend is known: rate * 2 s^2 * h^3 / 3.
+    reach = t[-1] - 1
+    std = np.sqrt(25 * 2 * 0.064**2 * reach**3 / 3 + 0.02**2)
+    assert width[-1] == pytest.approx(2 * 1.2816 * std, rel=0.15)
+    still = additive.simulated_band(t, np.zeros(25), 0.02, 0.8, 7)
+    assert (still[1] - still[0])[-24:].mean() == pytest.approx(2 * 1.2816 * 0.02, rel=0.1)
+
+
+def test_held_out_values_fall_into_the_band_as_often_as_promised():
+    inside = []
+    for seed in range(30):
+        x, y, prior, sparse = _trend_problem(100 + seed)
+        beta, sigma = additive.posterior_mode(x.T @ x, x.T @ y, float(y @ y), len(y), prior, sparse)
+        clock = 1704067200 + np.arange(24 * 40, 24 * 43) * 3600
+        ahead = additive.design(clock, 1704067200, 1704067200 + (24 * 40 - 1) * 3600, np.zeros(len(clock)))
+        truth = ahead[:, 0] * 0.5 + ahead[:, 1] * 0.2 + ahead[:, 2 + additive.CHANGEPOINTS] * 0.1
+        truth = truth + np.random.default_rng(seed).normal(0, 0.02, len(clock))
+        low, high = additive.simulated_band(ahead[:, 1], beta[sparse], sigma, 0.8, seed)
+        inside.append(((truth >= ahead @ beta + low) & (truth <= ahead @ beta + high)).mean())
+    assert np.mean(inside) == pytest.approx(0.8, abs=0.05)
+
+
+@pytest.mark.parametrize("ranges", [4096, 3])
+def test_each_class_gives_its_rounded_fifth(spark, monkeypatch, ranges):
+    monkeypatch.setattr(failures, "HASH_RANGES", ranges)
+    sizes = {0: 503, 1: 57, 2: 2, 3: 3, None: 13}
+    rows = [(c, i // 2, f"h{i % 3}") for c, n in sizes.items() for i in range(n)] + [(4, 1, "copy")] * 200
+    df = spark.createDataFrame(rows, "label int, x int, part string").repartition(5)
+    got = failures.stratified_split(df.withColumnRenamed("part", "host"), "label", ["host", "x"]).toPandas()
+    assert sorted(got.columns) == ["host", "label", "part", "x"] and len(got) == len(rows)
+    test = got[got["part"] == "test"].groupby("label", dropna=False).size()
+    for c, n in {**sizes, 4: 200}.items():
+        want = (2 * n + 5) // 10
+        have = test[test.index.isna()].sum() if c is None else test.get(c, 0)
+        assert have == want
+    assert failures.stratified_split(df.limit(0), "label", ["x"]).count() == 0
+
+
 def _known_series(hours=24 * 14):
     t = np.arange(hours)
     rng = np.random.default_rng(2)
