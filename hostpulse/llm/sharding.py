@@ -22,6 +22,8 @@ from hostpulse.session import materialised
 
 #: Ticks of the ring and virtual nodes a shard. Both bound what the driver places, whatever the rows.
 TICKS, NODES = 8_192, 64
+#: Parts of a tick: ranges of the key's hash, and of the whole row's in each.
+KEY_PARTS, ROW_PARTS = 256, 64
 
 
 def ring(shards: int, nodes: int = NODES, ticks: int = TICKS) -> list[tuple[int, int]]:
@@ -81,28 +83,37 @@ def assign_shards(
     Without slack the row counts of two shards differ by one at most; with it no shard exceeds (1 + slack) times the
     mean. A null key has a tick of its own like any value. Rows of one key may overflow to several shards, so a key
     that holds most rows is spread too. Repeated rows are rows of their own. Columns named shard or slot are replaced.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Shard and slot follow from the rows alone, however they are split over files
+    and tasks; only rows that are equal in all columns (by 64 bits of their hash) may change places.
     """
     rows = rows.drop(*[c for c in rows.columns if c.lower() in ("shard", "slot")])
-    tick, part, number = (fresh_name(rows, c) for c in ("tick", "part", "number"))
-    hashed = F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(ticks)).cast("int")
+    tick, part, content, source, number = (fresh_name(rows, c) for c in ("tick", "part", "content", "source", "number"))
+    of_key = F.xxhash64(F.col(f"`{key}`").cast("string"))
+    of_row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in rows.columns])
+    # Rows of a tick are in the order of fixed parts: ranges of the key's hash, then of the row's, so that a hot key has many.
+    at = F.shiftrightunsigned(of_key, 24).bitwiseAND(F.lit(KEY_PARTS - 1)) * ROW_PARTS + F.shiftrightunsigned(of_row, 32).bitwiseAND(F.lit(ROW_PARTS - 1))
     # Written first, so that a row keeps its number whatever is computed again. Only the small columns are ranked.
-    cut = materialised(
-        rows.withColumn(tick, hashed).withColumn(part, F.spark_partition_id()).withColumn(number, F.monotonically_increasing_id()), "sharding"
-    )
-    # Ranks count within (tick, read partition), so that no task holds all rows of a tick.
-    order = Window.partitionBy("tick", "part").orderBy("key", "number")
-    small = cut.select(F.col(tick).alias("tick"), F.col(part).alias("part"), F.col(number).alias("number"), F.col(f"`{key}`").cast("string").alias("key"))
-    ranked = small.withColumn("rank", F.row_number().over(order) - 1).drop("key")
-    sizes = small.groupBy("tick", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("tick").orderBy("part")) - F.col("n"))
-    totals = {t: n for t, n in sizes.groupBy("tick").agg(F.sum("n")).collect()}  # at most ``ticks`` rows
+    cut = materialised(rows.withColumns({
+        tick: F.pmod(of_key, F.lit(ticks)).cast("int"), part: at.cast("int"), content: of_row, source: F.spark_partition_id(),
+        number: F.monotonically_increasing_id(),
+    }), "sharding")
+    names = {"tick": tick, "part": part, "content": content, "source": source, "number": number}
+    small = cut.select(*[F.col(c).alias(n) for n, c in names.items()])
+    # Equal rows count once per read partition, so that many copies meet in no task.
+    same = ["tick", "part", "content", "source"]
+    sizes = small.groupBy(*same).agg(F.count(F.lit(1)).alias("n"))
+    parts = sizes.groupBy("tick", "part").agg(F.sum("n").alias("m"))
+    ahead = parts.select("tick", "part", (F.sum("m").over(Window.partitionBy("tick").orderBy("part")) - F.col("m")).alias("ahead"))
+    within = F.sum("n").over(Window.partitionBy("tick", "part").orderBy("content", "source")) - F.col("n")
+    before = sizes.withColumn("within", within).join(ahead, ["tick", "part"]).select(*same, (F.col("ahead") + F.col("within")).alias("before"))
+    ranked = small.withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy("number")) - 1)
+    totals = {t: n for t, n in parts.groupBy("tick").agg(F.sum("m")).collect()}  # at most ``ticks`` rows
     ranges = rows.sparkSession.createDataFrame(
         place(totals, shards, slack, nodes, ticks), "r_tick int, r_from long, r_to long, shard int, r_slot long"
     )  # at most ticks + shards rows
     spot = F.col("before") + F.col("rank")
     placed = (
-        ranked.join(before.drop("n"), ["tick", "part"])
+        ranked.join(before, same)
         .join(F.broadcast(ranges), (F.col("tick") == F.col("r_tick")) & (spot >= F.col("r_from")) & (spot < F.col("r_to")))
         .select(F.col("number").alias("p_number"), "shard", (F.col("r_slot") + spot - F.col("r_from")).alias("slot"))
     )
