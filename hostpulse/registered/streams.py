@@ -10,7 +10,7 @@ from hostpulse.registered import query, rounded
 from hostpulse.registered.anomalies import BASELINE, fitted
 from hostpulse.registered.ingest import _PARSED_SQL
 from hostpulse.session import shared_dir
-from hostpulse.sources import ingest, samples
+from hostpulse.sources import ingest, samples, upserts
 from hostpulse.sources.tables import AS_OF, Tables, base_samples
 from hostpulse.streaming import alerts, pipelines
 
@@ -89,6 +89,18 @@ def streamed_dedupe(t: Tables) -> DataFrame:
     )
 
 
+@query("M2, A6, M1", "SELECT host, measurement, clock, arg_max(value, event_id) AS value FROM base GROUP BY ALL")
+def streamed_upserts(t: Tables) -> DataFrame:
+    """A first delivery with other values, then the stream of the true ones: the store holds the last."""
+    path = shared_dir(t.spark, "upserts")
+    columns = ["event_id", "host", "measurement", "clock", "value"]
+    upserts.upsert(t.base.select(*columns).withColumn("value", F.col("value") - 1), path, "event_id", writer="export", batch=0)
+    pipelines.finished(pipelines.write_batches(
+        _points(t).select(*columns), pipelines.upserts(path, "event_id"), shared_dir(t.spark, "upserts-checkpoint")
+    ))
+    return upserts.read(t.spark, path).select("host", "measurement", "clock", "value")
+
+
 @query("M4", """
 SELECT host, measurement, window_start, window_start + 3600 AS window_end, round(avg(value), 6) AS value
 FROM (SELECT *, clock - clock % 3600 AS window_start FROM base)

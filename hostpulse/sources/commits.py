@@ -41,6 +41,40 @@ def _manifests(root: str, kind: str) -> str:
     return f"{root.rstrip('/')}/commits/{kind}"
 
 
+def put_once(spark: SparkSession, path: str, content: str) -> bool:
+    """Put a file in place whole, unless one is there: then False. It is written under a hidden name and renamed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    final = _path(spark, path)
+    draft = _path(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    files = final.getFileSystem(conf)
+    out = files.create(draft, False)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    no_overwrite = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(draft, final, no_overwrite)
+    except Py4JJavaError as failure:
+        files.delete(draft, False)
+        if "FileAlreadyExistsException" not in failure.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, hidden ones left out; none where there is no folder."""
+    files, place = _system(spark, path), _path(spark, path)
+    if not files.exists(place):
+        return []
+    return sorted(n for s in files.listStatus(place) if (n := s.getPath().getName())[0] not in "._")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    _system(spark, path).delete(_path(spark, path), True)
+
+
 def attempt(kind: str) -> str:
     """A fresh folder for one save, relative to the root."""
     return f"{kind}/{uuid.uuid4().hex}"
@@ -58,24 +92,9 @@ def commit(
         "model_name": kind, "version": version, "training_samples": training, "folder": folder,
         "features": None if features is None else list(features), "metrics": None if metrics is None else list(metrics),
     })
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    final = _path(spark, f"{_manifests(root, kind)}/{quote(version, safe='')}.json")
-    draft = _path(spark, f"{_manifests(root, kind)}/.{uuid.uuid4().hex}")  # hidden from readers
-    files = final.getFileSystem(conf)
-    out = files.create(draft, False)
-    try:
-        out.write(bytearray(line.encode()))
-    finally:
-        out.close()
-    keep_both = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
-    try:
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(draft, final, keep_both)
-    except Py4JJavaError as failure:
-        files.delete(draft, False)
-        if "FileAlreadyExistsException" not in failure.java_exception.getClass().getName():
-            raise
-        files.delete(_path(spark, f"{root}/{folder}"), True)
-        raise VersionExists(f"{kind} {version} is committed already") from None
+    if not put_once(spark, f"{_manifests(root, kind)}/{quote(version, safe='')}.json", line):
+        _system(spark, root).delete(_path(spark, f"{root}/{folder}"), True)
+        raise VersionExists(f"{kind} {version} is committed already")
     retain(spark, root, kind, backups)
 
 

@@ -17,6 +17,7 @@ from hostpulse.operators import baseline as detectors
 from hostpulse.operators.aggregates import _aggregate, window_seconds
 from hostpulse.operators.indicators import alert_state
 from hostpulse.sources import ingest
+from hostpulse.sources import upserts as upserting
 
 AVAILABLE_NOW = {"availableNow": True}
 EVERY_MINUTE = {"processingTime": "60 seconds"}
@@ -56,7 +57,7 @@ def deduplicated(points: DataFrame, delay: str = "10 minutes", keys: Sequence[st
     """Drop samples that overlapping exports delivered again. State is kept for ``delay`` only.
 
     The first delivery stays, while the store's own rule keeps the last: replays are taken to be
-    identical. Where they are not, write through ``operators.dedupe`` instead.
+    identical. Where they are not, write with ``upserts``.
     """
     return with_event_time(points, delay).dropDuplicatesWithinWatermark(list(keys))
 
@@ -119,6 +120,16 @@ def split_routes(stored_path: str, quarantine_path: str) -> Callable[[DataFrame,
     return write
 
 
+def upserts(path: str, order: str, keys: Sequence[str] = upserting.KEYS, writer: str = "stream") -> Callable[[DataFrame, int], None]:
+    """Batch writer by the store's overwrite rule: of a key the last delivery stays, within a batch by ``order``. A repeated
+    batch changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upserting.upsert(batch, path, order, keys, writer, batch_id)
+
+    return write
+
+
 def alert_states(
     spark: SparkSession, carried_path: str, out_path: str, limit: float, hold: int, by: str = "host"
 ) -> Callable[[DataFrame, int], None]:
