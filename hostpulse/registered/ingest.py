@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hostpulse.functions import text
 from hostpulse.registered import query
 from hostpulse.session import shared_dir
-from hostpulse.sources import export, ingest, samples
+from hostpulse.sources import export, ingest, lines, samples
 from hostpulse.sources.tables import AS_OF, METRICS, SAMPLE_TYPE, Tables
 
 WEEK = 7 * 86400
@@ -167,6 +167,20 @@ def line_protocol_sink(t: Tables) -> DataFrame:
     )
 
 
+@query("A1, A6", _PARSED_SQL + """
+SELECT name AS measurement, regexp_replace(hostname, '[^a-zA-Z0-9_-]', '_', 'g') AS host, itemid AS item_id, 'numeric' AS data_type,
+       regexp_replace(units, '[^a-zA-Z0-9_%]', '_', 'g') AS unit, clock,
+       CASE table_type WHEN 'history' THEN value ELSE trunc(value) END AS value
+FROM routed WHERE route = 'stored' AND clock >= 1706659200 - 168 * 3600 AND clock < 1706659200
+""")
+def line_protocol_source(t: Tables) -> DataFrame:
+    """Points written as dated lines and read back for one week; the bounds prune day folders."""
+    path = shared_dir(t.spark, "dated-lines")
+    lines.write_dated(ingest.stored_points(ingest.route_events(ingest.parse_events(t.raw))), path)
+    week = lines.read(t.spark, path, AS_OF - 168 * 3600, AS_OF)
+    return lines.points(week).select("measurement", "host", "item_id", "data_type", "unit", "clock", "value")
+
+
 @query("A6, A1", _PARSED_SQL + """
 SELECT measurement, CAST(to_timestamp(clock) AS DATE)::VARCHAR AS date, count(*) AS points,
        round(sum(CASE table_type WHEN 'history' THEN value ELSE trunc(value) END), 6) AS total

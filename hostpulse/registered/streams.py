@@ -10,7 +10,7 @@ from hostpulse.registered import query, rounded
 from hostpulse.registered.anomalies import BASELINE, fitted
 from hostpulse.registered.ingest import _PARSED_SQL
 from hostpulse.session import shared_dir
-from hostpulse.sources import ingest, samples, upserts
+from hostpulse.sources import ingest, lines, samples, upserts
 from hostpulse.sources.tables import AS_OF, Tables, base_samples
 from hostpulse.streaming import alerts, pipelines
 
@@ -78,6 +78,18 @@ def streamed_store_scan(t: Tables) -> DataFrame:
     )
 
 
+@query("A1, A6, M1", _PARSED_SQL + """
+SELECT name AS measurement, regexp_replace(hostname, '[^a-zA-Z0-9_-]', '_', 'g') AS host, itemid AS item_id, clock,
+       CASE table_type WHEN 'history' THEN value ELSE trunc(value) END AS value FROM routed WHERE route = 'stored'
+""")
+def streamed_line_source(t: Tables) -> DataFrame:
+    """Dated lines read as a stream and stored as points."""
+    path = shared_dir(t.spark, "dated-lines")
+    lines.write_dated(ingest.stored_points(ingest.route_events(ingest.parse_events(t.raw))), path)
+    points = lines.points(lines.stream(t.spark, path)).select("measurement", "host", "item_id", "clock", "value")
+    return _run_to_files(t, points, "line-points")
+
+
 @query("M2", "SELECT DISTINCT host, itemid, clock, 1 AS copies FROM base")
 def streamed_dedupe(t: Tables) -> DataFrame:
     """Every sample delivered twice; one row per item and second remains."""

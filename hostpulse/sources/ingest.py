@@ -81,8 +81,8 @@ def quarantined(routed: DataFrame) -> DataFrame:
     return routed.where(F.col("route") != STORED)
 
 
-def line_protocol(points: DataFrame) -> DataFrame:
-    """One text line per point: name and tags, the value field, the epoch second."""
+def line_protocol(points: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One text line per point: name and tags, the value field, the epoch second. ``keep`` names columns to carry along."""
     tags = F.concat_ws(
         ",",
         F.col("measurement"),
@@ -92,7 +92,7 @@ def line_protocol(points: DataFrame) -> DataFrame:
         F.concat(F.lit("unit="), F.col("unit")),
     )
     field = F.concat(F.lit("value="), F.col("value").cast("string"))
-    return points.select(F.concat_ws(" ", tags, field, F.col("clock").cast("string")).alias("line"))
+    return points.select(F.concat_ws(" ", tags, field, F.col("clock").cast("string")).alias("line"), *keep)
 
 
 def write_lines(points: DataFrame, path: str, batch: str = "0") -> None:
