@@ -87,8 +87,12 @@ def feature_importances(model: PipelineModel, df: DataFrame, features: Sequence[
 
 
 def failure_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Probability, prediction, risk and hours to failure per row."""
-    scored = model.transform(df).withColumn("failure_probability", vector_to_array("probability")[1])
+    """Probability, prediction, risk and hours to failure per row.
+
+    A forest that has met no failure knows class 0 alone: its vectors end there, and the probability of a failure is 0.
+    """
+    failing = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
+    scored = model.transform(df).withColumn("failure_probability", failing)
     out = scored.withColumn("failure_prediction", F.col("prediction").cast("int"))
     return with_risk(out.drop("features", "rawPrediction", "probability", "prediction"))
 
