@@ -45,18 +45,17 @@ def rolling_lag_set(
 ) -> DataFrame:
     """Rolling statistics in time, calendar, changes, lags and ratios; rows with any gap dropped.
 
-    All windows share one partitioning and ordering, hence one shuffle and one sort.
+    Changes and lags share one partitioning and ordering; the windows in time have a shorter one of their own.
     """
     w = chunks.chunk_window(by, clock)
-    seconds = max(chunks.CHUNK_SECONDS, max(minutes) * 60)
-    reach = chunks.halo(wide, by, clock, before=max(periods), look_back=max(minutes) * 60 - 1, seconds=seconds)
-    made = reach.select(
+    made = chunks.without_halo(chunks.halo(wide, by, clock, before=max(periods)).select(
         "*",
-        *[x for c in columns for x in windows.time_rolling_columns(w, c, minutes)],
         *[x for c in columns for x in windows.change_columns(w, c, "rate_change")],
         *[x for c in columns for x in windows.lag_columns(w, c, periods)],
-    )
-    full = chunks.without_halo(made).select(
+    ))
+    rolled = windows.rolling_by_time(made, columns, minutes, by, clock)
+    ordered = [*wide.columns, *rolled.columns[len(made.columns):], *made.columns[len(wide.columns):]]
+    full = rolled.select(*ordered).select(
         "*", *calendar.calendar_features(F.col(clock), hour_name="hour_of_day"), *pair_ratios(columns)
     )
     doubles = [c for c, t in full.dtypes if t == "double"]
