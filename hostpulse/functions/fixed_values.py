@@ -1,10 +1,7 @@
 """Values that results depend on, stated once. Everything else imports them from here."""
 
 # Name and tag cleaning patterns.
-BAD_NAME_CHARACTER = r"[^a-zA-Z0-9_]"
-REPEATED_UNDERSCORE = r"__+"
-LEADING_UNDERSCORE = r"^_+"
-TRAILING_UNDERSCORE = r"_+$"
+BETWEEN_NAME_PARTS = r"[^a-zA-Z0-9]+"
 BAD_HOST_CHARACTER = r"[^a-zA-Z0-9_-]"
 BAD_UNIT_CHARACTER = r"[^a-zA-Z0-9_%]"
 UNKNOWN_MEASUREMENT = "unknown_metric"

@@ -13,11 +13,11 @@ def _present(c: Column) -> Column:
 
 
 def measurement_name(key: Column) -> Column:
-    """Item key to a measurement name; a missing key becomes a placeholder name."""
-    name = F.regexp_replace(key, fixed.BAD_NAME_CHARACTER, "_")
-    name = F.regexp_replace(name, fixed.REPEATED_UNDERSCORE, "_")
-    name = F.regexp_replace(name, fixed.LEADING_UNDERSCORE, "")
-    name = F.regexp_replace(name, fixed.TRAILING_UNDERSCORE, "")
+    """Item key to a measurement name; a missing key becomes a placeholder name.
+
+    Bad characters become underscores, of which runs become one and outer ones none: one pattern for both.
+    """
+    name = F.btrim(F.regexp_replace(key, fixed.BETWEEN_NAME_PARTS, "_"), F.lit("_"))
     return F.when(_present(key), name).otherwise(F.lit(fixed.UNKNOWN_MEASUREMENT))
 
 

@@ -10,7 +10,8 @@ import uuid
 
 import hostpulse
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "hostpulse", master: str | None = None, **conf: object) -> SparkSession:
@@ -61,6 +62,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def computed_once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """Add a costly column that filters and columns on top of it read instead of computing it again.
+
+    The optimizer moves a filter below the projection that it reads from and writes the expression out in both, and takes
+    parsed JSON apart into a parse per field. It leaves the rows of a generator alone.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def materialised(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame that several later passes read, and read it back.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostpulse.functions import fixed_values as fixed
 from hostpulse.functions import text
+from hostpulse.session import computed_once
 
 EVENT_SCHEMA = (
     "type string, itemid string, clock string, value string, ns string, item_key string, item_name string, "
@@ -18,7 +19,7 @@ STORED, INVALID, BROKEN, OTHER = "stored", "invalid", "broken", "dropped"
 def parse_events(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Parse JSON lines. A line that is not JSON keeps its text in ``_broken``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    return lines.withColumn("_e", F.from_json(raw, EVENT_SCHEMA, options)).select(
+    return computed_once(lines, F.from_json(raw, EVENT_SCHEMA, options), "_e").select(
         *[c for c in lines.columns if c != raw], "_e.*"
     )
 

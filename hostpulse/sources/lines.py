@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostpulse.session import computed_once
 from hostpulse.sources import ingest
 
 STORED = "value string, date date, batch string"
@@ -28,8 +29,21 @@ def _unescaped(text: Column) -> Column:
 
 
 def _pairs(text: Column, pattern: str, escaped: bool) -> Column:
-    """Key and value pairs as a map, values with their escapes resolved or not; of a key that comes again the last value counts."""
-    halves = rf"^({_KEY})=(.*)$"
+    """Key and value pairs as a map, values with their escapes resolved or not; of a key that comes again the last value counts.
+
+    Where nothing is escaped or quoted and no key comes again, commas and equal signs alone divide the text.
+    """
+    keys = F.split(F.regexp_replace(text, "=[^,]*", ""), ",")
+    plain = ~F.contains(text, F.lit("\\")) & ~F.contains(text, F.lit('"')) & (F.size(F.array_distinct(keys)) == F.size(keys))
+    return (
+        F.when(text == "", F.create_map().cast("map<string,string>"))
+        .when(plain, F.str_to_map(text, F.lit(","), F.lit("=")))
+        .otherwise(_pairs_in_full(text, pattern, escaped))
+    )
+
+
+def _pairs_in_full(text: Column, pattern: str, escaped: bool) -> Column:
+    halves = rf"^({_KEY})=((?s:.*))$"
     told = _unescaped if escaped else (lambda c: c)
     found = F.transform(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -49,32 +63,36 @@ def parse_lines(lines: DataFrame, raw: str = "value", precision: str = "s") -> D
     otherwise; so is one without a time, as the store would have to invent it. Blank lines, comments and nulls are left out.
     """
     text, unit = F.col(raw), PRECISIONS[precision]
-    good = text.rlike(_LINE)
-    part = [F.regexp_extract(text, _LINE, i) for i in range(1, 5)]
+    rest = [F.col(c) for c in lines.columns if c != raw]
     kept = lines.where(text.isNotNull() & ~text.rlike(r"^\s*(#|$)"))
-    out = kept.select(
-        *[F.col(c) for c in lines.columns if c != raw],
-        F.when(good, _unescaped(part[0])).alias("measurement"),
-        F.when(good, _pairs(part[1], f"{_KEY}={_KEY}", True)).alias("tags"),
-        F.when(good, _pairs(part[2], _FIELD, False)).alias("fields"),
-        F.when(good, part[3].try_cast("bigint")).alias("_clock"), text.alias("_line"),
+    # One match cuts a line: name, tags and time hold no line break, so fields, which may, come last. No point has a break after
+    # its name, so what is equal to its line was not cut.
+    cut = computed_once(kept.select(*rest, text.alias("_line")), F.regexp_replace("_line", _LINE + "(?s:.*)", "$1\n$2\n$4\n$3"), "_cut")
+    good, part = F.col("_cut") != F.col("_line"), F.split("_cut", "\n", 4)
+    parsed = cut.select(
+        *rest, "_line",
+        F.when(good, _unescaped(F.get(part, F.lit(0)))).alias("_name"),
+        F.when(good, _pairs(F.substr(F.get(part, F.lit(1)), F.lit(2)), f"{_KEY}={_KEY}", True)).alias("_tags"),
+        F.when(good, _pairs(F.get(part, F.lit(3)), _FIELD, False)).alias("_fields"),
+        F.when(good, F.get(part, F.lit(2)).try_cast("bigint")).alias("_clock"),
     )
-    broken = F.col("_clock").isNull()  # no match, or a time beyond 64 bits
+    out = computed_once(parsed, F.struct("_name", "_tags", "_fields", "_clock", "_line"), "_p")
+    broken = F.col("_p._clock").isNull()  # no match, or a time beyond 64 bits
     return out.select(
-        *[F.col(c) for c in lines.columns if c != raw],
-        *[F.when(~broken, F.col(c)).alias(c) for c in ("measurement", "tags", "fields")],
-        F.expr(f"(_clock - pmod(_clock, {unit}L)) div {unit}L").alias("clock"),
-        F.when(broken, F.col("_line")).alias("_broken"),
+        *rest,
+        *[F.when(~broken, F.col(f"_p.{c}")).alias(n) for c, n in (("_name", "measurement"), ("_tags", "tags"), ("_fields", "fields"))],
+        F.expr(f"(_p._clock - pmod(_p._clock, {unit}L)) div {unit}L").alias("clock"),
+        F.when(broken, F.col("_p._line")).alias("_broken"),
     )
 
 
 def number(field: Column) -> Column:
     """A field as a double: floats, integers (``3i``), unsigned ones (``3u``), truth as 1 and 0; other text is null."""
     return (
-        F.when(field.rlike(r"^(t|T|true|True|TRUE)$"), 1.0)
+        F.when(field.rlike(r"^[-+]?([0-9]+[iu]|[0-9]+\.?[0-9]*([eE][-+]?[0-9]+)?|\.[0-9]+([eE][-+]?[0-9]+)?)$"),
+               F.regexp_replace(field, "[iu]$", "").try_cast("double"))
+        .when(field.rlike(r"^(t|T|true|True|TRUE)$"), 1.0)
         .when(field.rlike(r"^(f|F|false|False|FALSE)$"), 0.0)
-        .when(field.rlike(r"^[-+]?([0-9]+[iu]|[0-9]+\.?[0-9]*([eE][-+]?[0-9]+)?|\.[0-9]+([eE][-+]?[0-9]+)?)$"),
-              F.regexp_replace(field, "[iu]$", "").try_cast("double"))
     )
 
 
